@@ -15,6 +15,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.dart_minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.secret_scan import secrets
 
