@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import shutil
+import tempfile
 import uuid
 import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +19,24 @@ ARROW_ROWS = 1000
 BROADCAST_ROWS = 400_000
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once for each Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lexispark_sent", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="lexispark-")  # on the driver; Spark serves the file from there
+    with zipfile.ZipFile(f"{folder}/lexispark.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(f"{folder}/lexispark.zip")
+    sc._lexispark_sent = True  # noqa: SLF001
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size so that a batch of long texts stays small in memory."""
+    """Prepare for Python work on texts: the executors get this package, and batches of few rows, as texts are long."""
+    _ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
