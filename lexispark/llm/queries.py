@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lexispark.llm.runtime import read
 
 
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.packing import packed_documents
+
+    return packed_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.toxicity import toxic_documents
 

@@ -37,4 +37,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Bucket, batch and slot of every remaining document."""
+    from lexispark.llm.packing import packed_documents
+
+    return packed_documents(docs)
