@@ -231,11 +231,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.coalesce("group_id", "doc_id").alias("group_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("group_id", "doc_id"), F.lit(True)).alias("kept"),
     )
-    return stage.keep_for(out)
+    return stage.result(out, signed, named)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without the later members of each group."""
     stage = Stage(docs.sparkSession, "dart-minhash-kept")
-    gone = small(stage.table(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()))
-    return stage.keep_for(docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+    gone = stage.table(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")

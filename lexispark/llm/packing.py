@@ -117,7 +117,7 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, rows_
             (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"),
         )
     )
-    return stage.keep_for(out)
+    return stage.result(out, lengths)
 
 
 def packed_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:

@@ -6,7 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import weakref
 import zipfile
 from pathlib import Path
 
@@ -63,31 +62,30 @@ def _remove(spark: SparkSession, path: str) -> None:
 class Stage:
     """Tables written to the shared folder in one operator run.
 
-    A written table cuts the lineage: a lost executor costs the tasks it ran, not the whole job.
-    ``drop`` removes a table that is no longer needed; the others go when the session ends or when the
-    DataFrames that read them are garbage.
+    A written table cuts the lineage: a lost executor costs the tasks it ran, not the whole job. ``result``
+    removes the tables that the operator's result does not read; the others go when the session ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+        atexit.register(_remove, spark, self.root)
 
     def table(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
+        path = f"{self.root}/{len(self.paths) + 1}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._staged = path  # noqa: SLF001
+        self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            _remove(self.spark, t._staged)  # noqa: SLF001
+            _remove(self.spark, self.paths[id(t)][1])
 
-    def keep_for(self, df: DataFrame) -> DataFrame:
-        """Remove what is left once ``df`` (the operator's result) is no longer referenced."""
-        end = weakref.finalize(df, _remove, self.spark, self.root)
-        end.atexit = False
-        atexit.register(_remove, self.spark, self.root)
+    def result(self, df: DataFrame, *needed: DataFrame) -> DataFrame:
+        keep = {id(t) for t in needed}
+        for k, (_, path) in self.paths.items():
+            if k not in keep:
+                _remove(self.spark, path)
         return df
 
 

@@ -140,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     digest = lambda ids: F.sha2(F.array_join(F.array_sort(ids), ","), 256)
     if got is None:
         out = counted.select(F.col("_id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
-        return stage.keep_for(out)
+        return stage.result(out)
     found, item_windows = got
     end = F.col("at") + F.col("size")
     before = Window.partitionBy("_id", "_h").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -165,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )
-    return stage.keep_for(out)
+    return stage.result(out, found, item_windows)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -174,9 +174,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     got = hits(_keyed(docs, "doc_id"), _items(benchmark), stage)
     if got is None:
         return docs
-    bad = small(stage.table(got[0].select(F.col("_id").alias("_bad"), F.col("_h").alias("_bad_h")).distinct()))
-    out = docs.join(bad, F.expr("doc_id <=> _bad and xxhash64(text) = _bad_h"), "left_anti")
-    return stage.keep_for(out)
+    bad = stage.table(got[0].select(F.col("_id").alias("_bad"), F.col("_h").alias("_bad_h")).distinct())
+    out = docs.join(small(bad), F.expr("doc_id <=> _bad and xxhash64(text) = _bad_h"), "left_anti")
+    return stage.result(out, bad)
 
 
 #: DuckDB's form of ``contamination``: every window is spelled out and joined.
