@@ -27,6 +27,12 @@ def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.language_id import identified
+
+    return identified(read(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.secret_scan import secrets
 
