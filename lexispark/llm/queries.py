@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lexispark.llm.runtime import read
 
 
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.projection_forest import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.packing import packed_documents
 
