@@ -39,6 +39,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(read(spark, sf_dir, "documents"))
 
 
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.preference import preference_rows
+
+    return preference_rows(read(spark, sf_dir, "conversations"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.secret_scan import secrets
 
@@ -56,6 +62,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexispark.llm import winnowing
+    from lexispark.llm import preference, winnowing
 
-    return {"op9_winnowing": winnowing.SQL}
+    return {"op7_preference": preference.SQL, "op9_winnowing": winnowing.SQL}
