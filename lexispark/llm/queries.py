@@ -15,6 +15,12 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.warc import derivatives, responses_from_pages
+
+    return derivatives(responses_from_pages(read(spark, sf_dir, "pages")))
+
+
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.packing import packed_documents
 
