@@ -12,7 +12,8 @@ linked where the weighted Jaccard similarity is 0.8 or more. Groups are the conn
 
 Exact copies (equal sequences of words) are one class and take part once, by their least doc_id. A bucket does
 not compare all its pairs: each member meets the bucket's least member first, and only members that stay in
-another component than that one meet the rest of the bucket in a second pass.
+another component than that one meet the rest of the bucket in a second pass, unless a bound on what they can share
+(``unshared``) rules a link out.
 
 Defined results: a null text or null doc_id is alone in its group and kept; texts without a word are grouped only
 if they are equal; rows that share a doc_id are one document; an empty table gives an empty result; texts are
@@ -191,6 +192,27 @@ def verified(docs: DataFrame, pairs: DataFrame, stage: Stage, threshold: float =
     return stage.table(stream.mapInArrow(lambda x: _compare(x, threshold), "a long, b long, similarity double"))
 
 
+def _elements(batches):
+    for batch in batches:
+        for first, last, data, offsets in tv.chunks(batch.column("text")):
+            (row, sh, count), _, _ = weighted_shingles(data, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(first, last - first).take(pa.array(row)), pa.array(sh.view(np.int64)), pa.array(count)], ["rep", "shingle", "weight"])
+
+
+def unshared(docs: DataFrame, ids: DataFrame, stage: Stage) -> DataFrame:
+    """(rep, own): the weight of each document's shingles that none of the other ``ids`` (rep) has.
+
+    Two documents of weights n and m share at most s = min(n - own, m - own) of them, so their similarity is at
+    most s / (n + m - s): a bound that spares most comparisons of copies that were each changed on their own.
+    """
+    bounded_batches(docs.sparkSession)
+    ids = small(stage.table(ids))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null and text is not null").join(ids, "rep", "left_semi")
+    elements = texts.mapInArrow(_elements, "rep long, shingle long, weight long")
+    alone = elements.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.sum("weight").alias("weight")).where("rep = last")
+    return alone.groupBy("rep").agg(F.sum("weight").alias("own"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (least id of its exact copies), group_id (least id of its
     group of near copies) and kept (doc_id = group_id)."""
@@ -213,10 +235,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = stage.table(low.join(low.select(F.col("a").alias("low"), F.col("low").alias("lower")), "low", "left").select(F.col("a").alias("rep"), F.coalesce("lower", "low").alias("label")))
     labelled = members.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     labelled = stage.table(labelled.join(label.select(F.col("rep").alias("hub"), F.col("label").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")))
-    apart = labelled.where("label != hub_label").select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
+    open_buckets = labelled.where("label != hub_label").select("bucket").distinct()
+    labelled = stage.table(labelled.join(open_buckets, "bucket", "left_semi"))
+    own = unshared(docs, labelled.select("rep").distinct(), stage)
+    labelled = stage.table(labelled.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
+    apart = labelled.where("label != hub_label").select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("most").alias("x_most"), F.col("label").alias("x_label"))
+    most = F.least("most", "x_most")  # shingles that the two can share at most
     rest = (
-        apart.join(labelled.where("rep != hub").select("bucket", "rep", "n", "label"), "bucket")
-        .where((F.col("label") != F.col("x_label")) & alike(F.col("n"), F.col("x_n")))
+        apart.join(labelled.where("rep != hub").select("bucket", "rep", "n", "most", "label"), "bucket")
+        .where((F.col("label") != F.col("x_label")) & (most >= F.lit(THRESHOLD) * (F.col("n") + F.col("x_n") - most)))
         .select(F.greatest("x", "rep").alias("a"), F.least("x", "rep").alias("b")).distinct()
         .join(first, ["a", "b"], "left_anti")
     )
