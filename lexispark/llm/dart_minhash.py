@@ -11,9 +11,9 @@ Signatures are cut into bands. Documents that share a band are candidates; their
 linked where the weighted Jaccard similarity is 0.8 or more. Groups are the connected components of the links.
 
 Exact copies (equal sequences of words) are one class and take part once, by their least doc_id. A bucket does
-not compare all its pairs: each member meets the bucket's least member first, and only members that stay in
-another component than that one meet the rest of the bucket in a second pass, unless a bound on what they can share
-(``unshared``) rules a link out.
+not compare all its pairs: each member meets the bucket's least member, then the one with the fewest shingles of its
+own, and only members that are still outside the bucket's largest component meet the rest, unless a bound on what
+the two can share (``unshared``) or the triangle inequality rules a link out.
 
 Defined results: a null text or null doc_id is alone in its group and kept; texts without a word are grouped only
 if they are equal; rows that share a doc_id are one document; an empty table gives an empty result; texts are
@@ -196,21 +196,27 @@ def _elements(batches):
     for batch in batches:
         for first, last, data, offsets in tv.chunks(batch.column("text")):
             (row, sh, count), _, _ = weighted_shingles(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(first, last - first).take(pa.array(row)), pa.array(sh.view(np.int64)), pa.array(count)], ["rep", "shingle", "weight"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, last - first).take(pa.array(row)) for c in ("rep", "label")], pa.array(sh.view(np.int64)), pa.array(count)], ["rep", "label", "shingle", "weight"])
 
 
 def unshared(docs: DataFrame, ids: DataFrame, stage: Stage) -> DataFrame:
-    """(rep, own): the weight of each document's shingles that none of the other ``ids`` (rep) has.
+    """(rep, own): the weight of each document's shingles that no document of another label has.
 
-    Two documents of weights n and m share at most s = min(n - own, m - own) of them, so their similarity is at
-    most s / (n + m - s): a bound that spares most comparisons of copies that were each changed on their own.
+    ``ids`` has rep and label. Two documents of different labels and weights n and m share at most
+    s = min(n - own, m - own) of them, so their similarity is at most s / (n + m - s): a bound that spares most
+    comparisons of copies that were each changed on their own, and of groups that resemble each other.
     """
     bounded_batches(docs.sparkSession)
-    ids = small(stage.table(ids))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null and text is not null").join(ids, "rep", "left_semi")
-    elements = texts.mapInArrow(_elements, "rep long, shingle long, weight long")
-    alone = elements.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.sum("weight").alias("weight")).where("rep = last")
-    return alone.groupBy("rep").agg(F.sum("weight").alias("own"))
+    ids = stage.table(ids)
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null and text is not null").join(small(ids), "rep")
+    elements = stage.table(texts.mapInArrow(_elements, "rep long, label long, shingle long, weight long"))
+    exclusive = elements.groupBy("shingle").agg(F.min("label").alias("label"), F.max("label").alias("last"), F.count("*").alias("holders"), F.min("rep").alias("rep"), F.sum("weight").alias("weight")).where("label = last")
+    exclusive = stage.table(exclusive)
+    alone = exclusive.where("holders = 1").select("rep", "weight")
+    among = elements.join(exclusive.where("holders > 1").select("shingle"), "shingle", "left_semi").select("rep", "weight")
+    out = stage.table(alone.unionByName(among).groupBy("rep").agg(F.sum("weight").alias("own")))
+    stage.drop(elements, exclusive)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -230,20 +236,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = stage.table(members.where((F.col("rep") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     links = verified(docs, first, stage)
 
-    # Second pass: members whose links so far lead elsewhere than the bucket's hub meet the others.
+    # Buckets whose members' links so far lead elsewhere than the hub stay open.
     low = links.groupBy("a").agg(F.min("b").alias("low"))
     label = stage.table(low.join(low.select(F.col("a").alias("low"), F.col("low").alias("lower")), "low", "left").select(F.col("a").alias("rep"), F.coalesce("lower", "low").alias("label")))
     labelled = members.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     labelled = stage.table(labelled.join(label.select(F.col("rep").alias("hub"), F.col("label").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")))
     open_buckets = labelled.where("label != hub_label").select("bucket").distinct()
     labelled = stage.table(labelled.join(open_buckets, "bucket", "left_semi"))
-    own = unshared(docs, labelled.select("rep").distinct(), stage)
+    own = unshared(docs, labelled.select("rep", F.col("rep").alias("label")).distinct(), stage)
     labelled = stage.table(labelled.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
-    apart = labelled.where("label != hub_label").select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("most").alias("x_most"), F.col("label").alias("x_label"))
-    most = F.least("most", "x_most")  # shingles that the two can share at most
+
+    # The member with the fewest shingles of its own is the likeliest original of a bucket: all meet it.
+    original = labelled.groupBy("bucket").agg(F.min_by("rep", F.struct(1 - F.col("most") / F.col("n"), "rep")).alias("original"))
+    labelled = stage.table(labelled.join(original, "bucket"))
+    pair = [F.greatest("rep", "original").alias("a"), F.least("rep", "original").alias("b")]
+    met = verified(docs, labelled.where("rep != original").select(*pair).distinct(), stage, 0.0)
+    links = stage.table(links.unionByName(met.where(F.col("similarity") >= THRESHOLD)))
+    group = components(links.select("a", "b"), stage)
+    far = met.select("a", "b", (1 - F.col("similarity")).alias("far"))
+    labelled = labelled.drop("label", "hub_label").select("*", *pair).join(far, ["a", "b"], "left").drop("a", "b").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    labelled = labelled.join(group.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = stage.table(labelled)
+    largest = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    largest = largest.join(labelled.join(largest, "bucket").where("label != main").select("bucket").distinct(), "bucket", "left_semi")
+    labelled = stage.table(labelled.join(largest, "bucket"))
+    own = unshared(docs, labelled.select("rep", "label").distinct(), stage)
+    most = F.col("n") - F.coalesce("own", F.lit(0))
+    labelled = stage.table(labelled.drop("own", "most").join(own, "rep", "left").withColumn("most", most).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
+    apart = labelled.where("label != main")
+    # Who is still outside the bucket's largest component meets the rest, where two bounds allow a link: what both
+    # can share, and the triangle inequality of Jaccard distances to the original.
+    apart = apart.select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("most").alias("x_most"), F.col("label").alias("x_label"), F.col("far").alias("x_far"))
+    most = F.least("most", "x_most")
+    may = (most >= F.lit(THRESHOLD) * (F.col("n") + F.col("x_n") - most)) & (F.abs(F.col("far") - F.col("x_far")) <= F.lit(1 - THRESHOLD + 1e-9))
     rest = (
-        apart.join(labelled.where("rep != hub").select("bucket", "rep", "n", "most", "label"), "bucket")
-        .where((F.col("label") != F.col("x_label")) & (most >= F.lit(THRESHOLD) * (F.col("n") + F.col("x_n") - most)))
+        apart.join(labelled.where("rep != original").select("bucket", "rep", "n", "most", "label", "far"), "bucket")
+        .where((F.col("label") != F.col("x_label")) & may)
         .select(F.greatest("x", "rep").alias("a"), F.least("x", "rep").alias("b")).distinct()
         .join(first, ["a", "b"], "left_anti")
     )
