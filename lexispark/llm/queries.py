@@ -27,6 +27,12 @@ def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.license_scan import licences
+
+    return licences(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.toxicity import toxic_documents
 
