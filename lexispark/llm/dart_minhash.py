@@ -263,15 +263,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = unshared(docs, labelled.select("rep", "label").distinct(), stage)
     most = F.col("n") - F.coalesce("own", F.lit(0))
     labelled = stage.table(labelled.drop("own", "most").join(own, "rep", "left").withColumn("most", most).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
+    labelled = stage.table(labelled.join(classes.select("rep", "bands"), "rep"))
     apart = labelled.where("label != main")
     # Who is still outside the bucket's largest component meets the rest, where two bounds allow a link: what both
-    # can share, and the triangle inequality of Jaccard distances to the original.
-    apart = apart.select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("most").alias("x_most"), F.col("label").alias("x_label"), F.col("far").alias("x_far"))
+    # can share, and the triangle inequality of Jaccard distances to the original; only in the first bucket of a pair.
+    apart = apart.select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("most").alias("x_most"), F.col("label").alias("x_label"), F.col("far").alias("x_far"), F.col("bands").alias("x_bands"))
     most = F.least("most", "x_most")
     may = (most >= F.lit(THRESHOLD) * (F.col("n") + F.col("x_n") - most)) & (F.abs(F.col("far") - F.col("x_far")) <= F.lit(1 - THRESHOLD + 1e-9))
     rest = (
-        apart.join(labelled.where("rep != original").select("bucket", "rep", "n", "most", "label", "far"), "bucket")
-        .where((F.col("label") != F.col("x_label")) & may)
+        apart.join(labelled.where("rep != original").select("bucket", "rep", "n", "most", "label", "far", "bands"), "bucket")
+        .where((F.col("label") != F.col("x_label")) & may & (F.array_min(F.array_intersect("bands", "x_bands")) == F.col("bucket")))
         .select(F.greatest("x", "rep").alias("a"), F.least("x", "rep").alias("b")).distinct()
         .join(first, ["a", "b"], "left_anti")
     )
