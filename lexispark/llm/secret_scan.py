@@ -74,14 +74,15 @@ def _contexts(code: np.ndarray, start: np.ndarray) -> np.ndarray:
 def fit(random_strings: list[str], identifiers: list[str]) -> MarkovPair:
     """Train both models; the threshold lies between the labelled scores, nearer to the random strings.
 
-    Second-order counts are smoothed with the first-order shares, and those with uniform ones.
+    Second-order counts are smoothed with the first-order shares, and those with the characters' own.
     """
 
     def log_model(tokens: list[str]) -> np.ndarray:
         at = _contexts(*_codes(tokens)) if tokens else np.zeros(0, np.int64)
         tri = np.bincount(at, minlength=_N**3).reshape(_N, _N, _N).astype(float)
         bi = tri.sum(0)
-        p1 = (bi + 2.0 / _N) / (bi.sum(1, keepdims=True) + 2.0)
+        p0 = (bi.sum(0) + 0.5) / (bi.sum() + 0.5 * _N)
+        p1 = (bi + 2.0 * p0) / (bi.sum(1, keepdims=True) + 2.0)
         return np.log((tri + 4.0 * p1) / (tri.sum(2, keepdims=True) + 4.0)).ravel()
 
     half = lambda x, k: [t for i, t in enumerate(x) if i % 4 == 3] if k else [t for i, t in enumerate(x) if i % 4 != 3]
