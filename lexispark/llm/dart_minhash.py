@@ -239,12 +239,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Buckets whose members' links so far lead elsewhere than the hub stay open.
     low = links.groupBy("a").agg(F.min("b").alias("low"))
     label = stage.table(low.join(low.select(F.col("a").alias("low"), F.col("low").alias("lower")), "low", "left").select(F.col("a").alias("rep"), F.coalesce("lower", "low").alias("label")))
-    labelled = members.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    labelled = stage.table(labelled.join(label.select(F.col("rep").alias("hub"), F.col("label").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")))
+    labelled = members.join(small(label), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = stage.table(labelled.join(small(label).select(F.col("rep").alias("hub"), F.col("label").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")))
     open_buckets = labelled.where("label != hub_label").select("bucket").distinct()
     labelled = stage.table(labelled.join(open_buckets, "bucket", "left_semi"))
     own = unshared(docs, labelled.select("rep", F.col("rep").alias("label")).distinct(), stage)
-    labelled = stage.table(labelled.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
+    labelled = stage.table(labelled.join(small(own), "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
 
     # The member with the fewest shingles of its own is the likeliest original of a bucket: all meet it.
     original = labelled.groupBy("bucket").agg(F.min_by("rep", F.struct(1 - F.col("most") / F.col("n"), "rep")).alias("original"))
@@ -252,8 +252,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pair = [F.greatest("rep", "original").alias("a"), F.least("rep", "original").alias("b")]
     met = verified(docs, labelled.where("rep != original").select(*pair).distinct(), stage, 0.0)
     links = stage.table(links.unionByName(met.where(F.col("similarity") >= THRESHOLD)))
-    group = components(links.select("a", "b"), stage)
-    far = met.select("a", "b", (1 - F.col("similarity")).alias("far"))
+    group = small(components(links.select("a", "b"), stage))
+    far = small(met).select("a", "b", (1 - F.col("similarity")).alias("far"))
     labelled = labelled.drop("label", "hub_label").select("*", *pair).join(far, ["a", "b"], "left").drop("a", "b").withColumn("far", F.coalesce("far", F.lit(0.0)))
     labelled = labelled.join(group.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     labelled = stage.table(labelled)
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = stage.table(labelled.join(largest, "bucket"))
     own = unshared(docs, labelled.select("rep", "label").distinct(), stage)
     most = F.col("n") - F.coalesce("own", F.lit(0))
-    labelled = stage.table(labelled.drop("own", "most").join(own, "rep", "left").withColumn("most", most).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
+    labelled = stage.table(labelled.drop("own", "most").join(small(own), "rep", "left").withColumn("most", most).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
     labelled = stage.table(labelled.join(classes.select("rep", "bands"), "rep"))
     apart = labelled.where("label != main")
     # Who is still outside the bucket's largest component meets the rest, where two bounds allow a link: what both
@@ -274,11 +274,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         apart.join(labelled.where("rep != original").select("bucket", "rep", "n", "most", "label", "far", "bands"), "bucket")
         .where((F.col("label") != F.col("x_label")) & may & (F.array_min(F.array_intersect("bands", "x_bands")) == F.col("bucket")))
         .select(F.greatest("x", "rep").alias("a"), F.least("x", "rep").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti")
+        .join(small(first), ["a", "b"], "left_anti")
     )
     links = links.unionByName(verified(docs, rest, stage))
 
-    group = components(links.select("a", "b"), stage)
+    group = small(components(links.select("a", "b"), stage))
     named = classes.join(group, F.col("rep") == F.col("node"), "left").select("d1", "d2", "rep", "copies", F.coalesce("component", "rep").alias("group_id"))
     named = stage.table(named.where("copies > 1 or group_id != rep"))
     out = signed.select("doc_id", "d1", "d2").join(named, ["d1", "d2"], "left").select(

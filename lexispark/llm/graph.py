@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.runtime import Stage
+from lexispark.llm.runtime import BROADCAST_ROWS, Stage
 
 MOST_ROUNDS = 60
 
@@ -22,15 +22,15 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
+            stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return stage.table(stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
         seen, old = now, e
+        hint = F.broadcast if now[0] <= BROADCAST_ROWS else lambda df: df  # no more nodes than twice the links just counted
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stage.table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        large = stage.table(both.where("v > u").join(hint(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(hint(lowest), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stage.table(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         stage.drop(large, old)
     raise RuntimeError("the components did not settle")
