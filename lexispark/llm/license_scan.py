@@ -41,7 +41,7 @@ TEMPLATES = {
     "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
 }
 UNKNOWN_TEXTS = (
-    "Licensed under the terms of the project license.", "This file is distributed under the vendor license agreement.", "All rights reserved; see the license file for the terms.",
+    "Licensed under the terms of the project license.", "This file is distributed under the vendor license agreement.", "All rights reserved.", "All rights reserved; see the license file for the terms.",
     "Released under the Example Community License, version 1.0.", "Use of this software is governed by the customer agreement and its license terms.", "Distributed under the Sample Public License.",
 )
 NONE, UNKNOWN = "none", "unknown"
@@ -160,7 +160,7 @@ def train(docs: DataFrame) -> LicenseModel:
     ids = F.broadcast(docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))
     lines = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select(F.explode(F.split("text", "\n")).alias("p")).where(F.trim("p") != "")
     found = sorted(r["p"] for r in lines.distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS).collect())
-    known = [pairs(t) for texts in TEMPLATES.values() for t in texts]
+    known = [pairs(t) for texts in (*TEMPLATES.values(), UNKNOWN_TEXTS) for t in texts]
     return fit([x for x in found if not any(len(k & p) >= 0.3 * len(k) for p in [pairs(x)] for k in known)])
 
 
