@@ -46,7 +46,7 @@ class _Powers:
         self.n = 0
 
     def get(self, n: int):
-        if n > self.n:
+        if n > self.n or not self.n:
             n = max(n, CHUNK_BYTES + 4096)
             self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
             self.n = n
