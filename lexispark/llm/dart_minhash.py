@@ -199,22 +199,28 @@ def _elements(batches):
             yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, last - first).take(pa.array(row)) for c in ("rep", "label")], pa.array(sh.view(np.int64)), pa.array(count)], ["rep", "label", "shingle", "weight"])
 
 
-def unshared(docs: DataFrame, ids: DataFrame, stage: Stage) -> DataFrame:
+def unshared(docs: DataFrame, ids: DataFrame, repeated: DataFrame, stage: Stage) -> DataFrame:
     """(rep, own): the weight of each document's shingles that no document of another label has.
 
-    ``ids`` has rep and label. Two documents of different labels and weights n and m share at most
+    ``ids`` has rep and label; ``repeated`` has the rep of each doc_id of several rows and whether their words
+    differ. Equal rows count once; rows that differ have no weight of their own, so no bound rules them out. Two documents of different labels and weights n and m share at most
     s = min(n - own, m - own) of them, so their similarity is at most s / (n + m - s): a bound that spares most
     comparisons of copies that were each changed on their own, and of groups that resemble each other.
     """
     bounded_batches(docs.sparkSession)
     ids = stage.table(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null and text is not null").join(small(ids), "rep")
+    if not repeated.isEmpty():
+        texts = texts.join(small(repeated), "rep", "left")
+        once = texts.where("not differ").dropDuplicates(["rep"])
+        texts = texts.where("differ is null or differ").unionByName(once).drop("differ")
     elements = stage.table(texts.mapInArrow(_elements, "rep long, label long, shingle long, weight long"))
     exclusive = elements.groupBy("shingle").agg(F.min("label").alias("label"), F.max("label").alias("last"), F.count("*").alias("holders"), F.min("rep").alias("rep"), F.sum("weight").alias("weight")).where("label = last")
     exclusive = stage.table(exclusive)
     alone = exclusive.where("holders = 1").select("rep", "weight")
     among = elements.join(exclusive.where("holders > 1").select("shingle"), "shingle", "left_semi").select("rep", "weight")
-    out = stage.table(alone.unionByName(among).groupBy("rep").agg(F.sum("weight").alias("own")))
+    own = alone.unionByName(among).groupBy("rep").agg(F.sum("weight").alias("own"))
+    out = stage.table(own.join(small(repeated.where("differ").select("rep")), "rep", "left_anti"))
     stage.drop(elements, exclusive)
     return out
 
@@ -229,6 +235,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         signed.where("d1 is not null and doc_id is not null")
         .groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     )
+    ways = F.struct("d1", "d2")
+    repeated = stage.table(
+        signed.where("d1 is not null and doc_id is not null").groupBy(F.col("doc_id").alias("rep"))
+        .agg((F.min(ways) != F.max(ways)).alias("differ"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    )
     banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = stage.table(banded.join(shared, "bucket").select("bucket", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
@@ -243,7 +254,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = stage.table(labelled.join(small(label).select(F.col("rep").alias("hub"), F.col("label").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")))
     open_buckets = labelled.where("label != hub_label").select("bucket").distinct()
     labelled = stage.table(labelled.join(open_buckets, "bucket", "left_semi"))
-    own = unshared(docs, labelled.select("rep", F.col("rep").alias("label")).distinct(), stage)
+    own = unshared(docs, labelled.select("rep", F.col("rep").alias("label")).distinct(), repeated, stage)
     labelled = stage.table(labelled.join(small(own), "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
 
     # The member with the fewest shingles of its own is the likeliest original of a bucket: all meet it.
@@ -260,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     largest = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
     largest = largest.join(labelled.join(largest, "bucket").where("label != main").select("bucket").distinct(), "bucket", "left_semi")
     labelled = stage.table(labelled.join(largest, "bucket"))
-    own = unshared(docs, labelled.select("rep", "label").distinct(), stage)
+    own = unshared(docs, labelled.select("rep", "label").distinct(), repeated, stage)
     most = F.col("n") - F.coalesce("own", F.lit(0))
     labelled = stage.table(labelled.drop("own", "most").join(small(own), "rep", "left").withColumn("most", most).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
     labelled = stage.table(labelled.join(classes.select("rep", "bands"), "rep"))

@@ -77,6 +77,21 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted((r["doc_id"] or -1, r["kept"]) for r in dart_minhash.near_duplicates(twice).collect()) == [(-1, True), (1, True), (1, True), (2, True)]
 
 
+def test_near_duplicates_of_a_repeated_row_between_hubs(spark):
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for h in range(60):  # 0.74 similar to the base: hubs of its buckets, but no near copies
+        hub = list(base)
+        for i in range(12):
+            hub[i * 33 + rng.randrange(5, 28)] = f"h{h}x{i}"
+        texts.append(" ".join(hub))
+    tail = " ".join(f"t{i}" for i in range(60))  # 13 % of its shingles are its own
+    rows = [*enumerate(texts), (70, " ".join(base)), (71, " ".join(base) + " " + tail), (71, " ".join(base).upper() + " " + tail + "!")]
+    got = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["group_id"], r["kept"]) for r in got) == [*((i, i, True) for i in range(60)), (70, 70, True), (71, 70, False), (71, 70, False)]
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     names = rng.integers(0, 2**63, 300).astype(np.uint64)
