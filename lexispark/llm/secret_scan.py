@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-Three patterns find the plain cases (``BASE``). A long run of token characters that no pattern covers is
-compared under two second-order character models, one of random strings and one of ordinary identifiers; where
-the log-likelihood ratio is above the threshold, the run is a span of kind ``markov``.
+Three patterns find the plain cases (``BASE``). The matches are cut out of the long runs of token
+characters, and what is left of a run is compared under two second-order character models, one of random strings and
+one of ordinary identifiers; where a piece's log-likelihood ratio is above the threshold, it is a span of kind ``markov``.
 
 Defined results: a null text has no spans; offsets are code points, the end exclusive; texts are scanned whole;
 repeated rows get equal results; an empty table gives an empty result and only generated strings train the
@@ -33,7 +33,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Runs of token characters that the models compare.
+#: Runs of token characters that the models compare, and the least length of what is left of one beside other spans.
+PIECE = 16
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Bounds of the sample that trains the models: documents, and tokens of each label.
 SAMPLE_DOCS, SAMPLE_TOKENS = 2000, 20_000
@@ -120,6 +121,17 @@ def _meets(spans: list[tuple[int, int]], start: int, end: int) -> bool:
     return i > 0 and spans[i - 1][1] > start
 
 
+def _uncovered(covers: list[list[tuple[int, int]]], start: int, end: int) -> list[tuple[int, int]]:
+    """The pieces of start to end, of ``PIECE`` characters or more, that none of the sorted spans covers."""
+    inside = sorted((s, e) for c in covers for s, e in c[max(0, bisect.bisect_left(c, (start, 0)) - 1) : bisect.bisect_left(c, (end, 0))])
+    out, at = [], start
+    for s, e in [*inside, (end, end)]:
+        if s - at >= PIECE:
+            out.append((at, s))
+        at = max(at, e)
+    return out
+
+
 def scan(texts: list[str | None], pair: MarkovPair | None) -> list[list[tuple[int, int, int]]]:
     """All spans of each text, sorted; without models only those of the patterns."""
     found, runs, places = [], [], []
@@ -130,9 +142,9 @@ def scan(texts: list[str | None], pair: MarkovPair | None) -> list[list[tuple[in
             run, at = r[0], r.start()
             hexes = [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run) if m.end() - m.start() >= LEAST["hex"]]
             spans += hexes  # a run of 24 hexadecimal digits is always inside such a run of token characters
-            if not hexes and not any(_meets(c, at, r.end()) for c in covers if c):
-                runs.append(run)
-                places.append((i, at, r.end()))
+            for s, e in _uncovered([*covers, [(s, e) for s, _, e in hexes]], at, r.end()):
+                runs.append(text[s:e])
+                places.append((i, s, e))
         found.append(spans)
     if pair is not None and runs:
         for (i, s, e), x in zip(places, pair.ratios(runs), strict=True):
