@@ -28,15 +28,21 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.runtime import bounded_batches
 
-# Elements without text of their own, and elements that begin a line.
-RAW = "script|style|noscript|template|title|textarea|svg|math|object|iframe"
+# Elements without text of their own (those that HTML runs to the page's end if they are not closed, those
+# that end with their own tag, the others), and elements that begin a line.
+TO_END = frozenset("script style title textarea iframe".split())
+FOREIGN = frozenset("svg math".split())
+RAW = TO_END | FOREIGN | frozenset("noscript template object".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 
-_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9]*)(?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+>|<[!?/a-zA-Z][^>]*+>""")
+_OPEN = re.compile(r"<[!?/a-zA-Z]")
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+>""")  # only a value is quoted
+_OTHER = re.compile(r"<[^>]*+>")
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'>][^\s>]*/>\Z")  # the slash belongs to the last value
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
 _LINK = re.compile(r"""<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -48,10 +54,60 @@ RECORD = (
 _FIELDS = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in RECORD.split(", ")])
 
 
+class _Ends:
+    """Where the next opening and end tags of an element are in a page; each place is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {}
+
+    def next(self, name: str, at: int, closing: bool) -> tuple[int, int]:
+        """Start and end of the next one from ``at`` on, else the page's length twice."""
+        found = self.last.get((name, closing))
+        if found is None or found[0] < at:
+            m = re.compile(rf"</{re.escape(name)}\s*>" if closing else rf"<{re.escape(name)}(?=[\s/>])", re.I).search(self.page, at)
+            found = self.last[name, closing] = m.span() if m else (len(self.page), len(self.page))
+        return found
+
+
+def _hidden_to(page: str, name: str, tag: str, end: int, ends: _Ends) -> int:
+    """Where the hidden span of an opening tag that ends at ``end`` ends, or ``end`` if it opens none.
+
+    HTML closes only foreign elements by a slash. Pages close others so too: these open a span only if an end tag
+    follows before the next such opening tag.
+    """
+    closed = tag.endswith("/>") and not _UNQUOTED_END.search(tag)
+    if closed and name in FOREIGN:
+        return end
+    start, stop = ends.next(name, end, True)
+    if start < len(page):
+        return end if closed and ends.next(name, end, False)[0] < start else stop
+    return len(page) if name in TO_END and not closed else end
+
+
+def _without_tags(page: str) -> str:
+    out, at, ends, last = [], 0, _Ends(page), page.rfind(">")
+    while m := _OPEN.search(page, at):
+        start = m.start()
+        out.append(page[at:start])
+        if page.startswith("<!--", start):
+            at = _COMMENT.match(page, start).end()
+            out.append(" ")
+        elif start > last:  # no tag ends from here on
+            at = start
+            break
+        elif tag := _TAG.match(page, start):
+            name, at = tag[2].lower(), tag.end()
+            hidden = at if tag[1] or name not in RAW else _hidden_to(page, name, tag[0], at, ends)
+            out.append(" " if hidden > at else "\n" if name in BLOCK else "")
+            at = hidden
+        else:
+            at = _OTHER.match(page, start).end()
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """The visible text, a line for each block element; white space inside a line is one space."""
-    text = _HIDDEN.sub(" ", page)
-    text = _TAG.sub(lambda m: "\n" if (m[1] or "").lower() in BLOCK else "", text)
+    text = _without_tags(page)
     if "&" in text:
         text = html.unescape(text)
     return "\n".join(line for line in (" ".join(x.split()) for x in text.split("\n")) if line)

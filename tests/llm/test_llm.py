@@ -250,6 +250,26 @@ def test_licences(spark):
     assert all(got[i] == "" for i in range(7, 27)) and len(got) == 27
 
 
+def test_plain_text_is_whole():
+    long = "x" * 9000 + "<p>not</p>"
+    pages = {
+        "<p>a<svg width='5'/>b</p><p>c</p><svg><text>no</text></svg>d": "ab\nc\nd",
+        "<p>a<math/>b</p>c": "ab\nc",
+        "<p>a</p><object data=x>b<p>c": "a\nb\nc",
+        "<object data='x'/>a<object>no</object>b": "a b",
+        "<noscript>a<p>b": "a\nb",
+        f'<p>a</p><div title="{long}">b</div><p data-x=\'{long}\'>c': "a\nb\nc",
+        f'a<iframe srcdoc="{long}"></iframe>b': "a b",
+        "a<script>if (x) {'<p>'}": "a", "a<style>b": "a", "<title>x</title>a<textarea>b</p>c": "a",
+        "a<script src='x' />no</script>b": "a b", "a<script src='x' />b<script>no</script>c": "ab c", "a<svg x=5/>no</svg>b": "a b",
+        "<svg-icon>a</svg-icon><p title=it's>b</p>c's": "a\nb\nc's",
+        '<p title="a>b</p>c': "b\nc", '<div data-x="<script>">a</div>b': "a\nb",
+        "a < b <": "a < b <", "a<!-- <p>no": "a", "a<b": "a<b", "<!doctype html><?x y?>a</ b>c": "ac",
+    }
+    assert {p: warc.plain_text(p) for p in pages} == pages
+    assert warc.plain_text("<svg/>" * 50_000 + "<object>" * 50_000 + "a") == "a"
+
+
 def test_warc_records(spark, tmp_path):
     page = '<html><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><h1>Head</h1><!-- <p>no</p> --><p>one <b>two</b>&nbsp;three<br>four<a href="/x?a=1&amp;b=2">l</a></body>'
     pages = spark.createDataFrame([(1, "http://h/a", page), (2, None, None), (2, None, None)], "page_id long, url string, html string")
