@@ -6,8 +6,8 @@ gives each paragraph a probability for every licence family, for ``unknown`` (a
 probabilities are calibrated by a temperature on held-out examples. A family counts only if the paragraph also holds
 most of the word pairs of one of the family's templates; else a likely licence is ``unknown``.
 
-Defined results: a null or empty text has no paragraphs and no licence; a paragraph without an n-gram that only
-licences have is ``none``; repeated rows get equal results; texts are read whole; an empty table gives an empty
+Defined results: a null or empty text has no paragraphs and no licence; a paragraph without a known n-gram
+is ``none``; repeated rows get equal results; texts are read whole; an empty table gives an empty
 result and trains on templates only; other columns pass unread.
 """
 
@@ -51,6 +51,8 @@ SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 600, 1500
 MOST_NGRAMS = 8000
 #: Least calibrated probability of a licence, and least share of a template's word pairs in the paragraph.
 LIKELY, CONFIRM = 0.5, 0.6
+#: More than the difference between the two ways to sum a paragraph's weights, and words whose weights are summed at once.
+ROUNDING, WORDS_AT_ONCE = 1e-3, 100_000
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][0-9]+)*")
 
@@ -72,7 +74,46 @@ class LicenseModel:
     weight: np.ndarray  # n-grams x classes
     bias: np.ndarray
     temperature: float
-    anchors: frozenset  # words that only licences have
+
+    def __post_init__(self):
+        """The n-grams as numbers: those of their words, 0 for an unknown one, in sorted arrays for each length."""
+        self.number = {w: i for i, w in enumerate(sorted({w for g in self.index for w in g.split()}), 1)}
+        self.base = len(self.number) + 1
+        self.known = []
+        for size in (1, 2, 3):
+            found = sorted((self._key([self.number[w] for w in g.split()]), i) for g, i in self.index.items() if g.count(" ") == size - 1)
+            self.known.append((np.array([k for k, _ in found], np.int64), np.array([i for _, i in found], np.int64)))
+
+    def _key(self, numbers):
+        key = numbers[0]
+        for n in numbers[1:]:
+            key = key * self.base + n
+        return key
+
+    def numbers(self, paragraph: str) -> list[int]:
+        get = self.number.get
+        return [get(w, 0) for w in _WORD.findall(paragraph.lower())]
+
+    def likely(self, number: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The calibrated probability of a licence of each paragraph, given all their words' numbers and their counts
+        of words; 0 without a known n-gram."""
+        row, base, parts = np.repeat(np.arange(len(size)), size), len(self.index), []
+        for n, (keys, at) in enumerate(self.known):
+            m = len(number) - n
+            if m <= 0 or not len(keys):
+                continue
+            on = np.flatnonzero((row[:m] == row[n:]) & np.logical_and.reduce([number[i : i + m] > 0 for i in range(n + 1)]))
+            key = self._key([number[on + i] for i in range(n + 1)])
+            pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[pos] == key
+            parts.append(row[on[hit]] * base + at[pos[hit]])
+        out = np.zeros(len(size))
+        if parts and len(here := np.unique(np.concatenate(parts))):
+            rows, start, count = np.unique(here // base, return_index=True, return_counts=True)
+            z = (self.bias + np.add.reduceat(self.weight[here % base], start) / np.sqrt(count)[:, None]) / self.temperature
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            out[rows] = 1.0 - p[:, self.classes.index(NONE)] / p.sum(axis=1)
+        return out
 
     def probabilities(self, grams: set[str]) -> np.ndarray:
         at = [self.index[g] for g in grams if g in self.index]
@@ -82,9 +123,10 @@ class LicenseModel:
 
     def classify(self, paragraph: str) -> tuple[str, float, float] | None:
         """(family or unknown, probability of a licence, template's share), or None for no licence."""
-        if self.anchors.isdisjoint(_WORD.findall(paragraph.lower())):
+        grams = ngrams(paragraph)
+        if self.index.keys().isdisjoint(grams):
             return None
-        p = self.probabilities(ngrams(paragraph))
+        p = self.probabilities(grams)
         likely = 1.0 - float(p[self.classes.index(NONE)])
         if likely < LIKELY:
             return None
@@ -147,9 +189,7 @@ def fit(background: list[str], seed: int = 23, copies: int = 40) -> LicenseModel
         return float((np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)) + s.max(axis=1) - s[np.arange(len(s)), y[held]]).mean())
 
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
-    ordinary = {v for g, lic in zip(grams, licence) if not lic for v in g}
-    own = {v for texts in (*TEMPLATES.values(), UNKNOWN_TEXTS) for t in texts for v in _WORD.findall(t.lower())}
-    return LicenseModel(classes, index, w, b, temperature, frozenset(own - ordinary))
+    return LicenseModel(classes, index, w, b, temperature)
 
 
 def train(docs: DataFrame) -> LicenseModel:
@@ -164,6 +204,23 @@ def train(docs: DataFrame) -> LicenseModel:
     return fit([x for x in found if not any(len(k & p) >= 0.3 * len(k) for p in [pairs(x)] for k in known)])
 
 
+def _scored(model: LicenseModel, texts: list[str | None]):
+    """(lines, their probabilities of a licence) of each text."""
+    waiting, words, sizes = [], [], []
+    for k, text in enumerate(texts, 1):
+        lines = text.split("\n") if text else []
+        waiting.append(lines)
+        for line in lines:
+            before = len(words)
+            words += model.numbers(line)
+            sizes.append(len(words) - before)
+        if len(words) >= WORDS_AT_ONCE or k == len(texts):
+            p = model.likely(np.array(words, np.int64), np.array(sizes, np.int64))
+            at = np.cumsum([0, *map(len, waiting)])
+            yield from ((x, p[at[i] : at[i + 1]]) for i, x in enumerate(waiting))
+            waiting, words, sizes = [], [], []
+
+
 FOUND = "array<struct<paragraph:int,family:string,probability:double,share:double>>"
 
 
@@ -176,12 +233,11 @@ def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
         m = shared.value
         for batch in batches:
             counts, found, ends = [], [], [0]
-            for text in batch.column("text").to_pylist():
-                lines = text.split("\n") if text else []
+            for lines, likely in _scored(m, batch.column("text").to_pylist()):
                 counts.append(sum(1 for x in lines if x.strip()))
-                for i, line in enumerate(lines):
-                    if hit := m.classify(line):
-                        found.append((i, *hit))
+                for i in np.flatnonzero(likely >= LIKELY - ROUNDING):
+                    if hit := m.classify(lines[i]):
+                        found.append((int(i), *hit))
                 ends.append(len(found))
             kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64())
             fields = [pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)]

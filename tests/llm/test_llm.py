@@ -270,6 +270,21 @@ def test_plain_text_is_whole():
     assert warc.plain_text("<svg/>" * 50_000 + "<object>" * 50_000 + "a") == "a"
 
 
+def ordinary_lines():
+    """Plain lines, among them some with each word of short licence lines."""
+    plain = ["the film was released in May", "he came home mit dem Zug", "she lost her driving license", "version two of the story", "under the bridge it was dark", "the public was asked to leave"]
+    return plain * 3 + [prose(random.Random(i), 12) for i in range(150)]
+
+
+def test_licence_words_in_ordinary_lines():
+    model = license_scan.fit(ordinary_lines(), copies=20)
+    lines = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", *ordinary_lines()[:6], "", "zzz"]
+    got = [model.classify(x) for x in lines]
+    assert [x and x[0] for x in got] == ["MIT", "GPL-3.0", "unknown", *[None] * 8]
+    [(_, likely)] = license_scan._scored(model, ["\n".join(lines)])
+    assert all(p == pytest.approx(x[1], abs=1e-4) if x else p < license_scan.LIKELY for p, x in zip(likely, got))
+
+
 def test_warc_records(spark, tmp_path):
     page = '<html><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><h1>Head</h1><!-- <p>no</p> --><p>one <b>two</b>&nbsp;three<br>four<a href="/x?a=1&amp;b=2">l</a></body>'
     pages = spark.createDataFrame([(1, "http://h/a", page), (2, None, None), (2, None, None)], "page_id long, url string, html string")
