@@ -1,11 +1,15 @@
 """Licence scans: a trained classifier of paragraphs, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. A multinomial logistic regression over sparse word n-grams (one to three words)
+Paragraphs are the lines of a text, and lines without an empty one between them joined (licences are often wrapped); if
+such lines hold most of a template, also the fewest of them that do. A multinomial logistic regression over sparse word n-grams (one to three words)
 gives each paragraph a probability for every licence family, for ``unknown`` (a licence, but none of these) and for
 ``none``. It learns from perturbed templates and from a bounded sample of the corpus's own paragraphs, and its
 probabilities are calibrated by a temperature on held-out examples. A family counts only if the paragraph also holds
 most of the word pairs of one of the family's templates; else a likely licence is ``unknown``.
 
+A joined paragraph is named by its first line. It counts if none of its lines has its family, and its lines with words of
+that family's templates are no longer ``unknown``; an ``unknown`` one counts if none of its lines is a licence.
+
 Defined results: a null or empty text has no paragraphs and no licence; a paragraph without a known n-gram
 is ``none``; repeated rows get equal results; texts are read whole; an empty table gives an empty
 result and trains on templates only; other columns pass unread.
@@ -77,13 +81,20 @@ class LicenseModel:
 
     def __post_init__(self):
         """The n-grams as numbers: those of their words, 0 for an unknown one, in sorted arrays for each length."""
-        self.number = {w: i for i, w in enumerate(sorted({w for g in self.index for w in g.split()}), 1)}
+        templates = [pairs(t) for texts in TEMPLATES.values() for t in texts]
+        self.number = {w: i for i, w in enumerate(sorted({w for g in [*self.index, *(w for x in templates for p in x for w in p)] for w in g.split()}), 1)}
         self.base = len(self.number) + 1
         self.known = []
         for size in (1, 2, 3):
             found = sorted((self._key([self.number[w] for w in g.split()]), i) for g, i in self.index.items() if g.count(" ") == size - 1)
             self.known.append((np.array([k for k, _ in found], np.int64), np.array([i for _, i in found], np.int64)))
 
+        held = sorted((self._key([self.number[w] for w in x]), i) for i, t in enumerate(templates) for x in t)
+        self.pair = np.unique(np.array([k for k, _ in held], np.int64))
+        self.share = np.zeros((len(self.pair), len(templates)))  # what a pair is of each template
+        for k, i in held:
+            self.share[np.searchsorted(self.pair, k), i] = 1.0 / len(templates[i])
+
     def _key(self, numbers):
         key = numbers[0]
         for n in numbers[1:]:
@@ -115,6 +126,19 @@ class LicenseModel:
             out[rows] = 1.0 - p[:, self.classes.index(NONE)] / p.sum(axis=1)
         return out
 
+    def holds_template(self, number: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether each paragraph, given as ``likely`` takes it, holds ``CONFIRM`` of a template's pairs."""
+        out, row = np.zeros(len(size), bool), np.repeat(np.arange(len(size)), size)
+        if len(number) > 1:
+            key = self._key([number[:-1], number[1:]])
+            pos = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            hit = (self.pair[pos] == key) & (row[:-1] == row[1:])
+            if hit.any():
+                here = np.unique(row[:-1][hit] * len(self.pair) + pos[hit])
+                rows, start = np.unique(here // len(self.pair), return_index=True)
+                out[rows] = np.add.reduceat(self.share[here % len(self.pair)], start).max(axis=1) >= CONFIRM - ROUNDING
+        return out
+
     def probabilities(self, grams: set[str]) -> np.ndarray:
         at = [self.index[g] for g in grams if g in self.index]
         z = (self.bias + self.weight[at].sum(axis=0) / max(1.0, len(at) ** 0.5)) / self.temperature
@@ -138,6 +162,82 @@ class LicenseModel:
         return UNKNOWN, likely, share[family]
 
 
+def _held(paragraphs: list[set], template: set, start: int, seen: int) -> tuple[int, int] | None:
+    """First and last of the next lines from ``start`` on that hold ``CONFIRM`` of a template's pairs; ``seen``: the last
+    of the ones before, which these go beyond. As few lines as do, then those beside them that hold more."""
+    count: dict[tuple, int] = {}
+    need, first = CONFIRM * len(template), start
+    for last in range(start, len(paragraphs)):
+        for x in paragraphs[last] & template:
+            count[x] = count.get(x, 0) + 1
+        if last <= seen or len(count) < need:
+            continue
+        while len(count) - sum(count[x] == 1 for x in paragraphs[first] & template) >= need:
+            for x in paragraphs[first] & template:
+                count[x] -= 1
+                if not count[x]:
+                    del count[x]
+            first += 1
+        while last + 1 < len(paragraphs) and (paragraphs[last + 1] & template) - count.keys():
+            last += 1
+            count |= dict.fromkeys(paragraphs[last] & template, 1)
+        while first > start and (paragraphs[first - 1] & template) - count.keys():
+            first -= 1
+            count |= dict.fromkeys(paragraphs[first] & template, 1)
+        return first, last
+    return None
+
+
+def wrapped(model: LicenseModel, lines: list[str], likely: bool, confirmed: bool) -> list[tuple[int, int, tuple]]:
+    """(first, last, result) of the licences of joined lines: of all of them, and of the fewest that hold a template.
+
+    ``likely`` and ``confirmed``: whether all of them may be a licence, and may hold a template.
+    """
+    out = []
+    if likely and (hit := model.classify(" ".join(lines))):
+        out.append((0, len(lines) - 1, hit))
+    if confirmed:
+        here = [pairs(x) for x in lines]
+        word = [_WORD.findall(x.lower()) for x in lines]
+        back = None
+        for i, w in enumerate(word):  # the pair of a line's last word and the next line's first
+            if w and back:
+                here[i].add((back, w[0]))
+            back = w[-1] if w else back
+        for texts in TEMPLATES.values():
+            for template in map(pairs, texts):
+                start, seen = 0, -1
+                while at := _held(here, template, start, seen):
+                    first, last = at
+                    hit = model.classify(" ".join(lines[first : last + 1])) if last > first else None
+                    if hit and hit[0] != UNKNOWN:
+                        out.append((first, last, hit))
+                    start, seen = (last + 1, last) if last == first or hit else (first + 1, last)
+    return out
+
+
+def found_in(model: LicenseModel, lines: list[str], likely: np.ndarray, runs: list[tuple[int, int, bool, bool]]) -> list[tuple]:
+    """(line, family, probability, share) of a text's licence paragraphs; ``runs``: first line, the one after the last,
+    and what ``wrapped`` takes."""
+    alone = {int(i): hit for i in np.flatnonzero(likely >= LIKELY - ROUNDING) if (hit := model.classify(lines[i]))}
+    joined: dict[tuple[int, str], tuple] = {}
+    for a, b, may, confirmed in runs:
+        taken = []
+        for first, last, hit in sorted(wrapped(model, lines[a:b], may, confirmed), key=lambda x: (x[2][0] == UNKNOWN, x[1] - x[0], x[0])):
+            first, last, family = a + first, a + last, hit[0]
+            inside = [alone[i] for i in range(first, last + 1) if i in alone]
+            if family == UNKNOWN and (inside or taken) or any(x[0] == family for x in inside) or any(f == family and first <= j and i <= last for i, j, f in taken):
+                continue
+            taken.append((first, last, family))
+            joined[first, family] = (first, *hit)
+            if family != UNKNOWN:
+                own = set().union(*map(pairs, TEMPLATES[family]))
+                for i in range(first, last + 1):
+                    if i in alone and alone[i][0] == UNKNOWN and pairs(lines[i]) & own:
+                        del alone[i]
+    return sorted([*((i, *hit) for i, hit in alone.items()), *joined.values()])
+
+
 def perturbed(text: str, rng: random.Random, filler: list[str]) -> str:
     """A template with words dropped or strange ones put in, at its ends or inside."""
     w = [x for x in text.split() if rng.random() > 0.06]
@@ -204,21 +304,32 @@ def train(docs: DataFrame) -> LicenseModel:
     return fit([x for x in found if not any(len(k & p) >= 0.3 * len(k) for p in [pairs(x)] for k in known)])
 
 
+def _runs(lines: list[str]) -> list[tuple[int, int]]:
+    """First line, and the one after the last, of each two or more lines without an empty one between them."""
+    full = np.array([False, *(bool(x.strip()) for x in lines), False])
+    edge = np.flatnonzero(full[1:] != full[:-1])
+    return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2]) if b - a > 1]
+
+
 def _scored(model: LicenseModel, texts: list[str | None]):
-    """(lines, their probabilities of a licence) of each text."""
-    waiting, words, sizes = [], [], []
+    """(lines, their probabilities of a licence, runs as ``found_in`` takes them) of each text."""
+    waiting, words, ends = [], [], [0]
     for k, text in enumerate(texts, 1):
         lines = text.split("\n") if text else []
-        waiting.append(lines)
+        waiting.append((lines, _runs(lines), len(ends) - 1))
         for line in lines:
-            before = len(words)
             words += model.numbers(line)
-            sizes.append(len(words) - before)
+            ends.append(len(words))
         if len(words) >= WORDS_AT_ONCE or k == len(texts):
-            p = model.likely(np.array(words, np.int64), np.array(sizes, np.int64))
-            at = np.cumsum([0, *map(len, waiting)])
-            yield from ((x, p[at[i] : at[i + 1]]) for i, x in enumerate(waiting))
-            waiting, words, sizes = [], [], []
+            number, end = np.array(words, np.int64), np.array(ends, np.int64)
+            p = model.likely(number, np.diff(end))
+            first, after = (end[np.array([at + r[i] for _, runs, at in waiting for r in runs], np.int64)] for i in (0, 1))
+            size = after - first
+            number = number[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            joined = iter(zip(model.likely(number, size) >= LIKELY - ROUNDING, model.holds_template(number, size)))
+            for lines, runs, at in waiting:
+                yield lines, p[at : at + len(lines)], [(a, b, *map(bool, next(joined))) for a, b in runs]
+            waiting, words, ends = [], [], [0]
 
 
 FOUND = "array<struct<paragraph:int,family:string,probability:double,share:double>>"
@@ -233,11 +344,9 @@ def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
         m = shared.value
         for batch in batches:
             counts, found, ends = [], [], [0]
-            for lines, likely in _scored(m, batch.column("text").to_pylist()):
+            for lines, likely, runs in _scored(m, batch.column("text").to_pylist()):
                 counts.append(sum(1 for x in lines if x.strip()))
-                for i in np.flatnonzero(likely >= LIKELY - ROUNDING):
-                    if hit := m.classify(lines[i]):
-                        found.append((int(i), *hit))
+                found += found_in(m, lines, likely, runs)
                 ends.append(len(found))
             kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64())
             fields = [pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)]

@@ -281,10 +281,24 @@ def test_licence_words_in_ordinary_lines():
     lines = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", *ordinary_lines()[:6], "", "zzz"]
     got = [model.classify(x) for x in lines]
     assert [x and x[0] for x in got] == ["MIT", "GPL-3.0", "unknown", *[None] * 8]
-    [(_, likely)] = license_scan._scored(model, ["\n".join(lines)])
+    [(_, likely, _)] = license_scan._scored(model, ["\n".join(lines)])
     assert all(p == pytest.approx(x[1], abs=1e-4) if x else p < license_scan.LIKELY for p, x in zip(likely, got))
 
 
+def test_wrapped_licences():
+    model = license_scan.fit(ordinary_lines(), copies=20)
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "# Released under\n# the MIT License."
+    plain = "\n".join(ordinary_lines()[:30])
+    texts = [gpl, bsd, mit, f"{plain}\n\n{bsd}\n\n{plain}", f"{plain}\n{bsd}\n{plain}", "Released under the MIT License.\nLicensed under CC BY 4.0.", plain, None, "", bsd.replace("\n", "\n\n\n"), f"{plain}\n{bsd}\n{plain}\n{gpl}\n{plain}"]
+    got = [[(i, f) for i, f, _, _ in license_scan.found_in(model, *x)] for x in license_scan._scored(model, texts)]
+    names = [sorted({f for _, f in x}) for x in got]
+    assert names[:4] == [["GPL-3.0"], ["BSD-3-Clause"], ["MIT"], ["BSD-3-Clause"]] and got[3] == [(31, "BSD-3-Clause")]
+    assert got[4] == [(30, "BSD-3-Clause")] and got[5] == [(0, "MIT"), (1, "CC-BY-4.0")]
+    assert got[6] == got[7] == got[8] == [] and names[9] != ["BSD-3-Clause"] and names[10] == ["BSD-3-Clause", "GPL-3.0"]
+
+
 def test_warc_records(spark, tmp_path):
     page = '<html><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><h1>Head</h1><!-- <p>no</p> --><p>one <b>two</b>&nbsp;three<br>four<a href="/x?a=1&amp;b=2">l</a></body>'
     pages = spark.createDataFrame([(1, "http://h/a", page), (2, None, None), (2, None, None)], "page_id long, url string, html string")
