@@ -21,9 +21,9 @@ from lexispark.operators.scoring import Params, hinted, idf, matches, ranked, tf
 class Space:
     # The default search space.
     k1: tuple = (0.5, 0.8, 1.0, 1.2, 1.5, 2.0, 2.5, 3.0)
-    b: tuple = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
-    k3: tuple = (0.0, 1.0, 2.0, 4.0, 6.0, 8.0)
-    delta: tuple = (0.0, 0.2, 0.5, 1.0, 1.5, 2.0)
+    b: tuple = (0.0, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 1.0)
+    k3: tuple = (0.0, 0.5, 1.2, 2.0, 4.0, 8.0)
+    delta: tuple = (0.0, 0.3, 0.5, 0.7, 1.0, 1.5)
     idf_type: tuple = ("rsj", "smoothed")
 
     def combos(self) -> list[tuple]:

@@ -126,6 +126,46 @@ def test_grid_equals_single_searches(spark):
         assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items() if abs(v) > 1e-12)
 
 
+def test_whole_grid_equals_brute_force(spark, tmp_path):
+    from collections import Counter
+    from itertools import product
+
+    from lexispark.plans import catalog
+
+    texts = ["alpha beta", "alpha alpha alpha gamma delta epsilon zeta", "beta beta gamma one two three four five", "delta", "alpha beta beta one two"]
+    asked = ["alpha beta", "one two", "delta"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, i % 3) for i in range(5)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rel = [{i: 1 + i % 3 for i, t in enumerate(texts) if q in t} for q in asked]
+    assert all(rel)
+    bags, n = [Counter(t.split()) for t in texts], len(texts)
+    avg = sum(sum(b.values()) for b in bags) / n
+    df = Counter(w for b in bags for w in b)
+    idf = {"rsj": lambda w: math.log((n - df[w] + 0.5) / (df[w] + 0.5)), "smoothed": lambda w: math.log((n + 1) / (df[w] + 1))}
+
+    def ndcg(k1, b, k3, delta, kind):  # no query repeats a word, so k3 has no effect
+        out = 0.0
+        for q, grade in zip(asked, rel):
+            score = {}
+            for i, bag in enumerate(bags):
+                x = sum(idf[kind](w) * ((k1 + 1) * bag[w] / (k1 * (1 - b + b * sum(bag.values()) / avg) + bag[w]) + delta) for w in q.split() if w in bag)
+                if x:
+                    score[i] = round(x, 9)
+            ranked = sorted(score, key=lambda i: (-score[i], i))[:10]
+            gain = lambda g: sum(x / math.log2(r + 2) for r, x in enumerate(g))
+            out += gain([grade.get(i, 0) for i in ranked]) / gain(sorted(grade.values(), reverse=True)[:10])
+        return out / len(asked)
+
+    values = ((0.5, 0.8, 1.0, 1.2, 1.5, 2.0, 2.5, 3.0), (0.0, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 1.0), (0.0, 0.5, 1.2, 2.0, 4.0, 8.0), (0.0, 0.3, 0.5, 0.7, 1.0, 1.5), ("rsj", "smoothed"))
+    want = [(i, *c, round(ndcg(*c), 6)) for i, c in enumerate(product(*values))]
+    got = sorted(tuple(r)[:6] + (r["ndcg@10"],) for r in catalog.queries()["grid_search"](spark, str(tmp_path)).collect())
+    assert len(got) == 6336 and [r[:6] for r in got] == [r[:6] for r in want]
+    assert [r[6] for r in got] == pytest.approx([r[6] for r in want], abs=2e-6)
+    top = max(r[6] for r in want)
+    assert catalog.queries()["grid_search_best"](spark, str(tmp_path)).first()["combo_id"] == next(r[0] for r in want if r[6] == top)
+
+
 def test_index_survives_a_round_trip(spark, tmp_path):
     ix = index.build(readers.corpus(spark, QUICK))
     ix.save(str(tmp_path / "ix"), 2)
