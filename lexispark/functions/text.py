@@ -17,6 +17,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WHITE_SPACE), lambda x: x != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for the row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def counts(token_array: Column) -> Column:
+    """Array of (term, tf) of one row's tokens, sorted by term: counting stays inside the row, so it needs no shuffle."""
+
+    def counted(t):
+        n = F.size(t)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        one = lambda s, i, j: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(s, j + 1), n) - i).cast("long").alias("tf"))
+        return let(starts, lambda s: F.transform(s, lambda i, j: one(s, i, j)))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return let(F.sort_array(token_array), lambda t: F.when(F.size(t) > 0, counted(t)).otherwise(none))
+
+
 def stop_words(spark: SparkSession) -> list[str]:
     """The 175 English stop words, from the list that Spark ships."""
     loaded = spark._jvm.org.apache.spark.ml.feature.StopWordsRemover.loadDefaultStopWords("english")

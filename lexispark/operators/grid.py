@@ -1,34 +1,28 @@
 """Grid search over parameters, factorised.
 
 A score is ``sum_c w(c, k3) A_c(k1, b, idf) + delta I(idf)`` over the classes c of query frequency. So postings are
-aggregated for the (k1, b, idf) bases only, and k3 and delta are applied to these sums.
+aggregated for the (k1, b, idf) bases only, as columns of one aggregation, and k3 and delta are applied to these sums.
+Before they are spread over the combinations, a bound rules out what cannot be among the best (``top_scores``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.config import Space
 from lexispark.operators import metrics
 from lexispark.operators.index import Index, query_terms
-from lexispark.operators.scoring import Params, hinted, idf, matches, ranked, tf_part
+from lexispark.operators.scoring import Params, hinted, idf, matches, ranked, scores, tf_part
 
-
-@dataclass(frozen=True)
-class Space:
-    # The default search space.
-    k1: tuple = (0.5, 0.8, 1.0, 1.2, 1.5, 2.0, 2.5, 3.0)
-    b: tuple = (0.0, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 1.0)
-    k3: tuple = (0.0, 0.5, 1.2, 2.0, 4.0, 8.0)
-    delta: tuple = (0.0, 0.3, 0.5, 0.7, 1.0, 1.5)
-    idf_type: tuple = ("rsj", "smoothed")
-
-    def combos(self) -> list[tuple]:
-        """(combo_id, k1, b, k3, delta, idf_type), the last varying fastest."""
-        return [(i, *map(float, c[:4]), c[4]) for i, c in enumerate(product(self.k1, self.b, self.k3, self.delta, self.idf_type))]
+KINDS = ("rsj", "smoothed")
+#: Bases that one aggregation adds up (a column each; more of them leave generated code behind).
+BASES_AT_ONCE = 24
+#: More than the rounding of ``ranked``, so that equal scores are not told apart by a bound.
+TIES = 1e-8
 
 
 COMBO = "combo_id int, k1 double, b double, k3 double, delta double, idf_type string"
@@ -38,35 +32,89 @@ def combos(spark, space: Space) -> DataFrame:
     return spark.createDataFrame(space.combos(), COMBO)
 
 
+def _chunks(space: Space) -> list[list[tuple]]:
+    """The (k1, b, idf_type) bases, in lists that one aggregation takes as its columns."""
+    bases = [(float(k), float(b), i) for k, b, i in product(space.k1, space.b, space.idf_type)]
+    return [bases[i : i + BASES_AT_ONCE] for i in range(0, len(bases), BASES_AT_ONCE)]
+
+
+def _sums(index: Index, query_term: DataFrame, space: Space, bases: list[tuple], only: DataFrame | None = None) -> DataFrame:
+    """(q_idx, doc_idx, k3, a0, a1, ..., i_rsj, i_smoothed): each base's sum for each k3, and the sums of the weights.
+
+    Postings are read once and added up for all bases of the list, by document and query frequency; k3 comes later.
+    ``only`` (q_idx, doc_idx) restricts the pairs.
+    """
+    n = F.lit(index.doc_count)
+    rows = matches(index, query_term, "qtf", *[idf(n, F.col("df"), kind).alias(f"w_{kind}") for kind in KINDS])
+    if only is not None:
+        rows = rows.join(only, ["q_idx", "doc_idx"])
+    parts = [F.col(f"w_{kind}") * tf_part(F.col("tf"), F.col("dl"), F.lit(index.avgdl), k1, b) for k1, b, kind in bases]
+    weights = [F.sum(f"w_{kind}").alias(f"i_{kind}") for kind in KINDS]
+    by_qtf = rows.groupBy("q_idx", "doc_idx", "qtf").agg(*[F.sum(x).alias(f"a{j}") for j, x in enumerate(parts)], *weights)
+    q, k3 = F.col("qtf").cast("double"), F.col("k3")
+    each = by_qtf.withColumn("k3", F.explode(F.array(*[F.lit(float(x)) for x in space.k3])))
+    saturated = F.when((q > 1) & (k3 > 0), q * (k3 + 1) / (q + k3)).otherwise(1.0)
+    return each.groupBy("q_idx", "doc_idx", "k3").agg(*[F.sum(F.col(f"a{j}") * saturated).alias(f"a{j}") for j in range(len(bases))], *[F.sum(f"i_{kind}").alias(f"i_{kind}") for kind in KINDS])
+
+
+def _spread(sums: DataFrame, space: Space, bases: list[tuple], keep=None) -> DataFrame:
+    """(combo_id, q_idx, doc_idx, score) of the rows of ``_sums``; ``keep`` says which bases of a row stay."""
+    one = [F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(kind).alias("idf_type"), F.col(f"a{j}").alias("a"), F.col(f"i_{kind}").alias("i")) for j, (k1, b, kind) in enumerate(bases)]
+    array = F.array(*one) if keep is None else F.filter(F.array(*[F.when(keep(j, kind), x) for j, ((_, _, kind), x) in enumerate(zip(bases, one))]), lambda x: x.isNotNull())
+    rows = sums.select("q_idx", "doc_idx", "k3", F.inline(array))
+    each = rows.join(F.broadcast(combos(sums.sparkSession, space)), ["k1", "b", "k3", "idf_type"])
+    return each.select("combo_id", "q_idx", "doc_idx", (F.col("a") + F.col("delta") * F.col("i")).alias("score")).where("score != 0")
+
+
 def combo_scores(index: Index, query_term: DataFrame, space: Space) -> DataFrame:
     """(combo_id, q_idx, doc_idx, score) of every combination."""
-    spark = query_term.sparkSession
-    corpus = index.corpus.select(F.col("doc_count").alias("_n"), F.col("avgdl").alias("_avgdl"))
-    rows = matches(index, query_term).join(F.broadcast(corpus))
-    bases = spark.createDataFrame([(float(k), float(b), i) for k, b, i in product(space.k1, space.b, space.idf_type)], "k1 double, b double, idf_type string")
-    weight = F.when(F.col("idf_type") == "rsj", idf(F.col("_n"), F.col("df"), "rsj")).otherwise(idf(F.col("_n"), F.col("df"), "smoothed"))
-    part = weight * tf_part(F.col("tf"), F.col("dl"), F.col("_avgdl"), F.col("k1"), F.col("b"))
-    sums = rows.join(F.broadcast(bases)).groupBy("k1", "b", "idf_type", "q_idx", "doc_idx", "qtf").agg(F.sum(part).alias("a"), F.sum(weight).alias("i"))
-    each = sums.join(F.broadcast(combos(spark, space)), ["k1", "b", "idf_type"])
-    q = F.col("qtf").cast("double")
-    saturated = F.when((q > 1) & (F.col("k3") > 0), q * (F.col("k3") + 1) / (q + F.col("k3"))).otherwise(1.0)
-    return each.groupBy("combo_id", "q_idx", "doc_idx").agg(F.sum(F.col("a") * saturated + F.col("delta") * F.col("i")).alias("score")).where("score != 0")
+    return reduce(DataFrame.unionByName, [_spread(_sums(index, query_term, space, x), space, x) for x in _chunks(space)])
+
+
+def top_scores(index: Index, query_term: DataFrame, space: Space, top_k: int) -> DataFrame:
+    """The rows of ``combo_scores`` that can be among the best ``top_k`` of their combination and query: all that are,
+    and few others.
+
+    The best ``top_k`` documents of one combination in the middle are a yardstick: whoever scores below all of
+    them in another combination is not among its best. A score is linear in delta, and the least score of the
+    yardstick is concave in it, so a base is ruled out if both ends of delta are below. Scores of 0 are no hits, so
+    only a positive least score rules out anything.
+    """
+    mid = lambda x: sorted(x)[len(x) // 2]
+    first = ranked(scores(index, query_term, Params(mid(space.k1), mid(space.b), mid(space.k3), mid(space.delta), space.idf_type[0])), top_k)
+    only = hinted(first.select("q_idx", "doc_idx").persist())  # top_k rows of each judged query
+    most = float(max(space.delta))
+    out = []
+    for bases in _chunks(space):
+        ends = lambda j, kind: (F.col(f"a{j}"), F.col(f"a{j}") + most * F.col(f"i_{kind}"))
+        least = [F.min(x).alias(f"{end}{j}") for j, (_, _, kind) in enumerate(bases) for end, x in zip(("low", "high"), ends(j, kind))]
+        bar = _sums(index, query_term, space, bases, only).groupBy("q_idx", "k3").agg(F.count("*").alias("_n"), *least).where(F.col("_n") >= top_k).drop("_n")
+
+        def keep(j, kind, ends=ends):
+            below = [(F.col(f"{end}{j}") > 0) & (x < F.col(f"{end}{j}") - TIES) for end, x in zip(("low", "high"), ends(j, kind))]
+            return ~F.coalesce(below[0] & below[1], F.lit(False))
+
+        pairs = _sums(index, query_term, space, bases).join(hinted(bar), ["q_idx", "k3"], "left")
+        out.append(_spread(pairs, space, bases, keep))
+    return reduce(DataFrame.unionByName, out)
 
 
 def grid_search(index: Index, queries: DataFrame, qrels: DataFrame, space: Space = Space(), top_k: int = 100, limit_queries: int | None = None) -> DataFrame:
     """Each combination with its metrics; only judged queries are scored. ``queries`` has q_idx, qid, query."""
     if limit_queries is not None:
         queries = queries.where(F.col("q_idx") < limit_queries)
-    judged = queries.join(hinted(metrics.relevance(qrels).select("qid").distinct()), "qid", "left_semi")
-    top = ranked(combo_scores(index, query_terms(judged), space), top_k, ("combo_id", "q_idx"))
-    hits = top.join(index.documents.select("doc_idx", "doc_id"), "doc_idx")
-    each = metrics.per_query(hits, judged, qrels, ("combo_id",))
-    n = judged.agg(F.count("*").alias("num_queries"))
-    mean = lambda c: F.sum(c).alias(c)
-    sums = each.groupBy("combo_id").agg(mean("mrr"), mean("ndcg"), mean("recall"))
-    out = combos(queries.sparkSession, space).join(sums, "combo_id", "left").join(F.broadcast(n))
-    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("num_queries")), F.lit(0.0))
-    return out.select("combo_id", "k1", "b", "k3", "delta", "idf_type", share("mrr").alias("mrr@10"), share("ndcg").alias("ndcg@10"), share("recall").alias("recall@100"), "num_queries")
+    rel = metrics.relevance(qrels).join(queries.select("q_idx", "qid"), "qid")
+    ideal = metrics.ideal(rel.select("qid", "doc_id", "relevance")).join(queries.select("q_idx", "qid"), "qid")
+    judged = queries.join(hinted(rel.select("qid").distinct()), "qid", "left_semi")
+    wanted = index.ids(rel.select("q_idx", "doc_id", "relevance")).drop("doc_id")
+    top = ranked(top_scores(index, query_terms(judged), space, top_k), top_k, ("combo_id", "q_idx"))
+    seen = top.join(hinted(wanted), ["q_idx", "doc_idx"]).groupBy("combo_id", "q_idx").agg(*metrics.gains())
+    each = seen.join(hinted(ideal.select("q_idx", "idcg", "n_rel")), "q_idx").select("combo_id", *metrics.shares())
+    n = judged.count()
+    sums = each.groupBy("combo_id").agg(*[F.sum(c).alias(c) for c in ("mrr", "ndcg", "recall")])
+    out = combos(queries.sparkSession, space).join(sums, "combo_id", "left")
+    share = lambda c: (F.coalesce(F.col(c), F.lit(0.0)) / max(1, n))
+    return out.select("combo_id", "k1", "b", "k3", "delta", "idf_type", share("mrr").alias("mrr@10"), share("ndcg").alias("ndcg@10"), share("recall").alias("recall@100"), F.lit(n).cast("long").alias("num_queries"))
 
 
 def best(results: DataFrame, metric: str = "ndcg") -> DataFrame:

@@ -23,28 +23,36 @@ def ideal(rel: DataFrame) -> DataFrame:
     return rel.withColumn("r", F.row_number().over(order)).groupBy("qid").agg(F.sum(gain).alias("idcg"), F.count("*").alias("n_rel"))
 
 
-def per_query(hits: DataFrame, queries: DataFrame, qrels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, q_idx, mrr, ndcg, recall) of each query with a positive judgement.
-
-    ``hits`` has q_idx, rank, doc_id (and keys, such as a parameter combination), ``queries`` q_idx and qid. Queries
-    without a hit have zeros only where there are no keys (with keys, the caller divides by the judged queries).
-    """
-    rel = relevance(qrels)
-    judged = queries.select("q_idx", "qid").join(ideal(rel), "qid")
-    good = hits.join(F.broadcast(queries.select("q_idx", "qid")), "q_idx").join(F.broadcast(rel), ["qid", "doc_id"])
-    seen = good.groupBy(*keys, "q_idx").agg(
+def gains() -> list:
+    """Aggregates over a query's relevant hits (rank, relevance): first rank and gain of the top ten, hits of the top hundred."""
+    return [
         F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("first"),
         F.sum(F.when(F.col("rank") <= 10, F.col("relevance") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
         F.sum((F.col("rank") <= 100).cast("long")).alias("found"),
-    )
-    rows = judged.join(seen, "q_idx", "right" if keys else "left")
+    ]
+
+
+def shares() -> list:
+    """Reciprocal rank, NDCG and recall from ``gains`` and the query's ideal; 0 where nothing relevant was found."""
     zero = F.lit(0.0)
-    return rows.select(
-        *keys, "q_idx",
+    return [
         F.coalesce(F.try_divide(zero + 1, F.col("first").cast("double")), zero).alias("mrr"),
         F.coalesce(F.try_divide(F.col("dcg"), F.col("idcg")), zero).alias("ndcg"),
         F.coalesce(F.col("found") / F.col("n_rel"), zero).alias("recall"),
-    )
+    ]
+
+
+def per_query(hits: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(q_idx, mrr, ndcg, recall) of each query with a positive judgement.
+
+    ``hits`` has q_idx, rank, doc_id, ``queries`` q_idx and qid. No side is broadcast by force: the judgements may be
+    many, and the ranked hits are small once they are shuffled, which adaptive execution sees.
+    """
+    rel = relevance(qrels)
+    judged = queries.select("q_idx", "qid").join(ideal(rel), "qid")
+    wanted = rel.join(queries.select("q_idx", "qid"), "qid").select("q_idx", "doc_id", "relevance")
+    seen = hits.join(wanted, ["q_idx", "doc_id"]).groupBy("q_idx").agg(*gains())
+    return judged.join(seen, "q_idx", "left").select("q_idx", *shares())
 
 
 def evaluate(hits: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:

@@ -40,9 +40,3 @@ def length_buckets(documents: DataFrame, buckets: int) -> DataFrame:
     for c in cuts:
         number = number + (F.col("dl") > c).cast("int")
     return documents.withColumn("bucket", number)
-
-
-def dense_ids(docs: DataFrame, order: str = "doc_id", key: str | None = None) -> DataFrame:
-    """doc_idx 0..n-1 in each corpus ``key`` (small corpora; one window for each)."""
-    w = Window.partitionBy(key).orderBy(order)
-    return docs.withColumn("doc_idx", F.row_number().over(w).cast("long") - 1)

@@ -1,40 +1,24 @@
 """BM25 and BM25+ scores of whole query sets, and ranked top-k lists.
 
-Query terms join the postings on the term; the partial scores of a document sum up in one hash aggregation with a
-map-side combine, and the ranked window carries at most k rows of a query from each partition.
+Query terms, with their weights, join the postings on the term by broadcast (after a count; beyond the bound both
+sides are shuffled). All postings of a document are in one partition of a kept index, so its scores are summed up
+there without a shuffle, and the ranked window carries at most k rows of a query from each partition.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexispark.config import Params
 from lexispark.operators.index import Index
+from lexispark.staging import small
 
 #: A query-term table of at most so many rows is broadcast; a longer one is shuffled with the postings.
 BROADCAST_TERMS = 500_000
 
 
-@dataclass(frozen=True)
-class Params:
-    k1: float = 1.2
-    b: float = 0.75
-    k3: float = 0.0
-    delta: float = 0.0
-    idf_type: str = "rsj"
-
-    @property
-    def model_variant(self) -> str:
-        return "bm25+" if self.delta > 0 else "bm25"
-
-    def updated(self, **changes) -> Params:
-        """Only what is given and not None changes."""
-        return replace(self, **{k: v for k, v in changes.items() if v is not None})
-
-
 def idf(n: Column, df: Column, kind: str) -> Column:
     n, df = n.cast("double"), df.cast("double")
     if kind == "rsj":
@@ -58,27 +42,31 @@ def qtf_part(qtf: Column, k3: float) -> Column:
     return F.when(q > 1, q * (k3 + 1.0) / (q + k3)).otherwise(1.0) if k3 > 0 else F.lit(1.0)
 
 
-def hinted(small: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+def hinted(side: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """A broadcast hint, after a count has shown that the side is small."""
-    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+    return small(side, most)
+
+
+def weighted(index: Index, query_term: DataFrame) -> DataFrame:
+    """``query_term`` (q_idx, term, qtf, ...) with the document frequency ``df``; unknown terms fall away."""
+    return query_term.join(index.terms.select("term", "df"), "term")  # no more rows than the query terms
 
 
-def matches(index: Index, query_term: DataFrame, *, checked: bool = False) -> DataFrame:
-    """(q_idx, doc_idx, term, tf, dl, qtf, pos, df): postings of the queries' terms; unknown terms fall away."""
-    terms = query_term if checked else hinted(query_term)
-    wanted = terms.select("term").distinct()
-    met = index.postings.join(F.broadcast(wanted) if terms is not query_term else wanted, "term", "left_semi")
-    df = met.groupBy("term").agg(F.count("*").alias("df"))
-    per_query = query_term.join(df, "term")  # no more rows than the query terms
-    return met.join(F.broadcast(per_query) if terms is not query_term else per_query, "term").select("q_idx", "doc_idx", "term", "tf", "dl", "qtf", "pos", "df")
+def matches(index: Index, query_term: DataFrame, *columns: str | Column) -> DataFrame:
+    """(q_idx, doc_idx, tf, dl, columns): postings of the queries' terms; ``columns`` are made from a query term's row
+    (q_idx, term, qtf, df) before it meets the postings."""
+    wanted = weighted(index, hinted(query_term)).select("q_idx", "term", *columns)
+    wanted = F.broadcast(wanted) if query_term.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
+    return index.postings.join(wanted, "term").drop("term")
 
 
 def scores(index: Index, query_term: DataFrame, params: Params) -> DataFrame:
     """(q_idx, doc_idx, score), scores of exactly 0 dropped and negative ones kept."""
-    corpus = index.corpus.select(F.col("doc_count").alias("_n"), F.col("avgdl").alias("_avgdl"))
-    rows = matches(index, query_term).join(F.broadcast(corpus))  # one row
-    weight = idf(F.col("_n"), F.col("df"), params.idf_type)
-    part = weight * tf_part(F.col("tf"), F.col("dl"), F.col("_avgdl"), params.k1, params.b) * qtf_part(F.col("qtf"), params.k3) + weight * float(params.delta)
+    weight = idf(F.lit(index.doc_count), F.col("df"), params.idf_type)
+    rows = matches(index, query_term, (weight * qtf_part(F.col("qtf"), params.k3)).alias("w"), (weight * float(params.delta)).alias("more"))
+    part = F.col("w") * tf_part(F.col("tf"), F.col("dl"), F.lit(index.avgdl), params.k1, params.b)
+    if params.delta:
+        part = part + F.col("more")
     return rows.groupBy("q_idx", "doc_idx").agg(F.sum(part).alias("score")).where("score != 0")
 
 
@@ -99,10 +87,8 @@ def search_many(index: Index, queries: DataFrame, params: Params, top_k: int = 1
 def score_documents(index: Index, term: str, params: Params, doc_idx: int | None = None) -> DataFrame:
     """(doc_idx, tf, dl, score) of one term's postings, without query frequency; an unknown term has none."""
     rows = index.postings.where(F.col("term") == term)
-    df = rows.agg(F.count("*").alias("_df"))
-    corpus = index.corpus.select(F.col("doc_count").alias("_n"), F.col("avgdl").alias("_avgdl"))
     if doc_idx is not None:
         rows = rows.where(F.col("doc_idx") == doc_idx)
-    weight = idf(F.col("_n"), F.col("_df"), params.idf_type)
-    part = weight * tf_part(F.col("tf"), F.col("dl"), F.col("_avgdl"), params.k1, params.b) + weight * float(params.delta)
-    return rows.join(F.broadcast(df)).join(F.broadcast(corpus)).select("doc_idx", "tf", "dl", part.alias("score"))
+    weight = idf(F.lit(index.doc_count), F.lit(index.doc_freq(term)), params.idf_type)
+    part = weight * tf_part(F.col("tf"), F.col("dl"), F.lit(index.avgdl), params.k1, params.b) + weight * float(params.delta)
+    return rows.select("doc_idx", "tf", "dl", part.alias("score"))

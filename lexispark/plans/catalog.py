@@ -13,14 +13,39 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import text as txt
 from lexispark.operators import features as feat
-from lexispark.operators import grid, index as indexing, metrics, predict, sampling, scoring
+from lexispark.operators import containment, grid, index as indexing, metrics, predict, sampling, scoring
 from lexispark.plans import oracle
 from lexispark.sources import sinks
 
-_INDEXES: dict[tuple, indexing.Index] = {}
 SPACE = grid.Space((0.5, 1.2, 2.0), (0.0, 0.4, 0.8), (0.0, 4.0), (0.0, 1.0), ("rsj", "smoothed"))
 SMALL_SAMPLE = 200
 
+#: What the queries of one folder share (index, judgements, parameter table), by name; the last folder's are kept.
+_KEPT: dict[str, object] = {}
+_FOLDER: list[tuple] = []
+
+
+def _kept(spark: SparkSession, d: str, name: str, make: Callable):
+    """``make()``, made once for a folder and session."""
+    now = (spark.sparkContext.applicationId, d)
+    if _FOLDER != [now]:
+        release()
+        _FOLDER[:] = [now]
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def release() -> None:
+    """Free what is kept for the last folder; the next query makes it anew."""
+    for x in _KEPT.values():
+        try:
+            x.unpersist() if hasattr(x, "unpersist") else None
+        except Exception:  # noqa: BLE001  its session has ended, and the tables with it
+            pass
+    _KEPT.clear()
+    _FOLDER.clear()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,15 +61,11 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 def _index(spark: SparkSession, d: str) -> indexing.Index:
     """The corpus's index, kept for the session: it is built once and asked often."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        _INDEXES[key] = indexing.build(_docs(spark, d)).persist()
-    return _INDEXES[key]
+    return _kept(spark, d, "index", lambda: indexing.build(_docs(spark, d), carry=("lang", "source")).persist())
 
 
 def _by(spark: SparkSession, d: str, column: str) -> indexing.Index:
-    docs = sampling.dense_ids(_docs(spark, d).drop("doc_idx").withColumn("corpus_id", F.col(column)), "doc_id", "corpus_id")
-    return indexing.build(docs)
+    return _kept(spark, d, f"index by {column}", lambda: _index(spark, d).by(column).persist())
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
@@ -59,11 +80,19 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return feat.features(_index(spark, d), _terms(spark, d))
 
 
+def _wide(spark: SparkSession, d: str, column: str) -> DataFrame:
+    """The statistics of each corpus of a column, one row each, kept."""
+    return _kept(spark, d, f"features by {column}", lambda: feat.features(_by(spark, d, column)).persist())
+
+
 def _qrels(spark: SparkSession, d: str) -> DataFrame:
-    q, docs = _queries(spark, d), table(spark, d, "documents")
-    pairs = docs.join(F.broadcast(q), F.col("text").contains(F.col("query")))  # each text against the query set
-    graded = pairs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return graded.select("qid", F.col("doc_id").cast("string").alias("doc_id"), (1 + F.coalesce("quality", F.lit(0))).cast("int").alias("relevance"))
+    def made():
+        q = _queries(spark, d)
+        pairs = containment.containing(_index(spark, d), _docs(spark, d), q).join(q.select("q_idx", "qid"), "q_idx")
+        graded = pairs.join(table(spark, d, "labels").select("doc_id", "quality"), F.col("doc_id") == F.col("doc_idx"), "left")
+        return graded.select("qid", F.col("doc_idx").cast("string").alias("doc_id"), (1 + F.coalesce("quality", F.lit(0))).cast("int").alias("relevance")).persist()
+
+    return _kept(spark, d, "judgements", made)
 
 
 def _search(spark: SparkSession, d: str, params: scoring.Params, k: int) -> DataFrame:
@@ -75,8 +104,11 @@ def _hits(df: DataFrame) -> DataFrame:
 
 
 def _adaptive(spark: SparkSession, d: str) -> scoring.Params:
-    r = predict.heuristic(_features(spark, d), []).first()
-    return scoring.Params(r["k1"], r["b"], r["k3"], r["delta"], r["idf_type"])
+    def made():
+        r = predict.heuristic(_features(spark, d), []).first()
+        return scoring.Params(r["k1"], r["b"], r["k3"], r["delta"], r["idf_type"])
+
+    return _kept(spark, d, "adaptive parameters", made)
 
 
 def _length(s, d):
@@ -85,16 +117,19 @@ def _length(s, d):
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     """A parameter table of one entry for each source, with the formulas' parameters."""
-    wide = feat.features(_by(spark, d, "source"))
-    params = predict.heuristic(wide, ["corpus_id"])
-    m = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.round(F.col(k).cast("double"), 9)) for k in feat.CORPUS_KEYS]))
-    both = wide.select("corpus_id", m.alias("features")).join(params, "corpus_id")
-    return both.select(F.col("corpus_id").alias("name"), "features", F.struct("k1", "b", "k3", "delta", "idf_type").alias("params")).persist()
+
+    def made():
+        wide = _wide(spark, d, "source")
+        m = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.round(F.col(k).cast("double"), 9)) for k in feat.CORPUS_KEYS]))
+        both = wide.select("corpus_id", m.alias("features")).join(predict.heuristic(wide, ["corpus_id"]), "corpus_id")
+        return both.select(F.col("corpus_id").alias("name"), "features", F.struct("k1", "b", "k3", "delta", "idf_type").alias("params")).persist()
+
+    return _kept(spark, d, "entries", made)
 
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
-    wide = feat.features(_by(spark, d, "lang"))
-    return wide.select("corpus_id", *[F.round(F.col(k).cast("double"), 9).alias(k) if k not in feat.QUERY_KEYS else F.col(k) for k in feat.FEATURE_KEYS]).persist()
+    wide = _wide(spark, d, "lang")
+    return wide.select("corpus_id", *[F.round(F.col(k).cast("double"), 9).alias(k) if k not in feat.QUERY_KEYS else F.col(k) for k in feat.FEATURE_KEYS])
 
 
 def _table(spark: SparkSession, d: str, **settings) -> predict.ParamTable:
@@ -124,7 +159,7 @@ def _nested(s, d):
 
 
 def _grid(s, d, space=SPACE):
-    return _rounded(grid.grid_search(_index(s, d), _queries(s, d), _qrels(s, d), space))
+    return _kept(s, d, f"grid {space}", lambda: _rounded(grid.grid_search(_index(s, d), _queries(s, d), _qrels(s, d), space)).persist())
 
 
 def _sample(s, d):
@@ -145,7 +180,7 @@ P = scoring.Params
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize_documents": _tokens,
-    "term_counts_first_pos": lambda s, d: indexing.counted_terms(_index(s, d).tokenized, ["doc_idx"]),
+    "term_counts_first_pos": lambda s, d: indexing.counted_terms(table(s, d, "documents").select(F.col("doc_id").alias("doc_idx"), txt.tokens(F.col("text")).alias("tokens")), ["doc_idx"]),
     "postings": lambda s, d: _index(s, d).postings,
     "doc_stats": lambda s, d: _rounded(_index(s, d).document_stats),
     "term_stats": lambda s, d: _index(s, d).terms,
@@ -157,8 +192,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feat_heaps": lambda s, d: _rounded(feat.heaps(_index(s, d)).drop(feat.ID)),
     "feat_query_side": lambda s, d: _rounded(feat.query_features(_index(s, d), _terms(s, d)).drop(feat.ID)),
     "features_all": lambda s, d: _rounded(_features(s, d)),
-    "features_by_source": lambda s, d: _rounded(feat.features(_by(s, d, "source")).drop(*feat.QUERY_KEYS)),
-    "features_by_lang": lambda s, d: _rounded(feat.features(_by(s, d, "lang")).drop(*feat.QUERY_KEYS)),
+    "features_by_source": lambda s, d: _rounded(_wide(s, d, "source").drop(*feat.QUERY_KEYS)),
+    "features_by_lang": lambda s, d: _rounded(_wide(s, d, "lang").drop(*feat.QUERY_KEYS)),
     "idf_rsj": lambda s, d: _idf(s, d, "rsj"),
     "idf_smoothed": lambda s, d: _idf(s, d, "smoothed"),
     "bm25_default_top10": lambda s, d: _hits(_search(s, d, P(), 10)),
@@ -170,7 +205,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_doc_postings": lambda s, d: _rounded(scoring.score_documents(_index(s, d), "the", P(delta=0.5))),
     "bm25_adaptive_top100": lambda s, d: _hits(_search(s, d, _adaptive(s, d), 100)),
     "heuristic_params": lambda s, d: predict.heuristic(_features(s, d), []),
-    "heuristic_params_by_source": lambda s, d: predict.heuristic(feat.features(_by(s, d, "source")), ["corpus_id"]),
+    "heuristic_params_by_source": lambda s, d: predict.heuristic(_wide(s, d, "source"), ["corpus_id"]),
     "dict_normaliser": lambda s, d: _rounded(_table(s, d).normaliser()),
     "dict_zscores": lambda s, d: _rounded(_table(s, d).zscores(_long(s, d)).select("corpus_id", "key", "z")),
     "dict_distances": lambda s, d: _rounded(_table(s, d).distances(_long(s, d))),
@@ -199,8 +234,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _idf(s: SparkSession, d: str, kind: str) -> DataFrame:
     ix = _index(s, d)
-    rows = ix.terms.join(F.broadcast(ix.corpus))
-    return rows.select("term", F.round(scoring.idf(F.col("doc_count"), F.col("df"), kind), 6).alias("idf"))
+    return ix.terms.select("term", F.round(scoring.idf(F.lit(ix.doc_count), F.col("df"), kind), 6).alias("idf"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexispark.staging import Stage
+
 # Header names that a judgement file may use.
 QID_NAMES = ("qid", "query-id", "query_id", "queryid")
 DOC_NAMES = ("corpus_id", "corpus-id", "doc_id", "doc-id", "docid")
@@ -26,8 +28,11 @@ def files(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """A dense ordinal from 0 in file order, without gathering the rows: partitions are counted, then offset."""
-    rows = df.withColumn("_m", F.monotonically_increasing_id())
+    """A dense ordinal from 0 in file order, without gathering the rows: partitions are counted, then offset.
+
+    The rows are staged first, so that counting and numbering see the same rows in the same order whatever ``df`` is.
+    """
+    rows = Stage(df.sparkSession, "numbered").table(df.withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
     sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))  # one row for each partition
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -37,8 +42,10 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with a fixed schema (ids stay text); blank lines are skipped and bad ones fail."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines with a fixed schema (ids stay text, other fields are skipped); blank lines are left out, a bad one
+    fails. Bytes that are no UTF-8 become the replacement character."""
+    lines = spark.read.text(path).select(F.make_valid_utf8("value").alias("value")).where(F.trim(F.regexp_replace("value", "\r$", "")) != "")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def _text(*names: str) -> Column:

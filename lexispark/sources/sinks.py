@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import asdict
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.config import Params
+
 
 def nested(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """(q_idx, qid, results): each query's ranked list in one row, empty where nothing was found."""
@@ -32,6 +37,27 @@ def report(default: DataFrame, adaptive: DataFrame, best: DataFrame | None = Non
     return out
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """A small table as JSON in one file."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+def json_text(value, pretty: bool = True) -> str:
+    """JSON with two spaces of indent, or in one line."""
+    return json.dumps(value, ensure_ascii=False, indent=2) if pretty else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def write_json(spark: SparkSession, value, path: str, pretty: bool = True) -> None:
+    """A small value (a report, a list of combinations) as one JSON file, on any file system that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray((json_text(value, pretty) + "\n").encode()))
+    finally:
+        out.close()
+
+
+def evaluation(dataset: str, adaptive_params: Params, default_params: Params, default: DataFrame, adaptive: DataFrame) -> dict:
+    """The value of ``evaluation.json``."""
+    one = lambda df: df.first().asDict()  # noqa: E731  one row
+    return {"dataset": dataset, "adaptive_params": asdict(adaptive_params), "default_params": asdict(default_params), "default": one(default), "adaptive": one(adaptive)}
+
+
+def grid_report(results: DataFrame, best: DataFrame) -> dict:
+    """The value of ``grid.json``: the best combination, and all of them in order (some thousand rows)."""
+    return {"best": best.first().asDict(), "results": [r.asDict() for r in results.orderBy("combo_id").collect()]}

@@ -7,16 +7,15 @@ from pyspark.sql import DataFrame
 from lexispark.operators import index as indexing
 
 
-def append_to(path: str):
-    """A ``foreachBatch`` function that appends each micro-batch (doc_idx, doc_id, text) to a saved index.
+def append_to(path: str, stop: list[str] | None = None):
+    """A ``foreachBatch`` function that adds each micro-batch (doc_idx, doc_id, text) to a saved index.
 
-    Each batch goes to folders of its own, named by the batch, and is written over if it is repeated.
+    Each batch goes to folders of its own beside those of ``Index.save``, named by the batch's number, and is written
+    over if it is repeated; nothing that is there already is read or changed. ``doc_idx`` must go on from the index's.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        part = indexing.build(batch)
-        part.tokenized.write.mode("overwrite").parquet(f"{path}/documents/batch={batch_id}")
-        part.postings.sortWithinPartitions("term", "doc_idx").write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
+        indexing.write_batch(indexing.build(batch, stop), path, str(batch_id), "overwrite")
 
     return write
 

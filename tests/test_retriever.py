@@ -6,13 +6,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.functions.text import stop_words, tokens, windows
-from lexispark.operators import features as feat
-from lexispark.operators import grid, index, metrics, predict, sampling, scoring
+from lexispark.functions.text import tokens, windows
+from lexispark.operators import grid, index, metrics, predict, scoring
 from lexispark.retriever import Retriever
 from lexispark.sources import readers, sinks
 
-QUICK = ["BM25 is a probabilistic ranking function used in information retrieval.", "Automatic parameter tuning improves retrieval effectiveness."]
+PAIR = ["Slow tasks hold up a stage until the last partition ends.", "Salting spreads one hot key over many small partitions evenly."]
 
 
 def test_tokens_split_at_unicode_space(spark):
@@ -22,17 +21,24 @@ def test_tokens_split_at_unicode_space(spark):
     assert got == [["a", "b", "c"], ["c", "d", "e"], ["e"]]
 
 
-def test_quick_start(spark):
-    r = Retriever(spark, QUICK)
+def test_two_texts(spark):
+    """11 and 10 tokens, none repeated inside a text; 'partition' and 'partitions' differ."""
+    r = Retriever(spark, PAIR)
     f = r.features
-    assert f["avgdl"] == 8 and f["vocab_size"] == 16 and f["len_skew"] == 0 and "avg_query_len" not in f
-    assert f["stopword_density"] == pytest.approx(0.1875) and f["len_p90"] == pytest.approx(9.6)
-    assert (r.params.k1, r.params.b, r.params.k3, r.params.delta, r.params.idf_type) == (0.5, 0.3939, 0.0, 0.3536, "smoothed")
-    [(doc, score)] = r.search("parameter tuning")
-    assert doc == "1" and score == pytest.approx(1.125197, abs=1e-6)
-    assert r.search("document") == [] and r.search("parameter", 0) == []
+    assert f["avgdl"] == 10.5 and f["vocab_size"] == 21 and f["len_skew"] == 0 and "avg_query_len" not in f
+    std = math.sqrt(0.5)
+    assert f["std_len"] == pytest.approx(std) and f["hapax_ratio"] == 1 and f["len_p90"] == pytest.approx(10.9) and f["avg_ttr"] == 1
+    assert f["stopword_density"] == pytest.approx(5 / 21)  # up, a, until, the; over
+    b = round(0.5 - 0.3 * std / 10.5, 4)
+    assert (r.params.k1, r.params.b, r.params.k3, r.params.delta, r.params.idf_type) == (0.5, b, 0.0, round(std / 10.5, 4), "smoothed")
+    [(doc, score)] = r.search("hot key")
+    weight, saturated = math.log(3 / 2), 1.5 / (1 + 0.5 * (1 - b + b * 10 / 10.5))
+    assert doc == "1" and score == pytest.approx(2 * weight * (saturated + r.params.delta), abs=1e-6)
+    assert r.search("document") == [] and r.search("hot", 0) == []
+    assert (r.doc_count, r.total_tokens, r.avgdl, r.vocab_size, r.doc_freq("hot"), r.doc_freq("cold")) == (2, 21, 10.5, 21, 1, 0)
+    assert r.idf("hot") == pytest.approx(weight) and r.idf("cold") == 0
     r.set_params(1.2, 0.75, 0.0, 0.0, "rsj")
-    assert r.search("parameter tuning") == []  # idf is exactly 0
+    assert r.search("hot key") == [] and r.idf("hot") == 0  # half of the documents hold each word
 
 
 def test_negative_scores_stay_and_ties_go_by_position(spark):
@@ -164,13 +170,3 @@ def test_whole_grid_equals_brute_force(spark, tmp_path):
     assert [r[6] for r in got] == pytest.approx([r[6] for r in want], abs=2e-6)
     top = max(r[6] for r in want)
     assert catalog.queries()["grid_search_best"](spark, str(tmp_path)).first()["combo_id"] == next(r[0] for r in want if r[6] == top)
-
-
-def test_index_survives_a_round_trip(spark, tmp_path):
-    ix = index.build(readers.corpus(spark, QUICK))
-    ix.save(str(tmp_path / "ix"), 2)
-    back = index.Index.load(spark, str(tmp_path / "ix"))
-    assert sorted(map(tuple, back.postings.collect())) == sorted(map(tuple, ix.postings.collect()))
-    assert len(stop_words(spark)) == 175
-    assert sampling.random_share(ix.documents, 1.0, 1).count() == 2
-    assert feat.features(back).first()["vocab_size"] == 16
