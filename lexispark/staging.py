@@ -93,15 +93,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def ordinals(df: DataFrame, name: str, keys: list[str], order: list[str], stage: Stage) -> DataFrame:
+def ordinals(df: DataFrame, name: str, keys: list[str], order: list[str], stage: Stage, tie: str | None = None) -> DataFrame:
     """``df`` with a dense number from 0 in each group of ``keys``, in the order of ``order``.
 
     Rows are dealt by ranges of (keys, order), so a group of any size is numbered by many tasks: each row's place in
     its range, after the count of the group's rows in the ranges before. Equal rows of ``order`` are dealt by a
-    number of their own, so repeats do not meet in one task. Carry only the columns that are needed.
+    number of their own, so repeats do not meet in one task; ``tie`` names it if a staged ``df`` has one already. Carry
+    only the columns that are needed.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stage.table(df.withColumn("_tie", F.monotonically_increasing_id()))
+    columns = [c for c in df.columns if c != tie]
+    rows = df.withColumnRenamed(tie, "_tie") if tie else stage.table(df.withColumn("_tie", F.monotonically_increasing_id()))
     dealt = rows.repartitionByRange(parts, *keys, *order, "_tie").sortWithinPartitions(*keys, *order, "_tie")
     dealt = stage.table(dealt.drop("_tie").withColumn("_m", F.monotonically_increasing_id()))
     dealt = dealt.withColumn("_p", F.shiftright("_m", 33))
@@ -110,4 +112,4 @@ def ordinals(df: DataFrame, name: str, keys: list[str], order: list[str], stage:
     sizes = dealt.groupBy(*keys, "_p").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))  # a row for each group and task
     sizes = stage.table(sizes.select(*keys, "_p", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_add")))
     out = dealt.alias("d").join(small(sizes).alias("s"), same("d", "s"))
-    return out.select(*[F.col(f"d.{c}") for c in df.columns], (F.col("_m") + F.col("_add")).cast("long").alias(name))
+    return out.select(*[F.col(f"d.{c}") for c in columns], (F.col("_m") + F.col("_add")).cast("long").alias(name))
