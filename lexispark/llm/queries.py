@@ -74,6 +74,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexispark.llm import preference, winnowing
+    from lexispark.llm import packing, preference, winnowing
 
-    return {"op7_preference": preference.SQL, "op9_winnowing": winnowing.SQL}
+    return {"op2_length_buckets": packing.SQL, "op7_preference": preference.SQL, "op9_winnowing": winnowing.SQL}

@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: session settings, staged tables, size checks."""
+"""Helpers shared by the corpus operators: what Python work needs from the session, and names that clash with none."""
 
 from __future__ import annotations
 
@@ -10,12 +10,13 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to Python; texts are long, so batches are short.
-ARROW_ROWS = 1000
-#: A side of a join is broadcast only after a count showed at most this many (narrow) rows.
-BROADCAST_ROWS = 400_000
+from lexispark.staging import BROADCAST_ROWS, Stage, ordinals, small
+
+__all__ = ["BROADCAST_ROWS", "Stage", "bounded_batches", "fresh", "ordinals", "read", "small"]
+
+#: Most rows and bytes of an Arrow batch sent to Python: texts are long, so batches are short.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def _ship(spark: SparkSession) -> None:
@@ -33,74 +34,29 @@ def _ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Prepare for Python work on texts: the executors get this package, and batches of few rows, as texts are long."""
-    _ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset (tests on one machine) a folder below the warehouse is used.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged").rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session has ended; its folder goes with it
-        pass
-
-
-class Stage:
-    """Tables written to the shared folder in one operator run.
+def _bytes(value: str) -> int:
+    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = value.strip().lower().rstrip("bkmg") or "0"
+    return int(digits) * unit.get(value.strip().lower()[len(digits) : len(digits) + 1] or "b", 1)
 
-    A written table cuts the lineage: a lost executor costs the tasks it ran, not the whole job. ``result``
-    removes the tables that the operator's result does not read; the others go when the session ends.
-    """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
-        atexit.register(_remove, spark, self.root)
-
-    def table(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths) + 1}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (out, path)
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            _remove(self.spark, self.paths[id(t)][1])
-
-    def result(self, df: DataFrame, *needed: DataFrame) -> DataFrame:
-        keep = {id(t) for t in needed}
-        for k, (_, path) in self.paths.items():
-            if k not in keep:
-                _remove(self.spark, path)
-        return df
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows, else as it is.
-
-    ``df`` should be a staged table: it is counted here and read again in the join. Beyond the bound the
-    join shuffles both sides, and Spark splits skewed partitions.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def column_or_null(df: DataFrame, name: str, kind: str):
-    """The column, or nulls of ``kind`` where the table lacks it."""
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+def bounded_batches(spark: SparkSession) -> None:
+    """Prepare for Python work on texts: the executors get this package, and the session's Arrow batches are bounded in
+    rows and bytes (lower settings stay). The settings hold on, as results are computed after an operator returns."""
+    _ship(spark)
+    for key, most, shown, number in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS, str(ARROW_ROWS), int),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES, f"{ARROW_BYTES}b", _bytes),
+    ):
+        now = spark.conf.get(key, None)
+        if now is None or not 0 < number(now) <= most:
+            spark.conf.set(key, shown)
+
+
+def fresh(*names: str) -> list[str]:
+    """Column names that no table of a caller has."""
+    mark = uuid.uuid4().hex[:12]
+    return [f"_{n}_{mark}" for n in names]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
