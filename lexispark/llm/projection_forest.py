@@ -1,9 +1,11 @@
 """Near-duplicate vectors of equal label by a forest of random-projection trees.
 
-Each tree splits the unit vectors at the median of a random direction, again and again; a vector within ``spill``
-of a split goes to both sides. The trees are fitted on a bounded sample, and every vector is sorted into them.
-Vectors of one label that share a leaf are compared exactly (cosine in double precision) and linked from 0.98 on;
-components are the union of all links.
+Each tree splits the unit vectors at the median of a random direction, level by level; a vector within ``spill`` of a
+split goes to both sides. A tree has one direction for each level, made from a seed, and a split for each inner node,
+so trees of millions of leaves are short tables of numbers. Their upper levels are fitted on a bounded sample; leaves
+that then hold many vectors are split further, each on a bounded sample of its own, until they are small or cannot be
+split (copies that all lie together). Every vector is sorted into every tree. Vectors of one label that share a leaf are
+compared exactly (cosine in double precision) and linked from 0.98 on; components are the union of all links.
 
 Exact copies are one class and are compared once; their counts enter the links. A pair that shares several leaves
 is counted in the first of them only, so no pair has to be written out to count links once: a leaf gives each
@@ -12,8 +14,9 @@ pairs of blocks, each a task of bounded size.
 
 Defined results: a row with a null label, or a vector that is null, empty, zero or holds a null or non-finite
 component, has no links and is its own component; vectors of different lengths do not link; a row with a null
-vec_id takes no part (component null, kept); every row counts as a vector, also one that repeats; an empty table
-gives an empty result; other columns pass unread.
+vec_id takes no part (component null, kept); every row counts as a vector, also one that repeats, and rows that share a
+vec_id but not the vector are different vectors (each has its own links); an empty table gives an empty result; other
+columns, whatever their names, pass unread.
 """
 
 from __future__ import annotations
@@ -30,74 +33,87 @@ from lexispark.llm.runtime import Stage, bounded_batches, small
 
 THRESHOLD = 0.98
 TREES = 4
-#: Vectors that the trees are fitted on: those with the lowest hashes of their least id.
-SAMPLE = 8000
-#: Rows, of all labels, that a leaf should have at most; a tree has at most SAMPLE leaves.
-LEAF_ROWS = 2000
+#: Vectors that a tree's upper levels, and each further leaf, are fitted on: those with the lowest hashes.
+SAMPLE, LEAF_SAMPLE = 8000, 2000
+#: Rows, of all labels, that a leaf should have at most, and from how many on a leaf is split further.
+LEAF_ROWS, LARGE_LEAF = 2000, 8000
+#: A split is worth it if no more than this share of the rows goes to both sides; levels that may be passed over.
+MOST_SPILL, PASSED = 0.4, 6
+#: Levels of a tree (node numbers are 64 bits), and rounds of further splits.
+LEVELS, ROUNDS = 48, 6
 #: Rows of a block: a task compares two blocks.
 BLOCK = 1024
 
 
 @dataclass
 class Tree:
-    """Inner node i: its direction and split, and its children; a negative child -k-1 is leaf k."""
+    """Nodes are numbered as in a heap: 1, and 2i and 2i + 1 below i. ``node`` are the inner ones, sorted, with the
+    ``split`` of each (NaN: passed over, all rows go to 2i); a number that is not there is a leaf."""
 
-    direction: np.ndarray
+    seed: int
+    dim: int
+    node: np.ndarray
     split: np.ndarray
-    child: np.ndarray
 
+    def directions(self) -> np.ndarray:
+        d = np.random.default_rng(self.seed).normal(size=(self.dim, LEVELS))
+        return d / np.linalg.norm(d, axis=0)
 
-def fit(sample: np.ndarray, rows: int, seed: int, leaf_rows: int = LEAF_ROWS) -> Tree:
-    """A tree over ``sample`` (unit vectors) whose leaves have about ``leaf_rows`` of ``rows`` vectors."""
-    rng = np.random.default_rng(seed)
-    least = max(2.0, leaf_rows * len(sample) / max(1, rows))
-    direction, split, child = [], [], []
-    leaves, todo = 0, [(np.arange(len(sample)), None, 0)]
-    while todo:
-        at, parent, side = todo.pop()
-        for _ in range(3):  # equal projections cannot be split: try another direction
-            if len(at) <= least:
-                break
-            d = rng.normal(size=sample.shape[1])
-            d /= np.linalg.norm(d)
-            p = sample[at] @ d
-            cut = float(np.median(p))
-            right = p > cut
-            if right.any() and not right.all():
-                break
-        else:
-            at = at[:0]
-        if len(at) <= least:
-            name = -leaves - 1
-            leaves += 1
-        else:
-            name = len(split)
-            direction.append(d)
-            split.append(cut)
-            child.append([0, 0])
-            todo += [(at[right], name, 1), (at[~right], name, 0)]
-        if parent is not None:
-            child[parent][side] = name
-    return Tree(np.array(direction).reshape(-1, sample.shape[1]), np.array(split), np.array(child, dtype=np.int64).reshape(-1, 2))
-
-
-def leaves(tree: Tree, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of every leaf that each vector reaches."""
-    out_row, out_leaf = [], []
-    todo = [(0 if len(tree.split) else -1, np.arange(len(x)))]
+    def add(self, node: np.ndarray, split: np.ndarray) -> Tree:
+        node, split = np.concatenate([self.node, node]), np.concatenate([self.split, split])
+        order = np.argsort(node, kind="stable")
+        return Tree(self.seed, self.dim, node[order], split[order])
+
+    def leaves(self, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of every leaf that each vector reaches."""
+        p = x @ self.directions()
+        row, at, level = np.arange(len(x)), np.ones(len(x), np.int64), 0
+        rows, ends = [], []
+        while len(row):
+            pos = np.minimum(np.searchsorted(self.node, at), max(0, len(self.node) - 1))
+            inner = self.node[pos] == at if len(self.node) else np.zeros(len(row), bool)
+            rows.append(row[~inner])
+            ends.append(at[~inner])
+            row, at, pos = row[inner], at[inner], pos[inner]
+            far = p[row, min(level, LEVELS - 1)] - self.split[pos]
+            left, right = ~(far > spill), far > -spill  # a passed node's NaN goes left
+            row, at, level = np.concatenate([row[left], row[right]]), np.concatenate([2 * at[left], 2 * at[right] + 1]), level + 1
+        return (np.concatenate(rows), np.concatenate(ends)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def grown(p: np.ndarray, node: int, rows: float, spill: float, leaf_rows: int = LEAF_ROWS) -> tuple[list[int], list[float]]:
+    """Inner nodes and splits below ``node``, for leaves of about ``leaf_rows`` of ``rows`` vectors, from a sample's
+    projections on the directions of all levels."""
+    nodes, splits, todo = [], [], [(node, np.arange(len(p)), rows, 0)]
     while todo:
-        node, at = todo.pop()
-        if not len(at):
+        node, at, rows, passed = todo.pop()
+        level = node.bit_length() - 1
+        if rows <= leaf_rows or len(at) < 16 or level >= LEVELS:
             continue
-        if node < 0:
-            out_row.append(at)
-            out_leaf.append(np.full(len(at), -node - 1))
+        here = p[at, level]
+        cut = float(np.median(here))
+        left, right = ~(here - cut > spill), here - cut > -spill
+        if (left & right).mean() > MOST_SPILL or not (here > cut).any():
+            if passed < PASSED:
+                nodes.append(node)
+                splits.append(np.nan)
+                todo.append((2 * node, at, rows, passed + 1))
             continue
-        p = x[at] @ tree.direction[node] - tree.split[node]
-        todo += [(int(tree.child[node, 0]), at[p <= spill]), (int(tree.child[node, 1]), at[p > -spill])]
-    if not out_row:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_row), np.concatenate(out_leaf)
+        nodes.append(node)
+        splits.append(cut)
+        todo += [(2 * node, at[left], rows * left.mean(), 0), (2 * node + 1, at[right], rows * right.mean(), 0)]
+    ends = set(nodes)
+    while dead := [i for i, (n, s) in enumerate(zip(nodes, splits)) if np.isnan(s) and 2 * n not in ends]:  # passed for nothing
+        ends -= {nodes[i] for i in dead}
+        nodes, splits = ([v for i, v in enumerate(z) if i not in set(dead)] for z in (nodes, splits))
+    return nodes, splits
+
+
+def fit(sample: np.ndarray, rows: int, seed: int, spill: float = 0.0, leaf_rows: int = LEAF_ROWS) -> Tree:
+    """A tree over ``sample`` (unit vectors) whose leaves have about ``leaf_rows`` of ``rows`` vectors."""
+    tree = Tree(seed, sample.shape[1], np.zeros(0, np.int64), np.zeros(0))
+    nodes, splits = grown(sample @ tree.directions(), 1, float(rows), spill, leaf_rows) if len(sample) else ([], [])
+    return tree.add(np.array(nodes, np.int64), np.array(splits, float))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -116,49 +132,124 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-_ROUTED = "tree int, leaf long, label long, dim int, rep long, copies long, v array<double>, places array<long>"
+#: (tree, leaf) of all places of a vector in one list of pairs, flattened.
+_ROUTED = "tree int, leaf long, label long, dim int, cid long, copies long, v array<double>, places array<long>"
 
 
 def _route(batches, forest, dim: int, spill: float):
-    """A row for each vector and leaf; ``places`` are all (tree, leaf) codes of the vector, ascending."""
+    """A row for each vector and leaf; ``places`` are all places of the vector, ascending, two numbers each."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = unit(_matrix(batch.column("v"), dim))
-        row, place = [], []
-        for t, tree in enumerate(forest):
-            r, k = leaves(tree, x, spill)
-            row.append(r)
-            place.append(k + (t << 32))
-        row, place = np.concatenate(row), np.concatenate(place)
-        order = np.lexsort((place, row))
-        row, place = row[order], place[order]
-        ends = np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(place))
+        row, tree, leaf = _places(batch, forest, dim, spill)
+        ends = 2 * np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.stack([tree, leaf], 1).ravel()))
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [pa.array((place >> 32).astype(np.int32)), pa.array(place & 0xFFFFFFFF), *[batch.column(c).take(take) for c in ("label", "dim", "rep", "copies", "v")], lists.take(take)],
-            ["tree", "leaf", "label", "dim", "rep", "copies", "v", "places"],
+            [pa.array(tree.astype(np.int32)), pa.array(leaf), *[batch.column(c).take(take) for c in ("label", "dim", "cid", "copies", "v")], lists.take(take)],
+            ["tree", "leaf", "label", "dim", "cid", "copies", "v", "places"],
         )
 
 
-_FOUND = "rep long, links long, root long"
+def _places(batch, forest, dim: int, spill: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tree, leaf), sorted."""
+    x = unit(_matrix(batch.column("v"), dim))
+    found = [(*tree.leaves(x, spill), t) for t, tree in enumerate(forest)]
+    row, leaf = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    tree = np.repeat([t for _, _, t in found], [len(r) for r, _, _ in found])
+    order = np.lexsort((leaf, tree, row))
+    return row[order], tree[order].astype(np.int64), leaf[order]
+
+
+def _tallied(batches, forest, dim: int, spill: float):
+    """How many vectors of a task reach each leaf."""
+    total: dict[tuple[int, int], int] = {}
+    for batch in batches:
+        if batch.num_rows:
+            _, tree, leaf = _places(batch, forest, dim, spill)
+            pair, n = np.unique(np.stack([tree, leaf], 1), axis=0, return_counts=True)
+            for (t, k), c in zip(pair.tolist(), n.tolist()):
+                total[t, k] = total.get((t, k), 0) + c
+    yield pa.RecordBatch.from_pydict({"tree": pa.array([t for t, _ in total], pa.int32()), "leaf": pa.array([k for _, k in total], pa.int64()), "rows": pa.array(list(total.values()), pa.int64())})
+
+
+def _chosen(batches, forest, dim: int, spill: float, large: dict[tuple[int, int], int]):
+    """Of each large leaf the vectors of a sample of about ``LEAF_SAMPLE``, by a hash of the class."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row, tree, leaf = _places(batch, forest, dim, spill)
+        size = np.array([large.get(k, 0) for k in zip(tree.tolist(), leaf.tolist())])
+        share = np.array(batch.column("share"))[row]
+        on = (size > 0) & (share * size < LEAF_SAMPLE)
+        yield pa.RecordBatch.from_arrays([pa.array(tree[on].astype(np.int32)), pa.array(leaf[on]), pa.array(size[on]), batch.column("v").take(pa.array(row[on]))], ["tree", "leaf", "size", "v"])
+
+
+def _refiner(forest, dim: int, spill: float, leaf_rows: int):
+    """A function that gives the nodes that split one large leaf further."""
+
+    def refined(table: pa.Table) -> pa.Table:
+        tree, leaf, size = (table.column(c)[0].as_py() for c in ("tree", "leaf", "size"))
+        x = unit(_matrix(table.column("v"), dim))
+        nodes, splits = grown(x @ forest.value[tree].directions(), leaf, float(size), spill, leaf_rows)
+        return pa.table({"tree": pa.array([tree] * len(nodes), pa.int32()), "node": pa.array(nodes, pa.int64()), "split": pa.array(splits, pa.float64())})
+
+    return refined
+
+
+def grow_forest(classes: DataFrame, rows: int, dim: int, spill: float, trees: int, seed: int, leaf_rows: int, large_leaf: int, sample: int) -> list[Tree]:
+    """Trees whose leaves have some ``leaf_rows`` of the classes each, as far as these can be split.
+
+    What comes to the driver are a bounded sample, the sizes of the large leaves and the splits: some numbers for
+    every ``leaf_rows`` vectors.
+    """
+    spark = classes.sparkSession
+    few = classes.orderBy(F.xxhash64("cid", F.lit(seed)), "cid").limit(sample).select("v").toArrow()
+    x = unit(_matrix(few.column("v"), dim))
+    forest = [fit(x, rows, seed + t, spill, leaf_rows) for t in range(trees)]
+    if rows <= large_leaf:
+        return forest
+    done: set[tuple[int, int]] = set()
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(forest)
+        tally = classes.select("v").mapInArrow(lambda b, s=shared: _tallied(b, s.value, dim, spill), "tree int, leaf long, rows long")
+        found = tally.groupBy("tree", "leaf").agg(F.sum("rows").alias("rows")).where(F.col("rows") > large_leaf).collect()
+        large = {(r["tree"], r["leaf"]): r["rows"] for r in found if (r["tree"], r["leaf"]) not in done}
+        if not large:
+            break
+        done |= set(large)
+        share = (F.xxhash64("cid", F.lit(seed + 1)).bitwiseAND((1 << 52) - 1) / float(1 << 52)).alias("share")
+        kind = "tree int, leaf long, size long, v array<double>"
+        chosen = classes.select("v", share).mapInArrow(lambda b, s=shared, g=large: _chosen(b, s.value, dim, spill, g), kind)
+        more = chosen.groupBy("tree", "leaf").applyInArrow(_refiner(shared, dim, spill, leaf_rows), "tree int, node long, split double").toArrow()
+        if not more.num_rows:
+            break
+        of, node, split = (more.column(c).to_numpy() for c in ("tree", "node", "split"))
+        forest = [tree.add(node[of == t], split[of == t]) for t, tree in enumerate(forest)]
+    return forest
+
+
+_FOUND = "cid long, links long, root long"
 
 
 def _linked(table: pa.Table, threshold: float) -> pa.Table:
     """Links of one block pair of a leaf: each vector's number of links counted here, and its component's least id."""
     part, low, high = (table.column(c).to_numpy() for c in ("part", "low", "high"))
-    rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-    here = (int(table.column("tree")[0].as_py()) << 32) + int(table.column("leaf")[0].as_py())
+    cid, copies = table.column("cid").to_numpy(), table.column("copies").to_numpy()
+    here = np.array([table.column("tree")[0].as_py(), table.column("leaf")[0].as_py()])
     x = unit(_matrix(table.column("v"), int(table.column("dim")[0].as_py())))
     lists = table.column("places").combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    places = np.full((len(rep), int(size.max())), -1, dtype=np.int64)
-    places[np.arange(places.shape[1])[None, :] < size[:, None]] = lists.flatten().to_numpy()
+    flat = lists.flatten().to_numpy().reshape(-1, 2)
+    size = np.diff(lists.offsets.to_numpy()) // 2
+    # Places as numbers in their order, the same for all rows of this task; -1 fills up.
+    known, code = np.unique(flat, axis=0, return_inverse=True)
+    here = int(np.flatnonzero((known == here).all(axis=1))[0])
+    places = np.full((len(cid), int(size.max())), -1, dtype=np.int64)
+    places[np.arange(places.shape[1])[None, :] < size[:, None]] = code.ravel()
     own = low[0] == high[0]
-    left = np.arange(len(rep)) if own else np.flatnonzero(part == low[0])
+    left = np.arange(len(cid)) if own else np.flatnonzero(part == low[0])
     right = left if own else np.flatnonzero(part == high[0])
-    links, root = np.zeros(len(rep), dtype=np.int64), np.arange(len(rep))
+    links, root = np.zeros(len(cid), dtype=np.int64), np.arange(len(cid))
     ps, qs = [], []
     for i in range(0, len(left), 256):
         p, q = np.nonzero(x[left[i : i + 256]] @ x[right].T >= threshold)
@@ -176,9 +267,9 @@ def _linked(table: pa.Table, threshold: float) -> pa.Table:
     p, q = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (ps, qs))
     np.add.at(links, p, copies[q])
     np.add.at(links, q, copies[p])
-    order = np.argsort(rep, kind="stable")
-    rank = np.empty(len(rep), dtype=np.int64)
-    rank[order] = np.arange(len(rep))
+    order = np.argsort(cid, kind="stable")
+    rank = np.empty(len(cid), dtype=np.int64)
+    rank[order] = np.arange(len(cid))
     root, before = rank.copy(), None
     while before is None or not np.array_equal(root, before):
         before = root.copy()
@@ -186,10 +277,12 @@ def _linked(table: pa.Table, threshold: float) -> pa.Table:
         np.minimum.at(root, q, before[p])
         root = np.minimum(root, root[order[root]])
     on = links > 0
-    return pa.table({"rep": rep[on], "links": links[on], "root": rep[order[root[on]]]}, schema=pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
+    return pa.table({"cid": cid[on], "links": links[on], "root": cid[order[root[on]]]}, schema=pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, seed: int = 17) -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, seed: int = 17, leaf_rows: int = LEAF_ROWS, large_leaf: int = LARGE_LEAF, block: int = BLOCK, sample: int = SAMPLE
+) -> DataFrame:
     """One row for each row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -202,38 +295,54 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     classes = stage.table(
         keyed.where("v is not null").groupBy("label", "d1", "d2")
         .agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
-        .withColumn("dim", F.size("v"))
+        .withColumn("dim", F.size("v")).withColumn("cid", F.monotonically_increasing_id())
     )
     total = classes.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    known = classes.select("label", "d1", "d2", "cid", "rep", "copies")
     if total["n"]:
-        dim, rows = total["dim"], total["n"]
-        sample = classes.orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(SAMPLE).select("v").toArrow()
-        x = unit(_matrix(sample.column("v"), dim))
-        forest = spark.sparkContext.broadcast([fit(x, rows, seed + t) for t in range(trees)])
+        dim = total["dim"]
         spill = 0.8 * float(np.sqrt(2 * (1 - threshold) / dim))
-        routed = stage.table(classes.select("label", "dim", "rep", "copies", "v").mapInArrow(lambda b: _route(b, forest.value, dim, spill), _ROUTED))
+        forest = spark.sparkContext.broadcast(grow_forest(classes, total["n"], dim, spill, trees, seed, leaf_rows, large_leaf, sample))
+        routed = stage.table(classes.select("label", "dim", "cid", "copies", "v").mapInArrow(lambda b: _route(b, forest.value, dim, spill), _ROUTED))
         leaf = ["tree", "leaf", "label", "dim"]
-        sizes = stage.table(routed.groupBy(*leaf).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")))
-        dealt = routed.join(small(sizes), leaf).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        sizes = stage.table(routed.groupBy(*leaf).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")))
+        dealt = routed.join(small(sizes), leaf).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        dealt = dealt.select(*leaf, "rep", "copies", "v", "places", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-        found = dealt.groupBy(*leaf, "low", "high").applyInArrow(lambda t: _linked(t, threshold), _FOUND)
-        found = stage.table(found)
-        group = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), stage)
-        counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        named = (
-            classes.select("label", "d1", "d2", "rep", "copies")
-            .join(counts, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")
-            .select("label", "d1", "d2", "rep", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "rep").alias("group_id"))
-            .where("copies > 1 or links > 0")
-        )
+        dealt = dealt.select(*leaf, "cid", "copies", "v", "places", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        found = stage.table(dealt.groupBy(*leaf, "low", "high").applyInArrow(lambda t: _linked(t, threshold), _FOUND))
+        group = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), stage)
+        counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
+        # Classes are numbered, not named by an id that another vector may share; a component's name is its least id.
+        of = group.join(known.select(F.col("cid").alias("node"), "rep"), "node")
+        group = of.join(of.groupBy("component").agg(F.min("rep").alias("group_id")), "component").select(F.col("node").alias("cid"), "group_id")
+        named = known.join(counts, "cid", "left").join(group, "cid", "left")
+        named = named.select("label", "d1", "d2", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("group_id", "rep").alias("group_id"))
     else:
-        named = classes.select("label", "d1", "d2", "rep", "copies", F.lit(0).cast("long").alias("links"), F.col("rep").alias("group_id"))
-    named = stage.table(named)
-    out = keyed.select("vec_id", "label", "d1", "d2").join(named, ["label", "d1", "d2"], "left").select(
+        named = known.select("label", "d1", "d2", "copies", F.lit(0).cast("long").alias("links"), F.col("rep").alias("group_id"))
+    named = stage.table(named.where("copies > 1 or links > 0"))
+    out = keyed.select("vec_id", "label", "d1", "d2").join(small(named), ["label", "d1", "d2"], "left").select(
         "vec_id",
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("group_id", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("group_id", "vec_id"), F.lit(True)).alias("kept"),
     )
     return stage.result(out, keyed, named)
+
+
+#: DuckDB's form of ``near_duplicates``: all pairs of a label, and the closure of their links.
+SQL = """
+with recursive given as (select row_number() over () as r, vec_id, label, embedding::double[] as v from embeddings),
+usable as (
+  select r, vec_id, label, v, list_transform(v, lambda x: x / list_max(list_transform(v, lambda y: abs(y)))) as s from given
+  where vec_id is not null and label is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+),
+link as (
+  select a.r as a, b.r as b from usable a join usable b on a.label = b.label and len(a.v) = len(b.v) and a.r <> b.r
+  where list_dot_product(a.s, b.s) / sqrt(list_dot_product(a.s, a.s)) / sqrt(list_dot_product(b.s, b.s)) >= 0.98
+),
+reach(r, other) as (select r, r from given union select reach.r, link.b from reach join link on link.a = reach.other),
+least as (select reach.r, min(g.vec_id) as component_id from reach join given g on g.r = reach.other group by reach.r),
+n as (select a as r, count(*) as n_links from link group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, coalesce(vec_id = component_id, true) as kept
+from given left join least using (r) left join n using (r)
+"""

@@ -196,10 +196,10 @@ def test_buckets_are_optimal():
 
     for _ in range(60):
         m, k = int(rng.integers(1, 9)), int(rng.integers(1, 6))
-        size, count = np.sort(rng.choice(60, m, replace=False)), rng.integers(1, 9, m)
+        size, count = np.sort(rng.choice(int(rng.choice([12, 60, 9000])), m, replace=False)), rng.integers(1, 9, m)
         cost = lambda b: sum((min(x for x in b if x >= s) - s) * c for s, c in zip(size, count))  # noqa: B023, E731
         got = packing.best_bounds(size, count, k)
-        assert len(got) <= k and cost(got) == min(cost([*c, size[-1]]) for r in range(min(k, m)) for c in combinations(size[:-1], r))
+        assert len(got) <= k and got == sorted(set(got)) and cost(got) == min(cost([*c, size[-1]]) for r in range(min(k, m)) for c in combinations(size[:-1], r))
 
 
 def test_packing_is_whole(spark):
@@ -211,9 +211,12 @@ def test_packing_is_whole(spark):
     for r in got:
         load[r["bucket"], r["batch"]] += r["bucket_tokens"]
     assert all(n <= 300 or sum((r["bucket"], r["batch"]) == k for r in got) == 1 for k, n in load.items())
-    lengths = spark.range(500).selectExpr("id as doc_id", "cast(1 as bigint) as n_tokens", "xxhash64(id) as _salt")
-    rows = packing.pack(lengths, budget=7, rows_per_shard=40).collect()
+    lengths = spark.range(500).selectExpr("if(id < 300, null, id % 50) as doc_id", "cast(1 as bigint) as n_tokens")  # repeated rows
+    rows = packing.pack(lengths, budget=7).collect()
     assert {(r["batch"], r["slot"]) for r in rows} == {divmod(i, 7) for i in range(500)}
+    sizes = [2049, 2050, 2900, 3100, 4100, 5000]
+    exact = packing.packed_documents(table(spark, ["x " * n for n in sizes]), buckets=5).collect()
+    assert sum(r["padding"] for r in exact) == 1
     assert packing.packed_documents(table(spark, [""]).limit(0)).count() == 0
 
 
@@ -242,6 +245,35 @@ def test_embeddings_equal_brute_force(spark):
     assert projection_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_forest_with_many_leaves_and_blocks_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(1500, 12)), np.repeat(rng.normal(size=(1, 12)), 260, axis=0) + rng.normal(size=(260, 12)) * 0.02])
+    x = np.concatenate([x, x[:200] + rng.normal(size=(200, 12)) * 0.03, x[:40]])  # near copies of different vectors, and exact ones
+    ids = [*range(1900), *range(60), *range(40)]  # ids repeat, most of them with another vector
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in zip(ids, x)], "vec_id long, embedding array<double>, label int")
+    settings = dict(leaf_rows=40, large_leaf=90, block=64)
+    got = projection_forest.near_duplicates(df, sample=150, **settings)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    links, root = near.sum(axis=1) - 1, np.array(ids)
+    while True:
+        new = np.array([root[n].min() for n in near])
+        if (new == root).all():
+            break
+        root = new
+    want = collections.Counter((i, int(n), int(r), bool(i == r)) for i, n, r in zip(ids, links, root))
+    assert collections.Counter(map(tuple, got.collect())) == want
+    spill, unit = 0.8 * float(np.sqrt(2 * 0.02 / 12)), projection_forest.unit(x)
+    classes = df.selectExpr("monotonically_increasing_id() as cid", "embedding as v").persist()
+    coarse = projection_forest.fit(unit[:150], len(x), 17, spill, 40)
+    [fine] = projection_forest.grow_forest(classes, len(x), 12, spill, 1, 17, 40, 90, 150)
+    assert len(fine.node) > len(coarse.node) > 8  # split further than the sample allows
+    _, leaf = fine.leaves(unit[:1500], spill)
+    assert np.unique(leaf, return_counts=True)[1].max() < 300
+    one = projection_forest.fit(np.repeat(unit[:1], 500, axis=0), 5000, 3, spill)
+    assert len(one.node) == 0 and len(one.leaves(unit[:5], spill)[0]) == 5  # copies cannot be split
+
+
 def test_licences(spark):
     texts = [None, "", "plain words of no importance\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0.", "All rights reserved.", "Licensed under CC BY-NC 4.0.",
              "This work is licensed under the GNU General Public License, version 3."] + [prose(random.Random(i), 60) for i in range(20)]
@@ -335,7 +367,7 @@ def test_queries_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = q.queries()[name](spark, SF).toPandas(), con.sql(q.oracle_sql()[name]).df()
     columns = sorted(got.columns)
