@@ -4,10 +4,16 @@ A document is the set of its hashed terms: words and their first four and six by
 share a term). The score is ``sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)`` over the terms present; the pair
 part learns what single weights cannot, such as an insult that matters only beside a mention of a group.
 
-Defined results: a null, empty or word-free text has only the bias, so a low score; repeated rows get equal
-scores; an empty table gives an empty result; columns other than the id and the text pass unread. Texts are
-read whole. Terms never seen in training add nothing. With labels of one class only (or none) every score is
-the prior.
+Terms enter the model by what they gain under it, not by what they do alone: first those that an additive model gains
+by, then those of the pairs that still gain once the additive model is fitted (score tests of the pair weights on its
+residuals). So a term without any effect of its own is kept if a pair with it has one.
+
+Defined results: a null, empty or word-free text, or one without a known term, has the prior share of label 1 at most,
+so a low score; repeated rows get equal scores, and a document of several rows is learned from once; several labels of
+one document count as 1 if one is 1; a null doc_id is not held out and not learned from; an empty table gives an empty
+result; columns other than the id and the text, whatever their names, pass unread. Texts are read whole. Terms never
+seen in training add nothing. With labels of one class only (or none) nothing can be learned, and every score is the
+prior share of label 1, 0.49 at most.
 """
 
 from __future__ import annotations
@@ -29,8 +35,12 @@ BITS = 24
 ROWS_PER_CLASS = 4000
 #: Factors of each term.
 FACTORS = 8
-#: Terms kept for the model: seen in at least so many sampled texts, and so many standard deviations from chance.
-MIN_TEXTS, MIN_Z, MAX_TERMS = 3, 3.5, 1 << 14
+#: Terms that may enter the model are in at least so many sampled texts; of these it keeps at most so many.
+MIN_TEXTS, MAX_TERMS = 3, 1 << 14
+#: Most frequent terms of the sample whose pairs are tested (every pair of them).
+PAIR_TERMS = 4096
+#: Least score statistic of a single term and of a pair (some eight million pairs are tested).
+MIN_Z, MIN_PAIR_Z = 3.5, 6.5
 
 
 @dataclass
@@ -41,6 +51,7 @@ class FactorizationMachine:
     bias: float
     weight: np.ndarray
     factor: np.ndarray
+    nothing: float  # the log odds of a text without a known term
 
     def score(self, row: np.ndarray, at: np.ndarray, rows: int) -> np.ndarray:
         """Probabilities from (row, position of a term) pairs, each pair once."""
@@ -49,7 +60,8 @@ class FactorizationMachine:
         for k in range(self.factor.shape[1]):
             v = self.factor[at, k]
             z += 0.5 * (np.bincount(row, weights=v, minlength=rows) ** 2 - np.bincount(row, weights=v * v, minlength=rows))
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+        z[np.bincount(row, minlength=rows) == 0] = self.nothing
+        return _probability(z)
 
     def find(self, row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct (row, position) pairs of the terms that the model knows."""
@@ -73,59 +85,113 @@ def hashed_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(rows), (np.concatenate(ids) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, prior: float, factors: int = FACTORS, steps: int = 1500, seed: int = 7) -> FactorizationMachine:
-    """Train on distinct (row, term) pairs of labelled rows, each class with half of the weight.
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
-    ``prior``, the share of label 1 outside the sample, is the score of every row where nothing can be learned.
-    """
-    n, pos = len(y), float(y.sum())
-    odds = lambda p: float(np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4))))
-    none = FactorizationMachine(np.zeros(0, np.int64), odds(prior), np.zeros(0), np.zeros((0, factors)))
-    if not n or pos in (0, n):
-        return none
-    ids, at = np.unique(term, return_inverse=True)
-    df = np.bincount(at, minlength=len(ids))
-    got = np.bincount(at, weights=y[row], minlength=len(ids))
-    share = pos / n
-    z = np.abs(got - df * share) / np.sqrt(np.maximum(df * share * (1 - share) * (1 - df / (n + 1)), 1e-9))
-    keep = np.flatnonzero((df >= MIN_TEXTS) & (z >= MIN_Z))
-    if not len(keep):
-        return none
-    keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[:MAX_TERMS]])
-    new = np.full(len(ids), -1)
-    new[keep] = np.arange(len(keep))
-    row, at = row[new[at] >= 0], new[at[new[at] >= 0]]
-    order = np.argsort(row, kind="stable")
-    row, at = row[order], at[order]
-    start = np.searchsorted(row, np.arange(n + 1))
 
-    rng = np.random.default_rng(seed)
-    m = len(keep)
-    p = np.concatenate([np.zeros((m, 1)), rng.normal(0, 0.05, (m, factors))], axis=1)  # weight, then factors
-    g2, b, b2 = np.full_like(p, 1e-6), 0.0, 1e-6
+@dataclass
+class _Sample:
+    """Texts as sorted lists of term positions: those of text i are ``at[start[i] : start[i + 1]]``."""
+
+    y: np.ndarray
+    cost: np.ndarray  # each class has half of the weight
+    at: np.ndarray
+    start: np.ndarray
+
+    def only(self, keep: np.ndarray, terms: int) -> _Sample:
+        """The same texts with the terms ``keep`` alone, numbered anew."""
+        new = np.full(terms, -1)
+        new[keep] = np.arange(len(keep))
+        row, at = np.repeat(np.arange(len(self.y)), np.diff(self.start)), new[self.at]
+        return _Sample(self.y, self.cost, at[at >= 0], np.searchsorted(row[at >= 0], np.arange(len(self.y) + 1)))
+
+
+def _descend(s: _Sample, terms: int, factors: int, steps: int, seed: int, low: float) -> tuple[float, np.ndarray]:
+    """Bias, and weight and factors of each term: AdaGrad on mini-batches. The bias stays at ``low`` or below, so that a
+    text is toxic only by what is in it."""
+    n, rng = len(s.y), np.random.default_rng(seed)
+    p = np.concatenate([np.zeros((terms, 1)), rng.normal(0, 0.05, (terms, factors))], axis=1)  # weight, then factors
+    g2, b, b2 = np.full_like(p, 1e-6), min(low, 0.0), 1e-6
     rate, ridge = 0.15, np.array([1e-4] + [1e-3] * factors)
-    cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     batches = max(1, n // 128)
     for _ in range(-(-steps // batches)):
         for batch in np.array_split(rng.permutation(n), batches):
-            size = start[batch + 1] - start[batch]
+            size = s.start[batch + 1] - s.start[batch]
             r = np.repeat(np.arange(len(batch)), size)
-            cols = at[np.repeat(start[batch] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            cols = s.at[np.repeat(s.start[batch] - np.cumsum(size) + size, size) + np.arange(size.sum())]
             x = p[cols]
             total = np.stack([np.bincount(r, weights=x[:, k], minlength=len(batch)) for k in range(factors + 1)], 1)
             square = np.bincount(r, weights=(x[:, 1:] ** 2).sum(1), minlength=len(batch))
-            out = b + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(1) - square)
-            err = cost[batch] * (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[batch])
+            err = s.cost[batch] * (_probability(b + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(1) - square)) - s.y[batch])
             grad = np.empty_like(x)
             grad[:, 0] = err[r]
             grad[:, 1:] = err[r][:, None] * (total[r, 1:] - x[:, 1:])
             used, back = np.unique(cols, return_inverse=True)
-            step = np.stack([np.bincount(back, weights=grad[:, k]) for k in range(factors + 1)], 1) / len(batch) + ridge * p[used]
-            g2[used] += step**2
-            p[used] -= rate * step / np.sqrt(g2[used])
+            if len(used):
+                step = np.stack([np.bincount(back, weights=grad[:, k]) for k in range(factors + 1)], 1) / len(batch) + ridge * p[used]
+                g2[used] += step**2
+                p[used] -= rate * step / np.sqrt(g2[used])
             b2 += err.mean() ** 2
-            b -= rate * err.mean() / np.sqrt(b2)
-    return FactorizationMachine(ids[keep], float(b), p[:, 0].copy(), p[:, 1:].copy())
+            b = min(low, b - rate * err.mean() / np.sqrt(b2))
+    return float(b), p
+
+
+def _pair_gains(s: _Sample, terms: np.ndarray, all_terms: int, p: np.ndarray) -> np.ndarray:
+    """For each of ``terms`` the largest score statistic of its pairs, given each text's probability so far."""
+    part, m, n = s.only(terms, all_terms), len(terms), len(s.y)
+    x = np.zeros((n, m), dtype=bool)
+    x[np.repeat(np.arange(n), np.diff(part.start)), part.at] = True
+    err, info = (s.cost * (s.y - p)).astype(np.float32), (s.cost**2 * np.maximum(p * (1 - p), 1e-3)).astype(np.float32)
+    best = np.zeros(m)
+    for i in range(0, m, 512):
+        left = x[:, i : i + 512].astype(np.float32)
+        for j in range(i, m, 512):
+            right = x[:, j : j + 512].astype(np.float32)
+            both = left.T @ right
+            z = np.abs((left * err[:, None]).T @ right) / np.sqrt((left * info[:, None]).T @ right + 1e-6)
+            z[both < MIN_TEXTS] = 0
+            if i == j:
+                np.fill_diagonal(z, 0)
+            best[i : i + 512] = np.maximum(best[i : i + 512], z.max(axis=1))
+            best[j : j + 512] = np.maximum(best[j : j + 512], z.max(axis=0))
+    return best
+
+
+def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, prior: float, factors: int = FACTORS, steps: int = 1500, seed: int = 7) -> FactorizationMachine:
+    """Train on distinct (row, term) pairs of labelled rows, each class with half of the weight.
+
+    ``prior``, the share of label 1 outside the sample, is the score of every row where nothing can be learned.
+    """
+    n, pos = len(y), float(y.sum())
+    odds = lambda p: float(np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4))))
+    low = odds(min(prior, 0.49))
+    none = FactorizationMachine(np.zeros(0, np.int64), low, np.zeros(0), np.zeros((0, factors)), low)
+    if not n or pos in (0, n):
+        return none
+    ids, at = np.unique(term, return_inverse=True)
+    order = np.argsort(row, kind="stable")
+    cost = np.where(y > 0, 0.5 * n / pos, 0.5 * n / (n - pos))
+    s = _Sample(y, cost, at[order], np.searchsorted(row[order], np.arange(n + 1)))
+    df = np.bincount(at, minlength=len(ids))
+    err = cost * (y - 0.5)
+    alone = np.abs(np.bincount(at, weights=err[row], minlength=len(ids)))
+    alone /= np.sqrt(np.maximum(np.bincount(at, weights=(err**2)[row], minlength=len(ids)) * (1 - df / (n + 1)), 1e-9))
+    alone[df < MIN_TEXTS] = 0
+    single = np.flatnonzero(alone >= MIN_Z)
+    additive = s.only(single, len(ids))
+    b, w = _descend(additive, len(single), 0, steps, seed, np.inf)
+    p = _probability(b + np.bincount(np.repeat(np.arange(n), np.diff(additive.start)), weights=w[additive.at, 0], minlength=n))
+    frequent = np.flatnonzero(df >= MIN_TEXTS)
+    frequent = np.sort(frequent[np.argsort(-df[frequent], kind="stable")[:PAIR_TERMS]])
+    paired = _pair_gains(s, frequent, len(ids), p)
+    gain = np.where(alone >= MIN_Z, alone, 0.0)
+    gain[frequent] = np.maximum(gain[frequent], np.where(paired >= MIN_PAIR_Z, paired, 0.0))
+    keep = np.flatnonzero(gain)
+    if not len(keep):
+        return none
+    keep = np.sort(keep[np.argsort(-gain[keep], kind="stable")[:MAX_TERMS]])
+    b, w = _descend(s.only(keep, len(ids)), len(keep), factors, steps, seed, low)
+    return FactorizationMachine(ids[keep], b, w[:, 0].copy(), w[:, 1:].copy(), b)
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> FactorizationMachine:
@@ -145,7 +211,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows_per_clas
         return fit(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), n.get(1, 0) / max(1, sum(n.values())))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for y in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * rows_per_class rows
-    joined = docs.select("doc_id", "text").join(sample, "doc_id").select("y", "doc_id", "text")
+    joined = docs.select("doc_id", "text").join(sample, "doc_id")
+    joined = joined.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "doc_id", "text")  # once, however often it is there
     out = joined.mapInArrow(_term_sets, "y int, doc_id long, terms array<int>").toArrow().sort_by("doc_id")
     terms = out.column("terms").combine_chunks()
     y = out.column("y").to_numpy().astype(np.float64)
@@ -202,7 +269,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) ->
     """Train on the labelled rows of ``docs`` and score all of it: doc_id, held_out, score, predicted."""
     return score(docs, train(spark, docs, labels)).select(
         "doc_id",
-        F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"),
+        F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import math
 import random
 import re
 
@@ -157,17 +158,52 @@ def test_markov_models_on_held_out_samples():
     assert (pair.ratios([f"{a}_{b}_index" for a in dir(collections) + dir(re) for b in ("left", "right")]) > pair.threshold).mean() < 0.02
 
 
-def test_factorization_machine_learns_pairs():
-    rng = random.Random(3)
-    rows, y = [], []
-    for _ in range(1500):
-        insult, group = rng.random() < 0.5, rng.random() < 0.5
-        rows.append({*(rng.randrange(10, 60) for _ in range(10)), *([1] if insult else []), *([2] if group else [])})
-        y.append(float(insult and group))
+def labelled(rule, n, seed):
+    rng, rows = random.Random(seed), []
+    for _ in range(n):
+        rows.append({*(rng.randrange(10, 200) for _ in range(20)), *([1] if rng.random() < 0.5 else []), *([2] if rng.random() < 0.5 else [])})
     row, term = (np.array(x) for x in zip(*((i, t) for i, r in enumerate(rows) for t in sorted(r))))
-    model = toxicity.fit(np.array(y), row, term, 0.25)
-    p = model.score(*model.find(row, term), len(rows))
-    assert ((p >= 0.5) == np.array(y, bool)).mean() > 0.97
+    return np.array([float(rule(1 in r, 2 in r)) for r in rows]), row, term
+
+
+@pytest.mark.parametrize("rule", [lambda a, b: a and b, lambda a, b: a != b])
+def test_factorization_machine_learns_pairs(rule):
+    """Of the second labels no term tells anything alone: an additive model knows three cases of four at most."""
+    y, row, term = labelled(rule, 2000, 3)
+    model = toxicity.fit(y, row, term, 0.25)
+    held, row, term = labelled(rule, 800, 4)
+    right = lambda m: ((m.score(*m.find(row, term), 800) >= 0.5) == held.astype(bool)).mean()
+    assert right(model) > 0.95 and {1, 2} <= set(model.terms) and len(model.terms) < 20
+    additive = toxicity.fit(y, *labelled(rule, 2000, 3)[1:], 0.25, factors=0)
+    assert rule(True, True) or right(additive) < 0.8
+
+
+def test_scores_equal_the_double_sum():
+    rng = np.random.default_rng(2)
+    m = toxicity.FactorizationMachine(np.arange(30), 0.3, rng.normal(size=30), rng.normal(size=(30, 4)), -2.0)
+    sets = [[], [4], [1, 2, 3], list(range(0, 30, 2))]
+    z = [m.bias + sum(m.weight[i] for i in t) + sum(m.factor[i] @ m.factor[j] for i in t for j in t if i < j) if t else -2.0 for t in sets]
+    row, at = np.array([i for i, t in enumerate(sets) for _ in t]), np.array([i for t in sets for i in t])
+    assert m.score(row, at, 4) == pytest.approx([1 / (1 + math.exp(-x)) for x in z])
+
+
+def test_toxicity_of_odd_tables(spark):
+    nice, bad = "a quiet day in the park with friends", "you zorbs are vermin and should all leave"
+    texts = [None, "", "!?", *[f"{nice} {i}" for i in range(40)], *[f"{bad} {i}" for i in range(40)], "word " * 60_000, bad]
+    docs = table(spark, texts).unionByName(table(spark, texts).where("doc_id = 50")).unionByName(table(spark, [bad]).withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(i, int(i >= 43)) for i in range(3, 83)] + [(None, 1), (5, None), (50, 0), (51, 7)], "doc_id long, toxic int")
+    got = toxicity.toxic_documents(spark, docs, labels).collect()
+    score = collections.defaultdict(set)
+    for r in got:
+        score[r["doc_id"]].add(r["score"])
+    assert len(got) == len(texts) + 2 and all(len(s) == 1 for s in score.values())
+    assert all(max(score[i]) < 0.5 for i in (0, 1, 2, 83)) and min(score[84]) > 0.5 and min(score[None]) > 0.5
+    assert [r["held_out"] for r in got if r["doc_id"] is None] == [False]
+    same = labels.where("toxic = 1 and doc_id > 60")
+    for some in (same, labels.limit(0)):
+        rows = toxicity.toxic_documents(spark, docs, some).collect()
+        assert len({r["score"] for r in rows}) == 1 and all(r["predicted"] == 0 for r in rows)
+    assert toxicity.toxic_documents(spark, docs.limit(0), labels).count() == 0
 
 
 def test_toxicity_and_language_on_held_out_rows(spark):
