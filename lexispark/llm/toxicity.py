@@ -39,6 +39,8 @@ FACTORS = 8
 MIN_TEXTS, MAX_TERMS = 3, 1 << 14
 #: Most frequent terms of the sample whose pairs are tested (every pair of them).
 PAIR_TERMS = 4096
+#: Weight of a piece of a text of label 0, as an example of its own, against the text's.
+PIECE_COST = 1.0
 #: Least score statistic of a single term and of a pair (some eight million pairs are tested).
 MIN_Z, MIN_PAIR_Z = 3.5, 6.5
 
@@ -98,6 +100,17 @@ class _Sample:
     at: np.ndarray
     start: np.ndarray
 
+    def with_pieces(self, seed: int) -> _Sample:
+        """The same texts, and of each text of label 0 a piece of up to three of its terms, which is of label 0 too, so
+        that a short text of ordinary words is not toxic."""
+        rng, clean, base = np.random.default_rng(seed), np.flatnonzero((self.y == 0) & (np.diff(self.start) > 0)), self.at.max(initial=0) + 1
+        size = np.diff(self.start)[clean]
+        row = np.repeat(np.arange(len(clean)), np.minimum(size, rng.integers(1, 4, len(clean))))
+        piece = self.at[self.start[clean[row]] + (rng.random(len(row)) * size[row]).astype(np.int64)]
+        pair = np.unique(row * base + piece)  # a term once
+        ends = np.searchsorted(pair // base, np.arange(1, len(clean) + 1))
+        return _Sample(np.append(self.y, np.zeros(len(clean))), np.append(self.cost, PIECE_COST * self.cost[clean]), np.append(self.at, pair % base), np.append(self.start, self.start[-1] + ends))
+
     def only(self, keep: np.ndarray, terms: int) -> _Sample:
         """The same texts with the terms ``keep`` alone, numbered anew."""
         new = np.full(terms, -1)
@@ -141,7 +154,10 @@ def _pair_gains(s: _Sample, terms: np.ndarray, all_terms: int, p: np.ndarray) ->
     part, m, n = s.only(terms, all_terms), len(terms), len(s.y)
     x = np.zeros((n, m), dtype=bool)
     x[np.repeat(np.arange(n), np.diff(part.start)), part.at] = True
-    err, info = (s.cost * (s.y - p)).astype(np.float32), (s.cost**2 * np.maximum(p * (1 - p), 1e-3)).astype(np.float32)
+    one, zero = s.cost[s.y > 0][0], s.cost[s.y == 0][0]
+    share = p * zero / (p * zero + (1 - p) * one)  # the probability of label 1 without the classes' weights
+    info = np.maximum(share * (1 - share), 1e-3) * (one * (1 - p) + zero * p) ** 2  # the variance of an error
+    err, info = (s.cost * (s.y - p)).astype(np.float32), info.astype(np.float32)
     best = np.zeros(m)
     for i in range(0, m, 512):
         left = x[:, i : i + 512].astype(np.float32)
@@ -180,7 +196,10 @@ def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, prior: float, factors:
     single = np.flatnonzero(alone >= MIN_Z)
     additive = s.only(single, len(ids))
     b, w = _descend(additive, len(single), 0, steps, seed, np.inf)
-    p = _probability(b + np.bincount(np.repeat(np.arange(n), np.diff(additive.start)), weights=w[additive.at, 0], minlength=n))
+    z = b + np.bincount(np.repeat(np.arange(n), np.diff(additive.start)), weights=w[additive.at, 0], minlength=n)
+    for _ in range(30):  # the bias to its optimum: else every frequent pair would seem to gain
+        p = _probability(z)
+        z += np.clip((cost * (y - p)).sum() / max((cost * p * (1 - p)).sum(), 1e-6), -1, 1)
     frequent = np.flatnonzero(df >= MIN_TEXTS)
     frequent = np.sort(frequent[np.argsort(-df[frequent], kind="stable")[:PAIR_TERMS]])
     paired = _pair_gains(s, frequent, len(ids), p)
@@ -190,7 +209,7 @@ def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, prior: float, factors:
     if not len(keep):
         return none
     keep = np.sort(keep[np.argsort(-gain[keep], kind="stable")[:MAX_TERMS]])
-    b, w = _descend(s.only(keep, len(ids)), len(keep), factors, steps, seed, low)
+    b, w = _descend(s.only(keep, len(ids)).with_pieces(seed), len(keep), factors, steps, seed, low)
     return FactorizationMachine(ids[keep], b, w[:, 0].copy(), w[:, 1:].copy(), b)
 
 
