@@ -4,9 +4,11 @@ Each language has a binary codeword. For each bit a logistic classifier over has
 four bytes of the lower-cased letters) predicts the bit, and the codeword with the least loss, weighted by how
 reliable each bit was in training, names the language. A text whose best two codewords are close is ambiguous.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; repeated rows get equal
-results; texts are read whole; an empty table gives an empty result; with no labelled row every text is ``und``,
-and with one language in the labels every text with a letter is that language. Other columns pass unread.
+Defined results: a null text, or one without a letter, is ``und`` with score 0; repeated rows get equal results, and a
+doc_id of several rows is learned from once; every ``lang`` value of the labelled rows is learned, however many there
+are (each from fewer rows then); a null doc_id is not held out and not learned from; texts are read whole; an empty
+table gives an empty result; with no labelled row every text is ``und``, and with one language in the labels every text
+with a letter is that language. Other columns, whatever their names, pass unread.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexispark.llm import textvec as tv
 from lexispark.llm.runtime import bounded_batches
@@ -25,10 +28,9 @@ from lexispark.llm.runtime import bounded_batches
 UND = "und"
 #: Hashed n-gram features, and the longest n-gram in bytes.
 BITS, LONGEST = 12, 4
-#: Labelled rows that training may read for each language: those with the lowest hashes of doc_id.
-ROWS_PER_LANGUAGE = 800
-#: Languages that one model may learn: the most frequent ones.
-MOST_LANGUAGES = 256
+#: Labelled rows that training may read for each language (those with the lowest hashes of doc_id), and for all of them:
+#: a bound on the fitted sample, which many languages share.
+ROWS_PER_LANGUAGE, MOST_ROWS = 800, 16_000
 #: A text is ambiguous if the second codeword's probability is at least this share of the first's.
 CLOSE = 0.5
 
@@ -47,8 +49,7 @@ class OutputCodes:
     def decode(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language's number, its probability, and whether the second is close."""
         margin = features @ self.weight + self.bias
-        loss = np.stack([np.logaddexp(0.0, -margin * c) @ self.trust for c in self.code], axis=1)
-        p = -self.sharp * loss
+        p = -self.sharp * losses(margin, self.code, self.trust)
         p = np.exp(p - p.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -57,6 +58,12 @@ class OutputCodes:
         return best, top, rest >= CLOSE * top
 
 
+def losses(margin: np.ndarray, code: np.ndarray, trust: np.ndarray) -> np.ndarray:
+    """Each text's weighted loss to each codeword: texts x languages."""
+    up, down = np.logaddexp(0.0, -margin) * trust, np.logaddexp(0.0, margin) * trust
+    return up @ (code > 0).T.astype(up.dtype) + down @ (code < 0).T.astype(up.dtype)
+
+
 def codewords(n: int, seed: int = 3) -> np.ndarray:
     """Codewords of n classes: every split of up to five classes, else random bits of the largest least distance."""
     if n <= 1:
@@ -119,13 +126,24 @@ def _feature_chunks(column: pa.Array):
             yield _ngrams(part, o - o[0]), np.diff(o) > np.diff(spaces)
 
 
+#: Rows of features that training holds as floating-point numbers at once.
+ROWS_AT_ONCE = 4000
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 def fit(x: np.ndarray, lang: list[str], rounds: int = 150) -> OutputCodes:
-    """Train the bits' classifiers on rows of features; a quarter of the rows weighs the bits and the loss."""
+    """Train the bits' classifiers on rows of features (counts or shares of any scale); a quarter of the rows weighs the
+    bits and the loss. A class with a row in neither part has its rows in both."""
     languages = sorted(set(lang))
     code = codewords(len(languages))
     if len(languages) <= 1:
         return OutputCodes(languages, code, np.zeros((_DIM, 1), np.float32), np.ones(1, np.float32), np.ones(1), 1.0)
-    y = np.array([languages.index(v) for v in lang])
+    number = {v: i for i, v in enumerate(languages)}
+    y = np.array([number[v] for v in lang])
     held = np.arange(len(y)) % 4 == 3
     if held.sum() < len(languages) or set(y[~held]) != set(y):
         held[:] = False
@@ -133,48 +151,55 @@ def fit(x: np.ndarray, lang: list[str], rounds: int = 150) -> OutputCodes:
     share = np.bincount(y, minlength=len(languages))
     cost = (len(y) / (len(languages) * share[y])).astype(np.float32)[:, None]
     w, b = np.zeros((_DIM, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    xt, st, ct = x[~held], sign[~held], cost[~held]
+    fitted = np.flatnonzero(~held)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
-    for t in range(1, rounds + 1):  # Adam on all rows at once
-        err = -st / (1 + np.exp(np.clip(st * (xt @ w + b), -30, 30))) * ct
-        for p, g, m1, m2 in ((w, xt.T @ err / len(xt) + 1e-6 * w, m, v), (b, err.mean(0), mb, vb)):
+    for t in range(1, rounds + 1):  # Adam on all rows, some at a time
+        gw, gb = np.zeros_like(w), np.zeros_like(b)
+        for rows in np.array_split(fitted, -(-len(fitted) // ROWS_AT_ONCE)):
+            xt, st = _unit(x[rows]), sign[rows]
+            err = -st / (1 + np.exp(np.clip(st * (xt @ w + b), -30, 30))) * cost[rows]
+            gw += xt.T @ err
+            gb += err.sum(0)
+        for p, g, m1, m2 in ((w, gw / len(fitted) + 1e-6 * w, m, v), (b, gb / len(fitted), mb, vb)):
             m1 += 0.1 * (g - m1)
             m2 += 0.001 * (g * g - m2)
             p -= 0.3 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     check = held if held.any() else ~held
-    right = ((x[check] @ w + b) * sign[check] > 0).mean(axis=0)
+    margin = np.concatenate([_unit(x[r]) @ w + b for r in np.array_split(np.flatnonzero(check), -(-int(check.sum()) // ROWS_AT_ONCE))])
+    right = (margin * sign[check] > 0).mean(axis=0)
     trust = np.log((right + 1e-3) / (1 - right + 1e-3)).clip(1e-3)
     model = OutputCodes(languages, code, w, b, trust / trust.sum(), 1.0)
     best = np.inf
     for sharp in (0.5, 1.0, 2.0, 4.0, 8.0, 16.0):
-        loss = sharp * np.stack([np.logaddexp(0.0, -(x[check] @ w + b) * c) @ model.trust for c in code], axis=1)
+        loss = sharp * losses(margin, code, model.trust)
         nll = (loss[np.arange(len(loss)), y[check]] + np.log(np.exp(-loss).sum(axis=1))).mean()
         if nll < best - 1e-4:
             best, model.sharp = nll, sharp
     return model
 
 
-def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> OutputCodes:
+def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most_rows: int = MOST_ROWS) -> OutputCodes:
     """Fit on a bounded sample of rows with a language and crc32(doc_id as text) modulo 3 other than 1.
 
-    At most ``MOST_LANGUAGES * rows_per_language`` rows are learned from. Texts go to Python on the executors;
-    the driver gets their n-gram counts, one byte each.
+    Of each language the ``rows_per_language`` ids with the lowest hashes are taken, or fewer where all languages
+    together would exceed ``most_rows`` (one at least). One scan finds them: a window that keeps so many of each
+    language in every task before anything is shuffled. Their texts go to Python on the executors; the driver gets their
+    n-gram counts, one byte each, at most ``most_rows`` (or one for each language) of ``2 ** BITS`` bytes.
     """
     bounded_batches(docs.sparkSession)
     known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 != 1")
-    top = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not top:
+    languages = known.agg(F.count_distinct("lang")).first()[0]
+    if not languages:
         return OutputCodes([], np.zeros((0, 1)), np.zeros((_DIM, 1), np.float32), np.zeros(1, np.float32), np.ones(1), 1.0)
-    ids = None
-    for lang in top:
-        part = known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_language)
-        ids = part if ids is None else ids.unionByName(part)
-    ids = F.broadcast(ids.select("doc_id", F.col("lang").alias("y")).dropDuplicates(["doc_id"]))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "y", "text").mapInArrow(_sampled, "doc_id long, y string, x binary").toArrow().sort_by("doc_id")
+    each = max(1, min(rows_per_language, most_rows // languages))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).groupBy("doc_id").agg(F.min("lang").alias("y"))
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most most_rows ids, or one for each language
+    once = picked.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = once.select("doc_id", "y", "text").mapInArrow(_sampled, "doc_id long, y string, x binary").toArrow().sort_by("doc_id")
     if not rows.num_rows:
-        return fit(np.zeros((0, _DIM), np.float32), [])
-    x = np.stack([np.frombuffer(v, np.uint8) for v in rows.column("x").to_pylist()]).astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return fit(np.zeros((0, _DIM), np.uint8), [])
+    x = np.stack([np.frombuffer(v, np.uint8) for v in rows.column("x").to_pylist()])
     return fit(x, rows.column("y").to_pylist())
 
 
