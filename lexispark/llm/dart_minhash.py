@@ -15,9 +15,10 @@ not compare all its pairs: each member meets the bucket's least member, then the
 own, and only members that are still outside the bucket's largest component meet the rest, unless a bound on what
 the two can share (``unshared``) or the triangle inequality rules a link out.
 
-Defined results: a null text or null doc_id is alone in its group and kept; texts without a word are grouped only
-if they are equal; rows that share a doc_id are one document; an empty table gives an empty result; texts are
-read whole; other columns pass unread.
+Defined results: a null text or null doc_id is alone in its group and kept (``keep_one`` also removes repeats of rows
+without an id); texts without a word are grouped only if they are equal; rows that share a doc_id are one document, of
+which ``keep_one`` leaves one row; of equal ids the least stands for a group; an empty table gives an empty result; texts
+are read whole; other columns, whatever their names, pass unread.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 
 from lexispark.llm import textvec as tv
 from lexispark.llm.graph import components
-from lexispark.llm.runtime import Stage, bounded_batches, small
+from lexispark.llm.runtime import Stage, bounded_batches, fresh, small
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares one of 24 bands of 5 coordinates with probability 0.99993.
 BANDS, ROWS = 24, 5
+#: Buckets with more members than this are joined with their hub by broadcast: one task would get them all.
+HOT_BUCKET = 1000
 #: Members that one task compares with a copy of the hub's text.
 MEMBERS_PER_HUB = 400
 
@@ -225,74 +228,117 @@ def unshared(docs: DataFrame, ids: DataFrame, repeated: DataFrame, stage: Stage)
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (least id of its exact copies), group_id (least id of its
-    group of near copies) and kept (doc_id = group_id)."""
-    stage = Stage(docs.sparkSession, "dart-minhash")
+def by_bucket(rows: DataFrame, buckets: DataFrame, stage: Stage, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row for each bucket, which has the bucket's ``size``.
+
+    A few buckets are broadcast. Else the large ones are, of which there are at most rows / HOT_BUCKET, so that no task
+    gets all members of one, and the others are shuffled.
+    """
+    buckets = stage.table(buckets)
+    few = small(buckets)
+    if few is not buckets:
+        return rows.join(few.drop("size"), "bucket", how)
+    hot = small(buckets.where(F.col("size") > HOT_BUCKET).drop("size"))
+    rest = rows.join(hot.select("bucket"), "bucket", "left_anti")
+    return rows.join(hot, "bucket", how).unionByName(rest.join(buckets.where(F.col("size") <= HOT_BUCKET).drop("size"), "bucket", how))
+
+
+def _alike(x, y):
+    """Whether the weights allow a similarity of 0.8."""
+    return F.least(x, y) >= F.greatest(x, y) * F.lit(THRESHOLD)
+
+
+def _signed_table(docs: DataFrame, stage: Stage) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    signed = stage.table(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, d1 long, d2 long, n long, bands array<long>"))
-    classes = stage.table(
-        signed.where("d1 is not null and doc_id is not null")
-        .groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    )
+    return stage.table(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, d1 long, d2 long, n long, bands array<long>"))
+
+
+def _classes(signed: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """The classes of exact copies, and the doc_ids of several rows with whether their words differ."""
+    named = signed.where("d1 is not null and doc_id is not null")
+    classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     ways = F.struct("d1", "d2")
-    repeated = stage.table(
-        signed.where("d1 is not null and doc_id is not null").groupBy(F.col("doc_id").alias("rep"))
-        .agg((F.min(ways) != F.max(ways)).alias("differ"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    )
+    repeated = named.groupBy(F.col("doc_id").alias("rep")).agg((F.min(ways) != F.max(ways)).alias("differ"), F.count("*").alias("rows"))
+    return stage.table(classes), stage.table(repeated.where("rows > 1").drop("rows"))
+
+
+def _members(classes: DataFrame, stage: Stage) -> DataFrame:
+    """The members of each bucket of several classes, with the least one as the bucket's hub."""
     banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = stage.table(banded.join(shared, "bucket").select("bucket", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
-    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(THRESHOLD)  # noqa: E731  else no similarity of 0.8 is possible
-    first = stage.table(members.where((F.col("rep") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    links = verified(docs, first, stage)
+    shared = banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    return stage.table(by_bucket(banded, shared, stage).select("bucket", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
+
 
-    # Buckets whose members' links so far lead elsewhere than the hub stay open.
+def _open(docs: DataFrame, members: DataFrame, links: DataFrame, repeated: DataFrame, stage: Stage) -> DataFrame:
+    """The members of buckets whose links so far lead elsewhere than the hub, with the weight they may share (``most``);
+    without those whose own shingles rule out any link."""
     low = links.groupBy("a").agg(F.min("b").alias("low"))
     label = stage.table(low.join(low.select(F.col("a").alias("low"), F.col("low").alias("lower")), "low", "left").select(F.col("a").alias("rep"), F.coalesce("lower", "low").alias("label")))
     labelled = members.join(small(label), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     labelled = stage.table(labelled.join(small(label).select(F.col("rep").alias("hub"), F.col("label").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")))
-    open_buckets = labelled.where("label != hub_label").select("bucket").distinct()
-    labelled = stage.table(labelled.join(open_buckets, "bucket", "left_semi"))
+    open_buckets = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.max(F.col("label") != F.col("hub_label")).alias("open")).where("open").drop("open")
+    labelled = stage.table(by_bucket(labelled, open_buckets, stage))
     own = unshared(docs, labelled.select("rep", F.col("rep").alias("label")).distinct(), repeated, stage)
-    labelled = stage.table(labelled.join(small(own), "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
+    most = F.col("n") - F.coalesce("own", F.lit(0))
+    return stage.table(labelled.join(small(own), "rep", "left").withColumn("most", most).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
+
 
-    # The member with the fewest shingles of its own is the likeliest original of a bucket: all meet it.
-    original = labelled.groupBy("bucket").agg(F.min_by("rep", F.struct(1 - F.col("most") / F.col("n"), "rep")).alias("original"))
-    labelled = stage.table(labelled.join(original, "bucket"))
+def _meet_originals(docs: DataFrame, labelled: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """The open members with their bucket's likeliest original, the one with the fewest shingles of its own, and the
+    similarity of all of them to it."""
+    original = labelled.groupBy("bucket").agg(F.min_by("rep", F.struct(1 - F.col("most") / F.col("n"), "rep")).alias("original"), F.count("*").alias("size"))
+    labelled = stage.table(by_bucket(labelled, original, stage))
     pair = [F.greatest("rep", "original").alias("a"), F.least("rep", "original").alias("b")]
     met = verified(docs, labelled.where("rep != original").select(*pair).distinct(), stage, 0.0)
-    links = stage.table(links.unionByName(met.where(F.col("similarity") >= THRESHOLD)))
-    group = small(components(links.select("a", "b"), stage))
     far = small(met).select("a", "b", (1 - F.col("similarity")).alias("far"))
     labelled = labelled.drop("label", "hub_label").select("*", *pair).join(far, ["a", "b"], "left").drop("a", "b").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    return labelled, met
+
+
+def _remaining(docs: DataFrame, labelled: DataFrame, links: DataFrame, classes: DataFrame, repeated: DataFrame, stage: Stage) -> DataFrame:
+    """Pairs (a, b) of different components that may still be linked.
+
+    Who is outside its bucket's largest component meets the rest, where two bounds allow a link: what both can share, and
+    the triangle inequality of Jaccard distances to the original; only in the first bucket of a pair.
+    """
+    group = small(components(links.select("a", "b"), stage))
     labelled = labelled.join(group.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     labelled = stage.table(labelled)
-    largest = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    largest = largest.join(labelled.join(largest, "bucket").where("label != main").select("bucket").distinct(), "bucket", "left_semi")
-    labelled = stage.table(labelled.join(largest, "bucket"))
+    largest = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("labels"))
+    labelled = stage.table(by_bucket(labelled, largest.where("labels > 1").drop("labels"), stage))
     own = unshared(docs, labelled.select("rep", "label").distinct(), repeated, stage)
     most = F.col("n") - F.coalesce("own", F.lit(0))
     labelled = stage.table(labelled.drop("own", "most").join(small(own), "rep", "left").withColumn("most", most).where(F.col("most") >= F.lit(THRESHOLD) * F.col("n")))
     labelled = stage.table(labelled.join(classes.select("rep", "bands"), "rep"))
-    apart = labelled.where("label != main")
-    # Who is still outside the bucket's largest component meets the rest, where two bounds allow a link: what both
-    # can share, and the triangle inequality of Jaccard distances to the original; only in the first bucket of a pair.
-    apart = apart.select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("most").alias("x_most"), F.col("label").alias("x_label"), F.col("far").alias("x_far"), F.col("bands").alias("x_bands"))
+    apart = labelled.where("label != main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "most", "label", "far", "bands")])
     most = F.least("most", "x_most")
     may = (most >= F.lit(THRESHOLD) * (F.col("n") + F.col("x_n") - most)) & (F.abs(F.col("far") - F.col("x_far")) <= F.lit(1 - THRESHOLD + 1e-9))
-    rest = (
+    return (
         apart.join(labelled.where("rep != original").select("bucket", "rep", "n", "most", "label", "far", "bands"), "bucket")
         .where((F.col("label") != F.col("x_label")) & may & (F.array_min(F.array_intersect("bands", "x_bands")) == F.col("bucket")))
-        .select(F.greatest("x", "rep").alias("a"), F.least("x", "rep").alias("b")).distinct()
-        .join(small(first), ["a", "b"], "left_anti")
+        .select(F.greatest("x_rep", "rep").alias("a"), F.least("x_rep", "rep").alias("b")).distinct()
     )
-    links = links.unionByName(verified(docs, rest, stage))
 
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id (least id of its exact copies), group_id (least id of its
+    group of near copies) and kept (doc_id = group_id)."""
+    stage = Stage(docs.sparkSession, "dart-minhash")
+    signed = _signed_table(docs, stage)
+    classes, repeated = _classes(signed, stage)
+    members = _members(classes, stage)
+    hubs = members.where((F.col("rep") != F.col("hub")) & _alike(F.col("n"), F.col("hub_n"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = stage.table(hubs)
+    links = verified(docs, hubs, stage)
+    labelled = _open(docs, members, links, repeated, stage)
+    labelled, met = _meet_originals(docs, labelled, stage)
+    links = stage.table(links.unionByName(met.where(F.col("similarity") >= THRESHOLD)))
+    rest = _remaining(docs, labelled, links, classes, repeated, stage).join(small(hubs), ["a", "b"], "left_anti")
+    links = links.unionByName(verified(docs, rest, stage))
     group = small(components(links.select("a", "b"), stage))
     named = classes.join(group, F.col("rep") == F.col("node"), "left").select("d1", "d2", "rep", "copies", F.coalesce("component", "rep").alias("group_id"))
     named = stage.table(named.where("copies > 1 or group_id != rep"))
-    out = signed.select("doc_id", "d1", "d2").join(named, ["d1", "d2"], "left").select(
+    out = signed.select("doc_id", "d1", "d2").join(small(named), ["d1", "d2"], "left").select(
         "doc_id",
         F.coalesce("rep", "doc_id").alias("class_id"),
         F.coalesce("group_id", "doc_id").alias("group_id"),
@@ -302,7 +348,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without the later members of each group."""
+    """The rows of ``docs``, all columns, without the later members of each group.
+
+    Of rows that share a doc_id the one with the least hash of its text stays; a row without an id goes if a row with one
+    has the same text (null and null are the same here), and of several without one that have the same text one stays.
+    """
     stage = Stage(docs.sparkSession, "dart-minhash-kept")
-    gone = stage.table(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    ident, whole, digest = fresh("ident", "whole", "digest")
+    gone = stage.table(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(ident)).distinct())
+    kept = docs.join(small(gone), F.col("doc_id").cast("long") == F.col(ident), "left_anti")
+    twice = stage.table(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(ident)).agg(F.count("*").alias(whole)).where(F.col(whole) > 1).select(ident))
+    nameless = stage.table(docs.where("doc_id is null").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias(digest), F.col("text").isNull().alias(ident)).agg(F.first(F.struct(*docs.columns)).alias(whole)))
+    if twice.isEmpty() and nameless.isEmpty():
+        return stage.result(kept, gone)
+    same = F.col("doc_id") == F.col(ident)
+    once = kept.where("doc_id is not null").join(small(twice), same, "left_anti")
+    repeats = kept.join(small(twice), same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias(whole)).select(f"{whole}.*")
+    texts = docs.where("doc_id is not null").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias(digest), F.col("text").isNull().alias(ident))
+    known = texts.join(small(nameless.select(digest, ident)), [digest, ident], "left_semi").distinct()
+    alone = nameless.join(known, [digest, ident], "left_anti").select(f"{whole}.*")
+    return stage.result(once.unionByName(repeats).unionByName(alone), gone, twice, nameless)
+
+
+#: DuckDB's form of ``near_duplicates``: all pairs that share a shingle, compared exactly, and the closure of their links.
+SQL = r"""
+with recursive worded as (
+  select doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+),
+usable as (select * from worded where doc_id is not null and text is not null),
+shingle as (
+  select doc_id, sh, count(*) as c from (
+    select doc_id, list_slice(w, s, s + 4) as sh from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as s from usable where len(w) > 0)
+  ) group by all
+),
+total as (select doc_id, sum(c) as n from shingle group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, sum(least(a.c, b.c)) as common from shingle a join shingle b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+near as (select a, b from shared join total x on x.doc_id = a join total y on y.doc_id = b where 10 * common >= 8 * (x.n + y.n - common)),
+equal as (select x.doc_id as a, y.doc_id as b from usable x join usable y on x.text = y.text and x.doc_id < y.doc_id where len(x.w) = 0),
+link as (select a, b from near union select b, a from near union select a, b from equal union select b, a from equal),
+reach(id, other) as (select doc_id, doc_id from usable union select reach.id, link.b from reach join link on link.a = reach.other),
+least as (select id, min(other) as group_id from reach group by id),
+class as (select min(doc_id) as class_id, w, case when len(w) = 0 then text end as t from usable group by all)
+select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, coalesce(group_id, d.doc_id) as group_id, coalesce(d.doc_id = coalesce(group_id, d.doc_id), true) as kept
+from worded d left join class c on c.w = d.w and c.t is not distinct from case when len(d.w) = 0 then d.text end and d.doc_id is not null left join least on least.id = d.doc_id
+"""

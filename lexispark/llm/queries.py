@@ -74,6 +74,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexispark.llm import packing, preference, projection_forest, winnowing
+    from lexispark.llm import dart_minhash, packing, preference, projection_forest, winnowing
 
-    return {"op10_projection_forest": projection_forest.SQL, "op2_length_buckets": packing.SQL, "op7_preference": preference.SQL, "op9_winnowing": winnowing.SQL}
+    return {"op5_dart_minhash": dart_minhash.SQL, "op10_projection_forest": projection_forest.SQL, "op2_length_buckets": packing.SQL, "op7_preference": preference.SQL, "op9_winnowing": winnowing.SQL}
