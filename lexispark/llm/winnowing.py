@@ -3,8 +3,8 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is ten consecutive words of a
 benchmark item; an item of fewer words, but not none, is one window. Every window keeps the least hash of its
 k-grams, in the benchmark as in the documents, so that a window that occurs in both has the same fingerprint in
-both: no shared window is missed. Fingerprints that meet are extended over the words around them and
-the windows compared as a whole.
+both: no shared window is missed. Fingerprints that meet are extended over the words around them, and whole windows are
+compared by a 64-bit hash of their words' 64-bit hashes (two different windows agree with a chance of some 2^-63).
 
 Neighbouring windows with the same least hash form one row (fingerprint, position, word hashes), about two for
 every seven words. The benchmark's distinct fingerprints are broadcast after a count shows them to be few; beyond
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispark.llm.runtime import Stage, small
+from lexispark.llm.runtime import Stage, fresh, small
 
 WINDOW = 10
 GRAM = 5
@@ -149,10 +149,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .withColumn("_new", F.greatest(F.lit(0), end - F.greatest(F.col("at"), F.coalesce(F.max(end).over(before), F.col("at")))))
         .groupBy("_id", "_h").agg(F.sum("_new").alias("n_hit"))
     )
+    # Windows of the same items are one: a passage that many items share meets them once, not once for each window.
+    holders = item_windows.where("item_id is not null").groupBy("size", "whole").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
+    holders = stage.table(holders.withColumn("_set", F.md5(F.array_join("_items", ","))))
+    sets = stage.table(holders.groupBy("_set").agg(F.first("_items").alias("_items")))
     listed = (
         found.select("_id", "_h", "size", "whole").distinct()
-        .join(item_windows.where("item_id is not null"), ["size", "whole"])
-        .select("_id", "_h", F.col("item_id").cast("string").alias("_item")).distinct()
+        .join(small(holders.select("size", "whole", "_set"), BROADCAST_FINGERPRINTS), ["size", "whole"])
+        .select("_id", "_h", "_set").distinct().join(sets, "_set")
+        .select("_id", "_h", F.explode("_items").alias("_item")).distinct()
         .groupBy("_id", "_h").agg(F.count("*").alias("n_items"), digest(F.collect_list("_item")).alias("items_sha256"))
     )
     c, x, y = counted.alias("c"), covered.alias("x"), listed.alias("y")
@@ -165,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )
-    return stage.result(out, found, item_windows)
+    return stage.result(out, found, holders, sets)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -174,8 +179,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     got = hits(_keyed(docs, "doc_id"), _items(benchmark), stage)
     if got is None:
         return docs
-    bad = stage.table(got[0].select(F.col("_id").alias("_bad"), F.col("_h").alias("_bad_h")).distinct())
-    out = docs.join(small(bad), F.expr("doc_id <=> _bad and xxhash64(text) = _bad_h"), "left_anti")
+    ident, digest = fresh("ident", "digest")
+    bad = stage.table(got[0].select(F.col("_id").alias(ident), F.col("_h").alias(digest)).distinct())
+    out = docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(digest)), "left_anti")
     return stage.result(out, bad)
 
 

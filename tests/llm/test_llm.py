@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from lexispark.llm import queries as q
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size int, d1 string, bucket string, label string"
+DOC_NAMES = [x.split()[0] for x in DOC.split(", ")]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -69,7 +71,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {i: r["group_id"] for i, r in got.items()} == {i: find(i) for i in range(len(texts))}
     assert all(r["kept"] == (i == r["group_id"]) for i, r in got.items())
     kept = dart_minhash.keep_one(table(spark, texts))
-    assert kept.columns == table(spark, []).columns if texts is None else kept.count() == sum(find(i) == i for i in range(len(texts)))
+    assert kept.columns == DOC_NAMES and sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_dedup_of_repeated_and_nameless_rows(spark):
+    long = prose(random.Random(1), 50)
+    rows = [(3, "a b c"), (3, "a b c"), (3, "a b c"), (1, long), (2, long + " end"), (2, long + " end"), (None, long), (None, "alone"), (None, "alone"), (None, None), (4, None), (4, None), (5, "x"), (5, "y")]
+    docs = spark.createDataFrame([(i, t, "ident", "z") for i, t in rows], "doc_id long, text string, _gone string, rep string")
+    kept = dart_minhash.keep_one(docs)
+    got = sorted((tuple(r) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns and [r[:2] for r in got if r[0] in (1, 2, 3, 4, None)] == sorted([(1, long), (3, "a b c"), (4, None), (None, "alone")], key=str)
+    assert sum(r[0] == 5 for r in got) == 1  # of two texts under one id, one
+
+
+def test_large_buckets_are_joined_whole(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id as rep", "if(id < 200, 7, id) as bucket")
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("hub"))
+    want = sorted((b, r, min(r, 200) and (r if r >= 200 else 0)) for r in range(300) for b in [7 if r < 200 else r])
+    for bound in (10**6, 5):
+        monkeypatch.setattr(dart_minhash, "small", lambda df, n=bound: F.broadcast(df) if df.count() <= n else df)
+        monkeypatch.setattr(dart_minhash, "HOT_BUCKET", 50)
+        got = dart_minhash.by_bucket(rows, buckets, dart_minhash.Stage(spark, "test"))
+        assert sorted((r["bucket"], r["rep"], r["hub"]) for r in got.collect()) == want
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -412,14 +435,103 @@ def test_queries_against_sql(spark, name):
     assert rows(got) == rows(want)
 
 
-def test_pipeline(spark):
+def brute_dedup(rows):
+    """The ids that stay, of (doc_id, text) with distinct ids."""
+    bags = {i: collections.Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := words(t)) else None for i, t in rows}
+    total, root, ids = {i: sum(b.values()) for i, b in bags.items() if b}, {i: i for i, _ in rows}, sorted(bags)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    text = dict(rows)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = bags[i], bags[j]
+            near = a and b and min(total[i], total[j]) >= 0.8 * max(total[i], total[j]) and (both := sum((a & b).values())) * 10 >= 8 * (total[i] + total[j] - both)
+            if near or (not a and text[i] is not None and text[i] == text[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i for i in ids if find(i) == i}
+
+
+def brute_windows(texts):
+    out = set()
+    for t in texts:
+        w = words(t)
+        n = min(10, len(w))
+        out |= {tuple(w[s : s + n]) for s in range(len(w) - n + 1)} if w else set()
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each step again in plain Python on what is left; only the trained models are the operators' own."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        docs = stage(spark, docs, SF).persist()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < docs.count() <= before, name
-    assert F is not None
-    packed = corpus_pipeline.run(spark, SF)
-    assert sorted(r["doc_id"] for r in packed.select("doc_id").collect()) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    fm = toxicity.train(spark, docs, labels)
+    known = {int(t): k for k, t in enumerate(fm.terms)}
+    left = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    def toxic(text):
+        [(_, _, data, offsets)] = list(dart_minhash.tv.chunks(pa.array([text or ""])))
+        at = sorted({known[t] for t in toxicity.hashed_terms(data, offsets)[1].tolist() if t in known})
+        z = fm.bias + sum(fm.weight[i] for i in at) + sum(fm.factor[i] @ fm.factor[j] for i in at for j in at if i < j) if at else fm.nothing
+        return z >= 0
+
+    left = {i: t for i, t in left.items() if not toxic(t)}
+    first = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    assert first.columns == docs.columns and {r["doc_id"] for r in first.collect()} == set(left) and len(left) < docs.count()
+    stay = brute_dedup(list(left.items()))
+    left = {i: t for i, t in left.items() if i in stay}
+    wins = brute_windows(r["text"] for r in items.collect())
+    sizes = {len(w) for w in wins}
+    hit = lambda w: any(tuple(w[s : s + n]) in wins for n in sizes for s in range(len(w) - n + 1))
+    left = {i: t for i, t in left.items() if not hit(words(t))}
+    rows = spark.createDataFrame([(i, t, "", "", 0) for i, t in left.items()], docs.schema)
+    pair = secret_scan.train(rows)
+    cut = {}
+    for i, t in left.items():
+        spans = [(m.start(), m.end(), k, m) for k, p in enumerate((secret_scan.ASSIGN, secret_scan.ACCESS, secret_scan.HEX)) for m in p.finditer(t or "")]
+        spans = [(s, e, k) for s, e, k, m in spans if len(m[2] if k == 0 else m[0]) >= (6, 20, 24)[k]]
+        spans += [(s, e, 3) for s, k, e in secret_scan.scan([t], pair)[0] if k == 3]
+        out, done = "", 0
+        for s, e, k in sorted(spans, key=lambda x: (x[0], x[2])):
+            out += (t[done:s] + ("[ASSIGN]", "[ACCESS]", "[HEX]", "[MARKOV]")[k]) if s >= done else ""
+            done = max(done, e)
+        cut[i] = len((out + t[done:]).split()) if spans else len(re.findall(r"[^\t-\r ]+", t or ""))
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert {i: r["n_tokens"] for i, r in got.items()} == cut
+    size, count = np.unique(list(cut.values()), return_counts=True)
+    # The least cost of the first j sizes, for one more bucket in each round.
+    best = [0] + [math.inf] * len(size)
+    for _ in range(packing.BUCKETS):
+        best = [min([best[j]] + [best[i] + int(size[j - 1]) * int(count[i:j].sum()) for i in range(j)]) for j in range(len(size) + 1)]
+    assert sum(r["bucket_tokens"] for r in got.values()) == best[-1]
+    place = collections.defaultdict(list)
+    for i in sorted(got):
+        place[got[i]["bucket"]].append(i)
+    for ids in place.values():
+        fits = max(1, packing.BUDGET // max(1, got[ids[0]]["bucket_tokens"]))
+        assert [(got[i]["batch"], got[i]["slot"]) for i in ids] == [divmod(n, fits) for n in range(len(ids))]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = ", _gone string, _bad string, _bad_h string, rep string, side int, y int, _id string, _row int, bucket int"
+    odd = [(i, t) for i, t in enumerate(odd_texts())] + [(None, "no id"), (None, None), (5, odd_texts()[5]), (2, None)]
+    for part, rows in (("odd", odd), ("empty", [])):
+        at = str(tmp_path / part)
+        spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in rows], names).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(0, 1), (None, 0), (7, None)][: len(rows)], "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(0, "one"), (1, None), (None, "")][: len(rows)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        wide = spark.createDataFrame([(i, t, None, None, len(t or ""), "a", "b", "c", "d", 1, 1, "e", 2, 3) for i, t in rows], names + clash)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, wide, at)
+            assert kept.columns == wide.columns and kept.count() <= len(rows), name
+        got = corpus_pipeline.run(spark, at).collect()
+        assert got == [] if not rows else sorted(r["doc_id"] or -1 for r in got) == [-1, 0, 1, 2, 3, 5, 9, 10, 11]
