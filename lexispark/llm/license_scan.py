@@ -1,18 +1,21 @@
 """Licence scans: a trained classifier of paragraphs, confirmed by comparison with templates.
 
 Paragraphs are the lines of a text, and lines without an empty one between them joined (licences are often wrapped); if
-such lines hold most of a template, also the fewest of them that do. A multinomial logistic regression over sparse word n-grams (one to three words)
-gives each paragraph a probability for every licence family, for ``unknown`` (a licence, but none of these) and for
-``none``. It learns from perturbed templates and from a bounded sample of the corpus's own paragraphs, and its
-probabilities are calibrated by a temperature on held-out examples. A family counts only if the paragraph also holds
-most of the word pairs of one of the family's templates; else a likely licence is ``unknown``.
+such lines hold most of a template, also the fewest of them that do. A multinomial logistic regression over sparse word
+n-grams (one to three words) gives each paragraph a probability for every licence family, for ``unknown`` (a licence, but
+none of these) and for ``none``. It learns from standard notices and pieces of them, from short references made by rule
+(phrases times names of the families), from ordinary sentences with words of licences, and from a bounded sample of the
+corpus's own paragraphs; its probabilities are calibrated by a temperature on held-out examples. A family counts only
+if the paragraph also holds most of the word pairs of one of the family's notices, or all pairs of one of its names;
+else a likely licence is ``unknown``.
 
 A joined paragraph is named by its first line. It counts if none of its lines has its family, and its lines with words of
 that family's templates are no longer ``unknown``; an ``unknown`` one counts if none of its lines is a licence.
 
-Defined results: a null or empty text has no paragraphs and no licence; a paragraph without a known n-gram
-is ``none``; repeated rows get equal results; texts are read whole; an empty table gives an empty
-result and trains on templates only; other columns pass unread.
+Defined results: a null or empty text has no paragraphs and no licence; a paragraph without a known n-gram is ``none``;
+repeated rows get equal results; rows without an id are scanned like others; texts are read whole, very long ones too; an
+empty table gives an empty result and trains without corpus paragraphs; of families that hold equally much of a
+template the likeliest counts; other columns, whatever their names, pass unread.
 """
 
 from __future__ import annotations
@@ -28,33 +31,115 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.runtime import bounded_batches
 
-# How the licences name themselves.
-TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
-    "LGPL": ("This library is licensed under the GNU Lesser General Public License.",),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
-    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."),
-    "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."),
-    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Dedicated to the public domain under CC0 1.0."),
-    "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+# The notices that the licences ask for or consist of.
+NOTICES = {
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy "
+        "of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ),
+    "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+        "Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary "
+        "form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+        "provided with the distribution.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission.",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+        "obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    "CC-BY-4.0": ("This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",),
+    "CC-BY-SA-4.0": ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/",),
+    "CC-BY-NC-4.0": ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/",),
+    "CC0-1.0": (
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the "
+        "use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions:",
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+        "this license to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    ),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
 }
-UNKNOWN_TEXTS = (
-    "Licensed under the terms of the project license.", "This file is distributed under the vendor license agreement.", "All rights reserved.", "All rights reserved; see the license file for the terms.",
-    "Released under the Example Community License, version 1.0.", "Use of this software is governed by the customer agreement and its license terms.", "Distributed under the Sample Public License.",
+# The names of the families; "*" stands for both spellings of the word licence.
+NAMES = {
+    "MIT": ("MIT *", "Expat *"), "Apache-2.0": ("Apache *, Version 2.0", "Apache * 2.0", "Apache 2.0 *", "Apache * v2.0"),
+    "GPL-3.0": ("GNU General Public *, version 3", "GNU General Public * v3.0", "GNU GPL version 3", "GNU GPL v3", "GPL version 3", "GPLv3 *"),
+    "GPL-2.0": ("GNU General Public *, version 2", "GNU General Public * v2.0", "GNU GPL version 2", "GNU GPL v2", "GPL version 2", "GPLv2 *"),
+    "LGPL": ("GNU Lesser General Public *", "GNU Library General Public *", "GNU LGPL", "LGPL *"), "AGPL-3.0": ("GNU Affero General Public *", "GNU AGPL", "AGPL version 3"),
+    "BSD-3-Clause": ("BSD 3-Clause *", "3-Clause BSD *", "New BSD *", "Modified BSD *"), "MPL-2.0": ("Mozilla Public *", "MPL 2.0"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0", "CC BY 4.0"), "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0", "CC BY-SA 4.0"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0", "CC BY-NC 4.0"), "CC0-1.0": ("CC0 1.0", "Creative Commons Zero", "CC0 *"), "ISC": ("ISC *",),
+    "Unlicense": ("the Unlicense",), "Zlib": ("zlib *",), "BSL-1.0": ("Boost Software *",), "EPL-2.0": ("Eclipse Public *",),
+}
+# How texts refer to a licence by its name, and to one without a known name.
+PHRASES = (
+    "Licensed under {}", "Released under the {}", "Distributed under the terms of the {}.", "This project is licensed under the {} - see the LICENSE file for details", "Code in this folder is available under the {}.",
+    "This document may be used under {}", "covered by the {}", "published under {}, see below", "The text is made available under the terms of {}.", "You may use it under the {}", "Use is permitted under {}.", "License: {}", "Dedicated to the public domain under {}.", "{}",
+)
+UNKNOWN_PHRASES = (
+    "Licensed under the terms of the {} license.", "This file is distributed under the {} license agreement.", "Copyright (c) {} and others. All rights reserved.", "All rights reserved by {}.", "Released under the {} Community License, version 1.0.",
+    "Use of this software is governed by the {} customer agreement and its license terms.", "Distributed under the {} Public License.", "No part of this {} publication may be reproduced without written permission. All rights reserved.",
+    "© {} All rights reserved", "SPDX-License-Identifier: LicenseRef-{}", "The {} license applies to all files of this package.",
+)
+HOLDERS = ("project", "vendor", "Example", "Sample", "Northwind", "the authors", "2019", "Acme Ltd", "publisher", "enterprise", "")
+# Ordinary sentences with words of licences.
+ORDINARY = (
+    "He lost his driving license in the city.", "She got a fishing licence for the summer.", "The restaurant needs a license to serve wine.", "They were released under pressure from the public.", "The film was released in May under a new title.",
+    "Permission to enter the building was granted by the guard.", "Mozilla and Apache were mentioned in a paper on copyright.", "A lecture on copyright law is held at MIT every spring.", "The general public was asked to leave the square.",
+    "The apache helicopter landed near the village.", "Creative people met in the commons room.", "The software was distributed on floppy disks in those days.", "Version 2.0 of the game has better sound.", "Free software is often discussed at the club.",
+    "All seats in the first row are reserved.", "The rights of the workers were defended in court.", "Public transport is free of charge on Sundays.", "Terms like these are hard to translate.", "The driver showed the police a licence and a permit.",
+    "The dog license must be renewed every year.", "You may use the garden when the weather is good.", "The patent was granted to two engineers from Boston.", "Her attribution of the painting to Rembrandt is disputed.", "The bridge is open to the public, without restriction.",
+    "The bookshop has a notice in the window: closed for repairs.", "Students at MIT built a small robot.", "The clause in the contract was hard to read.", "A gnu and her calf crossed the river.", "The boost in sales came from the eclipse tours.", "Please see the file on the table for the details.",
 )
+
+
+def _spelled(name: str) -> tuple[str, ...]:
+    return (name.replace("*", "License"), name.replace("*", "Licence")) if "*" in name else (name,)
+
+
+#: What a paragraph must hold to be of a family: its notices for the most part, or one of its names whole.
+TEMPLATES = {f: (*NOTICES[f], *(s for n in NAMES[f] for s in _spelled(n)), f"SPDX-License-Identifier: {f}") for f in NOTICES}
 NONE, UNKNOWN = "none", "unknown"
 #: Bounds of the corpus sample that gives the class ``none``: documents, and paragraphs of all of them.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 600, 1500
 #: n-grams that the model knows at most: the most frequent ones, those of licences first.
 MOST_NGRAMS = 8000
-#: Least calibrated probability of a licence, and least share of a template's word pairs in the paragraph.
-LIKELY, CONFIRM = 0.5, 0.6
+#: Least calibrated probability of a licence; least share of a notice's word pairs in the paragraph, and from how many
+#: pairs on a template is a notice (a shorter one, a name, must be there whole).
+LIKELY, CONFIRM, NOTICE_PAIRS = 0.5, 0.6, 10
 #: More than the difference between the two ways to sum a paragraph's weights, and words whose weights are summed at once.
 ROUNDING, WORDS_AT_ONCE = 1e-3, 100_000
 
@@ -71,6 +156,11 @@ def pairs(paragraph: str) -> set[tuple[str, str]]:
     return set(zip(w, w[1:]))
 
 
+def needed(template: set) -> float:
+    """How many of a template's pairs a paragraph must hold."""
+    return CONFIRM * len(template) if len(template) >= NOTICE_PAIRS else len(template)
+
+
 @dataclass
 class LicenseModel:
     classes: list[str]
@@ -81,7 +171,8 @@ class LicenseModel:
 
     def __post_init__(self):
         """The n-grams as numbers: those of their words, 0 for an unknown one, in sorted arrays for each length."""
-        templates = [pairs(t) for texts in TEMPLATES.values() for t in texts]
+        self.pairs = {f: [pairs(t) for t in texts] for f, texts in TEMPLATES.items()}
+        templates = [x for texts in self.pairs.values() for x in texts]
         self.number = {w: i for i, w in enumerate(sorted({w for g in [*self.index, *(w for x in templates for p in x for w in p)] for w in g.split()}), 1)}
         self.base = len(self.number) + 1
         self.known = []
@@ -91,9 +182,9 @@ class LicenseModel:
 
         held = sorted((self._key([self.number[w] for w in x]), i) for i, t in enumerate(templates) for x in t)
         self.pair = np.unique(np.array([k for k, _ in held], np.int64))
-        self.share = np.zeros((len(self.pair), len(templates)))  # what a pair is of each template
+        self.share = np.zeros((len(self.pair), len(templates)))  # what a pair is of what each template needs
         for k, i in held:
-            self.share[np.searchsorted(self.pair, k), i] = 1.0 / len(templates[i])
+            self.share[np.searchsorted(self.pair, k), i] = 1.0 / needed(templates[i])
 
     def _key(self, numbers):
         key = numbers[0]
@@ -127,7 +218,7 @@ class LicenseModel:
         return out
 
     def holds_template(self, number: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Whether each paragraph, given as ``likely`` takes it, holds ``CONFIRM`` of a template's pairs."""
+        """Whether each paragraph, given as ``likely`` takes it, holds what a template needs."""
         out, row = np.zeros(len(size), bool), np.repeat(np.arange(len(size)), size)
         if len(number) > 1:
             key = self._key([number[:-1], number[1:]])
@@ -136,7 +227,7 @@ class LicenseModel:
             if hit.any():
                 here = np.unique(row[:-1][hit] * len(self.pair) + pos[hit])
                 rows, start = np.unique(here // len(self.pair), return_index=True)
-                out[rows] = np.add.reduceat(self.share[here % len(self.pair)], start).max(axis=1) >= CONFIRM - ROUNDING
+                out[rows] = np.add.reduceat(self.share[here % len(self.pair)], start).max(axis=1) >= 1 - ROUNDING
         return out
 
     def probabilities(self, grams: set[str]) -> np.ndarray:
@@ -155,18 +246,19 @@ class LicenseModel:
         if likely < LIKELY:
             return None
         here = pairs(paragraph)
-        share = {f: max(len(t & here) / len(t) for t in map(pairs, texts)) for f, texts in TEMPLATES.items()}
-        family = max(TEMPLATES, key=lambda f: p[self.classes.index(f)])
-        if share[family] >= CONFIRM and share[family] >= max(share.values()) and p[self.classes.index(family)] >= p[self.classes.index(UNKNOWN)]:
-            return family, likely, share[family]
-        return UNKNOWN, likely, share[family]
+        # Of each family the template that is held best; the longest one that is held whole tells families apart whose
+        # names contain each other.
+        held = {f: max(((len(x & here) / len(x), len(x)) if len(x & here) >= needed(x) else (0.0, 0)) for x in texts) for f, texts in self.pairs.items()}
+        family = max(TEMPLATES, key=lambda f: (held[f], p[self.classes.index(f)]))
+        share = held[family][0]
+        return (family if share else UNKNOWN), likely, share
 
 
 def _held(paragraphs: list[set], template: set, start: int, seen: int) -> tuple[int, int] | None:
-    """First and last of the next lines from ``start`` on that hold ``CONFIRM`` of a template's pairs; ``seen``: the last
+    """First and last of the next lines from ``start`` on that hold what a template needs; ``seen``: the last
     of the ones before, which these go beyond. As few lines as do, then those beside them that hold more."""
     count: dict[tuple, int] = {}
-    need, first = CONFIRM * len(template), start
+    need, first = needed(template), start
     for last in range(start, len(paragraphs)):
         for x in paragraphs[last] & template:
             count[x] = count.get(x, 0) + 1
@@ -204,8 +296,8 @@ def wrapped(model: LicenseModel, lines: list[str], likely: bool, confirmed: bool
             if w and back:
                 here[i].add((back, w[0]))
             back = w[-1] if w else back
-        for texts in TEMPLATES.values():
-            for template in map(pairs, texts):
+        for texts in model.pairs.values():
+            for template in texts:
                 start, seen = 0, -1
                 while at := _held(here, template, start, seen):
                     first, last = at
@@ -231,10 +323,18 @@ def found_in(model: LicenseModel, lines: list[str], likely: np.ndarray, runs: li
             taken.append((first, last, family))
             joined[first, family] = (first, *hit)
             if family != UNKNOWN:
-                own = set().union(*map(pairs, TEMPLATES[family]))
+                own = set().union(*model.pairs[family])
                 for i in range(first, last + 1):
                     if i in alone and alone[i][0] == UNKNOWN and pairs(lines[i]) & own:
                         del alone[i]
+    # An unknown line beside one of a family, without a full stop between them, is of the same sentence.
+    family = {i: hit[0] for i, hit in alone.items() if hit[0] != UNKNOWN}
+    for i in [i for i, hit in alone.items() if hit[0] == UNKNOWN]:
+        for a, b in ((i - 1, i), (i, i + 1)):
+            other = family.get(a + b - i)
+            if other and not lines[a].rstrip().endswith((".", "!", "?", ":", ";")) and (hit := model.classify(f"{lines[a]} {lines[b]}")) and hit[0] == other:
+                del alone[i]
+                break
     return sorted([*((i, *hit) for i, hit in alone.items()), *joined.values()])
 
 
@@ -246,14 +346,33 @@ def perturbed(text: str, rng: random.Random, filler: list[str]) -> str:
     return " ".join(w)
 
 
-def fit(background: list[str], seed: int = 23, copies: int = 40) -> LicenseModel:
-    """Train on perturbed templates and background paragraphs; a fifth of the examples calibrates."""
+def examples(rng: random.Random, filler: list[str], copies: int) -> list[tuple[str, str]]:
+    """(paragraph, class) made from the fixed values: notices and pieces of them, references by rule, ordinary sentences."""
+    rows = []
+    for family, texts in NOTICES.items():
+        for text in texts:
+            w = text.split()
+            for _ in range(copies):
+                n = rng.randint(7, 20)
+                at = rng.randint(0, max(0, len(w) - n))
+                rows += [(perturbed(text, rng, filler), family), (" ".join(w[at : at + n]), family)]
+        names = [s for n in NAMES[family] for s in _spelled(n)]
+        rows += [(perturbed(rng.choice(PHRASES).format(rng.choice(names)), rng, filler), family) for _ in range(2 * copies)]
+        rows += [(f"SPDX-License-Identifier: {family}", family)] * 3
+    rows += [(perturbed(rng.choice(UNKNOWN_PHRASES).format(rng.choice(HOLDERS)), rng, filler), UNKNOWN) for _ in range(8 * copies)]
+    loose = sorted({w for texts in TEMPLATES.values() for x in texts for w in x.split()})  # words of licences that say nothing alone
+    rows += [(w, NONE) for w in loose] + [(" ".join(rng.choices(loose, k=rng.randint(1, 4))), NONE) for _ in range(len(loose))]
+    rows += [(perturbed(x, rng, filler), NONE) for x in ORDINARY for _ in range(max(1, copies // 4))]
+    return rows
+
+
+def fit(background: list[str], seed: int = 23, copies: int = 20) -> LicenseModel:
+    """Train on made examples and background paragraphs; a fifth of the examples calibrates."""
     rng = random.Random(seed)
     filler = sorted({w for b in background[:200] for w in b.split()})[:2000] or ["lorem", "2024", "copyright", "authors"]
     classes = [*TEMPLATES, UNKNOWN, NONE]
-    rows = [(perturbed(t, rng, filler), f) for f, texts in TEMPLATES.items() for t in texts for _ in range(copies)]
-    rows += [(perturbed(t, rng, filler), UNKNOWN) for t in UNKNOWN_TEXTS for _ in range(copies)]
-    rows += [(b, NONE) for b in background] + [(" ".join(rng.choices(filler, k=rng.randint(1, 30))), NONE) for _ in range(200)]
+    rows = examples(rng, filler, copies)
+    rows += [(b, NONE) for b in background] + [(" ".join(rng.choices(filler, k=rng.choice((1, 1, 2, 3, 8, 30)))), NONE) for _ in range(600)]
     rng.shuffle(rows)
     grams = [ngrams(t) for t, _ in rows]
     y = np.array([classes.index(c) for _, c in rows])
@@ -265,7 +384,7 @@ def fit(background: list[str], seed: int = 23, copies: int = 40) -> LicenseModel
     of_licence = {v for g, lic in zip(grams, licence) if lic for v in g}
     keep = sorted((x for x, n in seen.items() if n >= 3), key=lambda v: (v not in of_licence, -seen[v], v))[:MOST_NGRAMS]
     index = {x: i for i, x in enumerate(keep)}
-    x = np.zeros((len(rows), len(keep)), dtype=np.float32)
+    x = np.zeros((len(rows), len(keep)), dtype=np.float32)  # some thousand examples
     for i, g in enumerate(grams):
         at = [index[w] for w in g if w in index]
         x[i, at] = 1.0 / max(1.0, len(at) ** 0.5)
@@ -273,7 +392,7 @@ def fit(background: list[str], seed: int = 23, copies: int = 40) -> LicenseModel
     w, b = np.zeros((len(keep), len(classes)), np.float32), np.zeros(len(classes), np.float32)
     onehot = np.eye(len(classes), dtype=np.float32)[y]
     g2, gb = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
-    for _ in range(150):
+    for _ in range(100):
         z = x[~held] @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p = p / p.sum(axis=1, keepdims=True) - onehot[~held]
@@ -293,14 +412,14 @@ def fit(background: list[str], seed: int = 23, copies: int = 40) -> LicenseModel
 
 
 def train(docs: DataFrame) -> LicenseModel:
-    """Fit with paragraphs of the ``SAMPLE_DOCS`` documents with the lowest hashes of doc_id as the class ``none``.
+    """Fit with at most ``SAMPLE_PARAGRAPHS`` paragraphs of the ``SAMPLE_DOCS`` documents with the lowest hashes of doc_id as the class ``none``.
 
     Paragraphs that hold most of a template are left out of that class.
     """
     ids = F.broadcast(docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))
     lines = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select(F.explode(F.split("text", "\n")).alias("p")).where(F.trim("p") != "")
     found = sorted(r["p"] for r in lines.distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS).collect())
-    known = [pairs(t) for texts in (*TEMPLATES.values(), UNKNOWN_TEXTS) for t in texts]
+    known = [pairs(t) for texts in TEMPLATES.values() for t in texts] + [pairs("all rights reserved"), pairs("the license agreement"), pairs("public license")]
     return fit([x for x in found if not any(len(k & p) >= 0.3 * len(k) for p in [pairs(x)] for k in known)])
 
 

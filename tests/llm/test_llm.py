@@ -376,6 +376,39 @@ def test_licence_words_in_ordinary_lines():
     assert all(p == pytest.approx(x[1], abs=1e-4) if x else p < license_scan.LIKELY for p, x in zip(likely, got))
 
 
+def test_licence_families_on_held_out_wording():
+    """Sentences, wrapped notices and ordinary lines that are in no training text."""
+    model = license_scan.fit(ordinary_lines())
+    named = {
+        "MIT": ["Our plugin is offered to everybody under the MIT licence.", "(MIT License) see below"], "Apache-2.0": ["The parser in this folder falls under the Apache License 2.0", "Apache Licence, Version 2.0 applies here"],
+        "GPL-3.0": ["My scripts are covered by the GNU General Public License, version 3 or later", "Everything here is GNU GPL v3"], "GPL-2.0": ["The kernel module uses the GNU General Public License, version 2"],
+        "LGPL": ["Linked against a library under the GNU Lesser General Public Licence"], "AGPL-3.0": ["The server is under the GNU Affero General Public License"], "BSD-3-Clause": ["Parts are under the 3-Clause BSD License"],
+        "MPL-2.0": ["Those files stay under the Mozilla Public License"], "CC-BY-4.0": ["Photos: Creative Commons Attribution 4.0"], "CC-BY-SA-4.0": ["The pictures are shared as CC BY-SA 4.0 by their makers"],
+        "ISC": ["The daemon is under the ISC license"], "EPL-2.0": ["The plug-in is under the Eclipse Public License"], "unknown": ["This tool is licensed under the Contoso Shared Tools License, version 4.", "© 2021 Fabrikam. All rights reserved."],
+    }
+    wrong = [(f, x, got) for f, xs in named.items() for x in xs if (got := (model.classify(x) or [None])[0]) != f]
+    assert len(wrong) <= 1, wrong
+    plain = ["Uncle Bob renewed his driving license on Monday", "Apache and Mozilla were named in a paper about copyright", "the general public likes free software", "she released the bird under the tree", "MIT is a university", "the permit was granted free of charge",
+             "Mit dem Zug nach Hause", "Mit.", "the version of the story that I know", "public", "a license to fish in the river", "my rights were reserved for later"]
+    alarms = [x for x in plain if model.classify(x)]
+    assert len(alarms) <= 1, alarms
+    sure = [max(1 - model.probabilities(license_scan.ngrams(x))[model.classes.index("none")], 1e-3) for xs in named.values() for x in xs]
+    assert np.mean(sure) > 0.85 and np.mean([1 - model.probabilities(license_scan.ngrams(x))[model.classes.index("none")] for x in plain]) < 0.25
+    wrap = lambda text, n: "\n".join(" * " + " ".join(w[i : i + n]) for w in [text.split()] for i in range(0, len(w), n))
+    for f, n in (("MIT", 9), ("GPL-3.0", 8), ("Apache-2.0", 10), ("BSD-3-Clause", 11), ("ISC", 7)):
+        text = f"int main\n\n{wrap('Copyright 2020 J. Doe ' + license_scan.NOTICES[f][0] + ' THE SOFTWARE IS PROVIDED AS IS', n)}\n\nreturn"
+        [x] = [license_scan.found_in(model, *s) for s in license_scan._scored(model, [text])]
+        assert f in {r[1] for r in x} and {r[1] for r in x} <= {f, "unknown"}, (f, x)
+
+
+def test_licences_of_odd_tables(spark):
+    texts = [None, "", "\n \n", "Released under the MIT License.", "Released under the MIT License.", "word " * 200_000 + "\nLicensed under CC BY 4.0."]
+    docs = table(spark, texts).unionByName(table(spark, texts[3:4])).unionByName(table(spark, texts[3:4]).withColumn("doc_id", F.lit(None).cast("long")))
+    got = license_scan.licences(docs).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["families"]) for r in got) == [(-1, "MIT"), (0, ""), (0, "MIT"), (1, ""), (2, ""), (3, "MIT"), (4, "MIT"), (5, "CC-BY-4.0")]
+    assert [r["n_paragraphs"] for r in got if r["doc_id"] == 5] == [2] and license_scan.licences(docs.limit(0)).count() == 0
+
+
 def test_wrapped_licences():
     model = license_scan.fit(ordinary_lines(), copies=20)
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
