@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -439,6 +440,101 @@ def test_warc_records(spark, tmp_path):
     assert warc.parse(gzip.compress(one))[0][1] == text["block"]
 
 
+class Oracle(HTMLParser):
+    """The visible text, title and links by the standard library's parser, for pages that are closed properly."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.out, self.title, self.links = [], [], None, []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in warc.RAW:
+            self.hidden.append(tag)
+            self.title = "" if tag == "title" and self.title is None else self.title
+            self.out.append(" ")
+        elif not self.hidden:
+            self.out.append("\n" if tag in warc.BLOCK else "")
+            self.links += [dict(attrs)["href"]] if tag == "a" and dict(attrs).get("href") else []
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.pop()
+        elif not self.hidden and tag in warc.BLOCK:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if self.hidden == ["title"]:
+            self.title += data
+        elif not self.hidden:
+            self.out.append(data)
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+
+def test_warc_query_equals_another_parser(spark):
+    """The registered query over all pages of a table, against the standard library's parser."""
+    rows = q.queries()["op1_warc_derivatives"](spark, SF).collect()
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    about, text = ({r["target_uri"]: r for r in rows if r["record_type"] == k} for k in ("metadata", "conversion"))
+    assert len(rows) == 2 * len(pages) and len({r["record_id"] for r in rows}) == len(rows)
+    for p in pages:
+        o, m, c = Oracle(p["html"] or ""), about[p["url"]], text[p["url"]]
+        want = "\n".join(x for x in (" ".join(line.split()) for line in "".join(o.out).split("\n")) if x)
+        assert c["block"] == want
+        assert f"title: {' '.join((o.title or '').split())}\r\n" in m["block"] and m["block"].count("outlink: ") <= len(o.links)
+        sha = "sha256:" + hashlib.sha256((p["html"] or "").encode()).hexdigest()
+        assert c["source_digest"] == sha == m["source_digest"] and f"source-payload-digest: {sha}" in m["block"]
+        assert c["block_digest"] == "sha256:" + hashlib.sha256(c["block"].encode()).hexdigest() and c["content_length"] == len(c["block"].encode())
+        assert c["refers_to"] == m["refers_to"] and f"WARC-Refers-To: {c['refers_to']}\r\n" in c["headers"] and f"conversion: {c['record_id']}" in m["block"]
+
+
+def test_titles_and_links_are_those_of_the_page():
+    page = "<!-- <title>no</title><a href='no1'> --><script>'<title>no</title><a href=no2>'</script><svg><title>no</title></svg><base href='/deep/'><title>Yes &amp;\n so</title><a data-href=no3 href='x?a&amp;b#f'>l</a><A HREF=y>m</A><a href='JavaScript:no4()'>n</a><base href=/no5/><a href='http://[bad'>"
+    got = warc.walk(page)
+    assert got.title == "Yes & so" and warc.outlinks(got, "http://h/p/q") == ["http://h/deep/x?a&b", "http://h/deep/y"]
+
+
+def test_records_of_odd_responses(spark):
+    kind = "record_id string, target_uri string, date string, http string, payload string, payload_digest string, page string, _n int"
+    long = "<p>" + "word " * 400_000 + "</p>"
+    given = [("<urn:a>", "http://h/1", "d", "H: 1\r\n", "<p>x", None), ("<urn:a>", "http://h/1", "d", None, "<p>y", None), (None, "http://h/2", "d", None, "<p>x", None), (None, "http://h/3", "d", None, "<p>x", None), (None, None, None, None, None, None), ("<urn:l>", "u", "d", None, long, "sha1:Z")]
+    responses = spark.createDataFrame([(*r, "z", 1) for r in given], kind)
+    rows = warc.derivatives(responses.unionByName(responses.limit(1))).collect()
+    assert len(rows) == 14 and len({r["record_id"] for r in rows}) == 12
+    assert all(r["source_digest"] and f"WARC-Source-Payload-Digest: {r['source_digest']}" in r["headers"] for r in rows)
+    [big] = [r for r in rows if r["record_type"] == "conversion" and r["refers_to"] == "<urn:l>"]
+    assert big["content_length"] == len("word " * 400_000) - 1 and big["source_digest"] == "sha1:Z"
+    assert warc.derivatives(responses.limit(0)).count() == 0
+
+
+def test_from_warc_file_to_derivatives(spark, tmp_path):
+    """Responses with text, bytes of another character set, chunks, a nested record mark and an image; plain and compressed."""
+    def record(kind, ident, block):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{ident}>\r\nWARC-Target-URI: http://h/{ident}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html"
+    nested = record("response", "inner", b"x")
+    records = [
+        record("warcinfo", "i", b"software: x\r\n"), record("response", "a", http + b"\r\n\r\n<title>A</title><p>caf\xc3\xa9"),
+        record("response", "b", http + b"; charset=iso-8859-1\r\n\r\n<p>caf\xe9"), record("response", "c", http + b"\r\nTransfer-Encoding: chunked\r\n\r\n4\r\n<p>o\r\n2\r\nne\r\n0\r\n\r\n"),
+        record("response", "d", http + b"\r\n\r\n<p>one\r\n\r\n" + nested + b"end"), record("response", "e", b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG"), record("request", "r", b"GET / HTTP/1.1\r\n\r\n"),
+    ]
+    for name, data in (("plain.warc", b"".join(records)), ("packed.warc.gz", b"".join(gzip.compress(r) for r in records))):
+        (tmp_path / name).write_bytes(data)
+        got = warc.read_warc(spark, str(tmp_path / name))
+        assert [(r["record_type"], r["whole"]) for r in got.collect()] == [("warcinfo", True), *[("response", True)] * 5, ("request", True)]
+        rows = warc.derivatives(warc.responses_from_warc(got)).where("record_type = 'conversion'").collect()
+        text = {r["target_uri"][-1]: r["block"] for r in rows}
+        assert text["a"] == "café" == text["b"] and text["c"] == "one" and text["e"] == "" and text["d"].startswith("one WARC/1.1") or text["d"].startswith("one\nWARC/1.1")
+        assert text["d"].endswith("end") and {r["refers_to"] for r in rows} == {f"<urn:{x}>" for x in "abcde"}
+    (tmp_path / "cut.warc").write_bytes(records[1][:-8])
+    assert [r["whole"] for r in warc.read_warc(spark, str(tmp_path / "cut.warc")).collect()] == [False]
+
+
 def test_preference_pairs(spark):
     t = "array<struct<role:string,text:string>>"
     a = [("user", "hi"), ("assistant", "<|im_end|>"), ("user", None), ("assistant", "good")]
