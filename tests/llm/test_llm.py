@@ -244,6 +244,45 @@ def test_toxicity_and_language_on_held_out_rows(spark):
     assert toxicity.toxic_documents(spark, odd, labels.limit(0)).count() == 4 and language_id.identified(odd.limit(0)).count() == 0
 
 
+def test_every_language_is_learned_and_odd_rows(spark):
+    """Forty languages of their own letters, a few rows each; the sample is bounded by rows, not by languages."""
+    rng = random.Random(12)
+    alphabet = {f"l{k:02}": rng.sample("abcdefghijklmnopqrstuvwxyz", 6) for k in range(40)}
+    make = lambda lang: " ".join("".join(rng.choices(alphabet[lang], k=5)) for _ in range(40))
+    rows = [(i, make(f"l{i % 40:02}"), f"l{i % 40:02}") for i in range(1200)]
+    rows += [(2000, None, "l00"), (2001, "", None), (2002, "123 !?", "l01"), (2003, make("l05") * 300, None), (None, make("l06"), "l07"), (7, rows[7][1], "l07"), (7, rows[7][1], "l07")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, _n int, y string")
+    model = language_id.train(docs, rows_per_language=15, most_rows=400)
+    assert model.languages == sorted(alphabet)
+    got = language_id.predict(docs, model).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    assert len(got) == len(rows) and len(by[7]) == 3 and len({x["score"] for x in by[7]}) == 1
+    assert np.mean([by[i][0]["lang_pred"] == lang for i, _, lang in rows[:1200]]) > 0.95
+    assert [(by[i][0]["lang_pred"], by[i][0]["score"]) for i in (2000, 2001, 2002)] == [("und", 0.0)] * 3 and by[2003][0]["lang_pred"] == "l05" and by[None][0]["lang_pred"] == "l06"
+    assert all(r["held_out"] is False for r in language_id.identified(docs.where("doc_id is null")).collect())
+    margin = np.array([[0.3, -2.0, 1.0]])
+    want = [[sum(w * math.log(1 + math.exp(-m * c)) for m, c, w in zip(margin[0], code, (0.5, 0.3, 0.2)))] for code in ((1, 1, -1), (-1, 1, 1))]
+    assert language_id.losses(margin, np.array([[1, 1, -1.0], [-1, 1, 1.0]]), np.array([0.5, 0.3, 0.2])).T == pytest.approx(np.array(want))
+
+
+def test_secrets_equal_plain_patterns(spark):
+    """The registered query's base columns, whole and in order, by plain regular expressions; odd rows too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = [(9001, "word " * 300_000 + "password=abc123"), (9002, None), (9003, ""), (None, "token: abcdef"), (9001, "x")]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).withColumn("spans", F.lit(1)).withColumn("kind", F.lit("k"))
+    got = collections.Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secret_scan.secrets(docs).collect())
+    patterns = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
+    want = collections.Counter()
+    for r in docs.collect():
+        found = [(m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, r["text"] or "", re.A) if len(m[2] if k == 0 else m[0]) >= (6, 20, 24)[k]]
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+        want[r["doc_id"], *(sum(k == j for _, k, _ in found) for j in range(3)), hashlib.sha256(joined.encode()).hexdigest()] += 1
+    assert got == want and sum(n * (k[1] + k[2] + k[3] > 0) for k, n in want.items()) > 2
+    assert secret_scan.secrets(docs.limit(0)).count() == 0
+
+
 def test_codewords_are_far_apart():
     code = language_id.codewords(12)
     far = ((code.shape[1] - code @ code.T) / 2 + np.eye(12) * 99).min()
@@ -546,7 +585,11 @@ def test_preference_pairs(spark):
     assert r["rejected"][s:e] == "bad one<|im_end|>"
     assert got[2]["chosen"] == "" == got[2]["rejected"] and got[3]["prompt"] == "" and got[4]["n_prefix"] == 0 and got[4]["chosen"].startswith("<|im_start|>unknown\n")
     talk = spark.createDataFrame([(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (1, 0, "user", "z"), (1, 1, "assistant", "b"), (2, 0, "user", None), (None, 0, "user", "n")], "conv_id long, turn long, role string, text string")
-    rows = {r["conv_id"]: r for r in preference.preference_rows(talk).collect()}
+    rows = {r["conv_id"]: r for r in preference.preference_rows(talk.withColumn("prompt", F.lit(1)).withColumn("chosen", F.lit("x"))).collect()}
+    assert preference.preference_rows(talk.limit(0)).count() == 0 and preference.format_pairs(pairs.limit(0)).count() == 0
+    long = spark.createDataFrame([(0, 0, "user", "word " * 200_000), (0, 1, "assistant", "a"), (1, 0, "user", "q"), (1, 1, "assistant", "b" * 100_000)], "conv_id long, turn long, role string, text string")
+    whole = {r["conv_id"]: r for r in preference.preference_rows(long).collect()}
+    assert whole[0]["prompt"].count("word") == 200_000 and whole[1]["chosen"].count("b" * 100_000) == 1
     assert sorted(rows) == [0, 1, 2] and rows[0]["n_prefix"] == 1 and "\na<" in rows[0]["chosen"] and "\nb<" in rows[0]["rejected"] and rows[2]["chosen"] == ""
 
 
