@@ -132,18 +132,19 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-#: (tree, leaf) of all places of a vector in one list of pairs, flattened.
+#: ``places`` are the numbers ``tree << _SHIFT | leaf`` of all leaves of a vector, ascending.
+_SHIFT = LEVELS + 1
 _ROUTED = "tree int, leaf long, label long, dim int, cid long, copies long, v array<double>, places array<long>"
 
 
 def _route(batches, forest, dim: int, spill: float):
-    """A row for each vector and leaf; ``places`` are all places of the vector, ascending, two numbers each."""
+    """A row for each vector and leaf."""
     for batch in batches:
         if not batch.num_rows:
             continue
         row, tree, leaf = _places(batch, forest, dim, spill)
-        ends = 2 * np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.stack([tree, leaf], 1).ravel()))
+        ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((tree << _SHIFT) | leaf))
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
             [pa.array(tree.astype(np.int32)), pa.array(leaf), *[batch.column(c).take(take) for c in ("label", "dim", "cid", "copies", "v")], lists.take(take)],
@@ -236,16 +237,12 @@ def _linked(table: pa.Table, threshold: float) -> pa.Table:
     """Links of one block pair of a leaf: each vector's number of links counted here, and its component's least id."""
     part, low, high = (table.column(c).to_numpy() for c in ("part", "low", "high"))
     cid, copies = table.column("cid").to_numpy(), table.column("copies").to_numpy()
-    here = np.array([table.column("tree")[0].as_py(), table.column("leaf")[0].as_py()])
+    here = (int(table.column("tree")[0].as_py()) << _SHIFT) | int(table.column("leaf")[0].as_py())
     x = unit(_matrix(table.column("v"), int(table.column("dim")[0].as_py())))
     lists = table.column("places").combine_chunks()
-    flat = lists.flatten().to_numpy().reshape(-1, 2)
-    size = np.diff(lists.offsets.to_numpy()) // 2
-    # Places as numbers in their order, the same for all rows of this task; -1 fills up.
-    known, code = np.unique(flat, axis=0, return_inverse=True)
-    here = int(np.flatnonzero((known == here).all(axis=1))[0])
+    size = np.diff(lists.offsets.to_numpy())
     places = np.full((len(cid), int(size.max())), -1, dtype=np.int64)
-    places[np.arange(places.shape[1])[None, :] < size[:, None]] = code.ravel()
+    places[np.arange(places.shape[1])[None, :] < size[:, None]] = lists.flatten().to_numpy()
     own = low[0] == high[0]
     left = np.arange(len(cid)) if own else np.flatnonzero(part == low[0])
     right = left if own else np.flatnonzero(part == high[0])
