@@ -189,6 +189,53 @@ def _grid(k1, b, k3, delta, kinds) -> str:
     return f"select {ident} as combo_id, * from {values('k1', k1)}, {values('b', b)}, {values('k3', k3)}, {values('delta', delta)}, {values('idf_type', kinds)}"
 
 
+def _whole_grid(base: str, s) -> str:
+    """Every combination: sums by base and query frequency, then the rank of each relevant document by counting who is
+    better, so that no list of all scores is sorted."""
+    list_of = lambda xs: f"[{', '.join(repr(x) for x in xs)}]"
+    return base + f""",
+par as ({_grid(s.k1, s.b, s.k3, s.delta, s.idf_type)}),
+matched as (
+  select qt.q_idx, p.doc_idx, p.tf, p.dl / c.avgdl as r, qt.qtf, ln((c.n - t.df + 0.5) / (t.df + 0.5)) as w_rsj, ln((c.n + 1.0) / (t.df + 1.0)) as w_smoothed
+  from qt join post p on p.term = qt.term join terms t on t.term = qt.term cross join corpus c where qt.q_idx in (select q_idx from rel)
+),
+based as (
+  select q_idx, doc_idx, qtf, k1, b, sum(w_rsj * tf * (k1 + 1) / (tf + k1 * (1 - b + b * r))) as a_rsj, sum(w_smoothed * tf * (k1 + 1) / (tf + k1 * (1 - b + b * r))) as a_smoothed, sum(w_rsj) as i_rsj, sum(w_smoothed) as i_smoothed
+  from matched cross join (select unnest({list_of(s.k1)}::double[]) as k1) cross join (select unnest({list_of(s.b)}::double[]) as b) group by all
+),
+summed as (
+  select q_idx, doc_idx, k1, b, k3, sum(a_rsj * s) as a_rsj, sum(a_smoothed * s) as a_smoothed, sum(i_rsj) as i_rsj, sum(i_smoothed) as i_smoothed
+  from (select based.*, k3, case when k3 > 0 and qtf > 1 then qtf * (k3 + 1) / (qtf + k3) else 1 end as s from based cross join (select unnest({list_of(s.k3)}::double[]) as k3)) group by all
+),
+wanted as (select s.*, relevance from summed s join rel r on r.q_idx = s.q_idx and r.doc_id = s.doc_idx),
+compared as (
+  select q_idx, doc_idx, relevance, k1, b, k3, idf_type, delta, other, round(own_a + delta * own_i, 9) as own, round(a + delta * i, 9) as score from (
+    select w.q_idx, w.doc_idx, w.relevance, w.k1, w.b, w.k3, 'rsj' as idf_type, d.doc_idx as other, w.a_rsj as own_a, w.i_rsj as own_i, d.a_rsj as a, d.i_rsj as i
+    from wanted w join summed d on d.q_idx = w.q_idx and d.k1 = w.k1 and d.b = w.b and d.k3 = w.k3
+    union all
+    select w.q_idx, w.doc_idx, w.relevance, w.k1, w.b, w.k3, 'smoothed', d.doc_idx, w.a_smoothed, w.i_smoothed, d.a_smoothed, d.i_smoothed
+    from wanted w join summed d on d.q_idx = w.q_idx and d.k1 = w.k1 and d.b = w.b and d.k3 = w.k3
+  ) cross join (select unnest({list_of(s.delta)}::double[]) as delta)
+),
+placed as (
+  select q_idx, doc_idx, relevance, k1, b, k3, idf_type, delta, 1 + count(*) filter (score <> 0 and (score > own or (score = own and other < doc_idx))) as rank
+  from compared where own <> 0 group by all
+),
+ideal as (
+  select q_idx, sum(case when r <= 10 then relevance / log2(r + 1) else 0 end) as idcg, count(*) as n_rel
+  from (select *, row_number() over (partition by qid order by relevance desc, doc) as r from rel) group by all
+),
+judged as (
+  select combo_id, i.q_idx, coalesce(1.0 / min(case when rank <= 10 then rank end), 0) as mrr, sum(case when rank <= 10 then relevance / log2(rank + 1) else 0 end) / any_value(idcg) as ndcg,
+    count(*) / any_value(n_rel) as recall
+  from placed p join par using (k1, b, k3, delta, idf_type) join ideal i using (q_idx) where rank <= 100 group by all
+),
+results as (
+  select combo_id, k1, b, k3, delta, idf_type, round(coalesce(sum(mrr), 0) / nq, 6) as "mrr@10", round(coalesce(sum(ndcg), 0) / nq, 6) as "ndcg@10", round(coalesce(sum(recall), 0) / nq, 6) as "recall@100", nq as num_queries
+  from par left join judged using (combo_id) cross join (select count(*) as nq from ideal) group by combo_id, k1, b, k3, delta, idf_type, nq
+)"""
+
+
 def statements() -> dict[str, str]:
     from lexispark.operators.grid import Space
     from lexispark.plans.catalog import SMALL_SAMPLE, SPACE
@@ -233,6 +280,7 @@ results as (
   from par left join judged using (combo_id) cross join (select count(*) as nq from ideal) group by combo_id, k1, b, k3, delta, idf_type, nq
 )"""
     s = Space()
+    whole = _whole_grid(base, s)
     return {
         "tokenize_documents": base + " select doc_idx as doc_id, array_to_string(tokens, ' ') as tokens from tok",
         "term_counts_first_pos": base + " select doc_idx, term, count(*) as n, min(pos)::int as first_pos from (select doc_idx, unnest(tokens) as term, unnest(range(0, len(tokens))) as pos from tok) group by all",
@@ -281,6 +329,8 @@ results as (
         + ", ".join(f'round(coalesce((a."{n}" - d."{n}") * 100 / nullif(d."{n}", 0), 0), 4) as "improve_vs_default_{n}"' for n in named) + " from d, a",
         "results_nested": base + _scored(_fixed()) + " select item_id::varchar as qid, count(rank) as n, coalesce(string_agg(rank || ':' || doc_idx, ',' order by rank), '') as results from benchmark left join (select * from hits where rank <= 10) h on h.q_idx = item_id group by item_id",
         "grid_combos": _grid(s.k1, s.b, s.k3, s.delta, s.idf_type),
+        "grid_search": whole + " select * from results",
+        "grid_search_best": whole + ' select * from results order by "ndcg@10" desc, combo_id limit 1',
         "grid_search_small": grid + " select * from results",
         "grid_best": grid + ' select * from results order by "ndcg@10" desc, combo_id limit 1',
         "stratified_subsample": base + sample + " select doc_idx, relevant from sample",
