@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from lexispark.config import Space
 from lexispark.operators import metrics
 from lexispark.operators.index import Index, query_terms
-from lexispark.operators.scoring import Params, hinted, idf, matches, ranked, scores, tf_part
+from lexispark.operators.scoring import BROADCAST_TERMS, Params, hinted, idf, matches, ranked, scores
 
 KINDS = ("rsj", "smoothed")
 #: Bases that one aggregation adds up (a column each; more of them leave generated code behind).
-BASES_AT_ONCE = 24
+BASES_AT_ONCE = 44
 #: More than the rounding of ``ranked``, so that equal scores are not told apart by a bound.
 TIES = 1e-8
 
@@ -44,24 +44,27 @@ def _sums(index: Index, query_term: DataFrame, space: Space, bases: list[tuple],
     Postings are read once and added up for all bases of the list, by document and query frequency; k3 comes later.
     ``only`` (q_idx, doc_idx) restricts the pairs.
     """
-    n = F.lit(index.doc_count)
+    n, relative = F.lit(index.doc_count), f"dl / {index.avgdl!r}D" if index.avgdl > 0 else "1D"  # without a mean length the length does not count
     rows = matches(index, query_term, "qtf", *[idf(n, F.col("df"), kind).alias(f"w_{kind}") for kind in KINDS])
     if only is not None:
         rows = rows.join(only, ["q_idx", "doc_idx"])
-    parts = [F.col(f"w_{kind}") * tf_part(F.col("tf"), F.col("dl"), F.lit(index.avgdl), k1, b) for k1, b, kind in bases]
-    weights = [F.sum(f"w_{kind}").alias(f"i_{kind}") for kind in KINDS]
-    by_qtf = rows.groupBy("q_idx", "doc_idx", "qtf").agg(*[F.sum(x).alias(f"a{j}") for j, x in enumerate(parts)], *weights)
+    rows = rows.withColumn("tf", F.col("tf").cast("double")).withColumn("_r", F.expr(relative))
+    # One SQL text for a column: a column built call by call costs more than its query at this width.
+    parts = [F.expr(f"sum(w_{kind} * (tf * {k1 + 1.0!r}D / (tf + {k1!r}D * ({1.0 - b!r}D + {b!r}D * _r)))) as a{j}") for j, (k1, b, kind) in enumerate(bases)]
+    weights = [F.expr(f"sum(i_{kind}) as i_{kind}") for kind in KINDS]
+    by_qtf = rows.groupBy("q_idx", "doc_idx", "qtf").agg(*parts, *[F.expr(f"sum(w_{kind}) as i_{kind}") for kind in KINDS])
     q, k3 = F.col("qtf").cast("double"), F.col("k3")
     each = by_qtf.withColumn("k3", F.explode(F.array(*[F.lit(float(x)) for x in space.k3])))
-    saturated = F.when((q > 1) & (k3 > 0), q * (k3 + 1) / (q + k3)).otherwise(1.0)
-    return each.groupBy("q_idx", "doc_idx", "k3").agg(*[F.sum(F.col(f"a{j}") * saturated).alias(f"a{j}") for j in range(len(bases))], *[F.sum(f"i_{kind}").alias(f"i_{kind}") for kind in KINDS])
+    each = each.withColumn("_s", F.when((q > 1) & (k3 > 0), q * (k3 + 1) / (q + k3)).otherwise(1.0))
+    return each.groupBy("q_idx", "doc_idx", "k3").agg(*[F.expr(f"sum(a{j} * _s) as a{j}") for j in range(len(bases))], *weights)
 
 
 def _spread(sums: DataFrame, space: Space, bases: list[tuple], keep=None) -> DataFrame:
-    """(combo_id, q_idx, doc_idx, score) of the rows of ``_sums``; ``keep`` says which bases of a row stay."""
-    one = [F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(kind).alias("idf_type"), F.col(f"a{j}").alias("a"), F.col(f"i_{kind}").alias("i")) for j, (k1, b, kind) in enumerate(bases)]
-    array = F.array(*one) if keep is None else F.filter(F.array(*[F.when(keep(j, kind), x) for j, ((_, _, kind), x) in enumerate(zip(bases, one))]), lambda x: x.isNotNull())
-    rows = sums.select("q_idx", "doc_idx", "k3", F.inline(array))
+    """(combo_id, q_idx, doc_idx, score) of the rows of ``_sums``; ``keep`` says (in SQL) which bases of a row stay."""
+    one = [f"named_struct('k1', {k1!r}D, 'b', {b!r}D, 'idf_type', '{kind}', 'a', a{j}, 'i', i_{kind})" for j, (k1, b, kind) in enumerate(bases)]
+    if keep is not None:
+        one = [f"if({keep(j, kind)}, {x}, null)" for j, ((_, _, kind), x) in enumerate(zip(bases, one))]
+    rows = sums.select("q_idx", "doc_idx", "k3", F.expr(f"inline(filter(array({', '.join(one)}), x -> x is not null))"))
     each = rows.join(F.broadcast(combos(sums.sparkSession, space)), ["k1", "b", "k3", "idf_type"])
     return each.select("combo_id", "q_idx", "doc_idx", (F.col("a") + F.col("delta") * F.col("i")).alias("score")).where("score != 0")
 
@@ -83,18 +86,16 @@ def top_scores(index: Index, query_term: DataFrame, space: Space, top_k: int) ->
     mid = lambda x: sorted(x)[len(x) // 2]
     first = ranked(scores(index, query_term, Params(mid(space.k1), mid(space.b), mid(space.k3), mid(space.delta), space.idf_type[0])), top_k)
     only = hinted(first.select("q_idx", "doc_idx").persist())  # top_k rows of each judged query
+    # A bar is a row for each query and k3: no more than the query terms for each k3, which are counted once.
+    few = F.broadcast if query_term.limit(BROADCAST_TERMS + 1).count() * len(space.k3) <= BROADCAST_TERMS else lambda df: df
     most = float(max(space.delta))
     out = []
     for bases in _chunks(space):
-        ends = lambda j, kind: (F.col(f"a{j}"), F.col(f"a{j}") + most * F.col(f"i_{kind}"))
-        least = [F.min(x).alias(f"{end}{j}") for j, (_, _, kind) in enumerate(bases) for end, x in zip(("low", "high"), ends(j, kind))]
+        high = lambda j, kind: f"a{j} + {most!r}D * i_{kind}"  # noqa: B023, E731
+        least = [F.expr(x) for j, (_, _, kind) in enumerate(bases) for x in (f"min(a{j}) as low{j}", f"min({high(j, kind)}) as high{j}")]
         bar = _sums(index, query_term, space, bases, only).groupBy("q_idx", "k3").agg(F.count("*").alias("_n"), *least).where(F.col("_n") >= top_k).drop("_n")
-
-        def keep(j, kind, ends=ends):
-            below = [(F.col(f"{end}{j}") > 0) & (x < F.col(f"{end}{j}") - TIES) for end, x in zip(("low", "high"), ends(j, kind))]
-            return ~F.coalesce(below[0] & below[1], F.lit(False))
-
-        pairs = _sums(index, query_term, space, bases).join(hinted(bar), ["q_idx", "k3"], "left")
+        keep = lambda j, kind, high=high: f"not coalesce(low{j} > 0 and a{j} < low{j} - {TIES!r}D and high{j} > 0 and {high(j, kind)} < high{j} - {TIES!r}D, false)"
+        pairs = _sums(index, query_term, space, bases).join(few(bar), ["q_idx", "k3"], "left")
         out.append(_spread(pairs, space, bases, keep))
     return reduce(DataFrame.unionByName, out)
 
