@@ -39,6 +39,8 @@ FACTORS = 8
 MIN_TEXTS, MAX_TERMS = 3, 1 << 14
 #: Most frequent terms of the sample whose pairs are tested (every pair of them).
 PAIR_TERMS = 4096
+#: Terms that are columns of one dense block while pairs are tested: bounds the driver's memory.
+BLOCK = 256
 #: Weight of a piece of a text of label 0, as an example of its own, against the text's.
 PIECE_COST = 1.0
 #: Least score statistic of a single term and of a pair (some eight million pairs are tested).
@@ -106,16 +108,16 @@ class _Sample:
         rng, clean, base = np.random.default_rng(seed), np.flatnonzero((self.y == 0) & (np.diff(self.start) > 0)), self.at.max(initial=0) + 1
         size = np.diff(self.start)[clean]
         row = np.repeat(np.arange(len(clean)), np.minimum(size, rng.integers(1, 4, len(clean))))
-        piece = self.at[self.start[clean[row]] + (rng.random(len(row)) * size[row]).astype(np.int64)]
+        piece = self.at[self.start[clean[row]] + (rng.random(len(row)) * size[row]).astype(np.int64)].astype(np.int64)
         pair = np.unique(row * base + piece)  # a term once
         ends = np.searchsorted(pair // base, np.arange(1, len(clean) + 1))
         return _Sample(np.append(self.y, np.zeros(len(clean))), np.append(self.cost, PIECE_COST * self.cost[clean]), np.append(self.at, pair % base), np.append(self.start, self.start[-1] + ends))
 
     def only(self, keep: np.ndarray, terms: int) -> _Sample:
         """The same texts with the terms ``keep`` alone, numbered anew."""
-        new = np.full(terms, -1)
+        new = np.full(terms, -1, np.int32)
         new[keep] = np.arange(len(keep))
-        row, at = np.repeat(np.arange(len(self.y)), np.diff(self.start)), new[self.at]
+        row, at = np.repeat(np.arange(len(self.y), dtype=np.int32), np.diff(self.start)), new[self.at]
         return _Sample(self.y, self.cost, at[at >= 0], np.searchsorted(row[at >= 0], np.arange(len(self.y) + 1)))
 
 
@@ -152,24 +154,30 @@ def _descend(s: _Sample, terms: int, factors: int, steps: int, seed: int, low: f
 def _pair_gains(s: _Sample, terms: np.ndarray, all_terms: int, p: np.ndarray) -> np.ndarray:
     """For each of ``terms`` the largest score statistic of its pairs, given each text's probability so far."""
     part, m, n = s.only(terms, all_terms), len(terms), len(s.y)
-    x = np.zeros((n, m), dtype=bool)
-    x[np.repeat(np.arange(n), np.diff(part.start)), part.at] = True
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(part.start))
+
+    def block(i: int) -> np.ndarray:
+        on = (part.at >= i) & (part.at < i + BLOCK)
+        x = np.zeros((n, min(BLOCK, m - i)), np.float32)
+        x[row[on], part.at[on] - i] = 1
+        return x
+
     one, zero = s.cost[s.y > 0][0], s.cost[s.y == 0][0]
     share = p * zero / (p * zero + (1 - p) * one)  # the probability of label 1 without the classes' weights
     info = np.maximum(share * (1 - share), 1e-3) * (one * (1 - p) + zero * p) ** 2  # the variance of an error
     err, info = (s.cost * (s.y - p)).astype(np.float32), info.astype(np.float32)
     best = np.zeros(m)
-    for i in range(0, m, 512):
-        left = x[:, i : i + 512].astype(np.float32)
-        for j in range(i, m, 512):
-            right = x[:, j : j + 512].astype(np.float32)
+    for i in range(0, m, BLOCK):
+        left = block(i)
+        for j in range(i, m, BLOCK):
+            right = left if i == j else block(j)
             both = left.T @ right
-            z = np.abs((left * err[:, None]).T @ right) / np.sqrt((left * info[:, None]).T @ right + 1e-6)
+            z = np.abs(left.T @ (right * err[:, None])) / np.sqrt(left.T @ (right * info[:, None]) + 1e-6)
             z[both < MIN_TEXTS] = 0
             if i == j:
                 np.fill_diagonal(z, 0)
-            best[i : i + 512] = np.maximum(best[i : i + 512], z.max(axis=1))
-            best[j : j + 512] = np.maximum(best[j : j + 512], z.max(axis=0))
+            best[i : i + BLOCK] = np.maximum(best[i : i + BLOCK], z.max(axis=1))
+            best[j : j + BLOCK] = np.maximum(best[j : j + BLOCK], z.max(axis=0))
     return best
 
 
@@ -185,6 +193,7 @@ def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, prior: float, factors:
     if not n or pos in (0, n):
         return none
     ids, at = np.unique(term, return_inverse=True)
+    at, row = at.astype(np.int32), row.astype(np.int32)
     order = np.argsort(row, kind="stable")
     cost = np.where(y > 0, 0.5 * n / pos, 0.5 * n / (n - pos))
     s = _Sample(y, cost, at[order], np.searchsorted(row[order], np.arange(n + 1)))
@@ -210,7 +219,7 @@ def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, prior: float, factors:
         return none
     keep = np.sort(keep[np.argsort(-gain[keep], kind="stable")[:MAX_TERMS]])
     b, w = _descend(s.only(keep, len(ids)).with_pieces(seed), len(keep), factors, steps, seed, low)
-    return FactorizationMachine(ids[keep], b, w[:, 0].copy(), w[:, 1:].copy(), b)
+    return FactorizationMachine(ids[keep].astype(np.int64), b, w[:, 0].copy(), w[:, 1:].copy(), b)
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> FactorizationMachine:
@@ -236,7 +245,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows_per_clas
     terms = out.column("terms").combine_chunks()
     y = out.column("y").to_numpy().astype(np.float64)
     size = np.diff(terms.offsets.to_numpy())
-    return fit(y, np.repeat(np.arange(len(y)), size), terms.flatten().to_numpy().astype(np.int64), n[1] / (n[0] + n[1]))
+    del out, joined
+    return fit(y, np.repeat(np.arange(len(y), dtype=np.int32), size), terms.flatten().to_numpy(), n[1] / (n[0] + n[1]))
 
 
 def _term_sets(batches):
