@@ -31,6 +31,8 @@ BITS, LONGEST = 12, 4
 #: Labelled rows that training may read for each language (those with the lowest hashes of doc_id), and for all of them:
 #: a bound on the fitted sample, which many languages share.
 ROWS_PER_LANGUAGE, MOST_ROWS = 800, 16_000
+#: Tasks that one language's candidates for the sample are dealt to.
+SHARES = 64
 #: A text is ambiguous if the second codeword's probability is at least this share of the first's.
 CLOSE = 0.5
 
@@ -192,8 +194,10 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most_rows
     if not languages:
         return OutputCodes([], np.zeros((0, 1)), np.zeros((_DIM, 1), np.float32), np.zeros(1, np.float32), np.ones(1), 1.0)
     each = max(1, min(rows_per_language, most_rows // languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).groupBy("doc_id").agg(F.min("lang").alias("y"))
+    least = lambda df, *keys: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_n") <= each).drop("_n")
+    # A language's candidates (``each`` of every task) meet in SHARES tasks first, and what these keep in one.
+    ids = least(least(known.withColumn("_share", F.spark_partition_id() % SHARES), "lang", "_share"), "lang")
+    ids = ids.groupBy("doc_id").agg(F.min("lang").alias("y"))
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most most_rows ids, or one for each language
     once = picked.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = once.select("doc_id", "y", "text").mapInArrow(_sampled, "doc_id long, y string, x binary").toArrow().sort_by("doc_id")
