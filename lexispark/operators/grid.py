@@ -1,8 +1,10 @@
 """Grid search over parameters, factorised.
 
 A score is ``sum_c w(c, k3) A_c(k1, b, idf) + delta I(idf)`` over the classes c of query frequency. So postings are
-aggregated for the (k1, b, idf) bases only, as columns of one aggregation, and k3 and delta are applied to these sums.
-Before they are spread over the combinations, a bound rules out what cannot be among the best (``top_scores``).
+aggregated for the (k1, b, idf) bases only, a row for each k1 and a column for each (b, idf), and k3 and delta come later.
+Metrics ask where the relevant documents rank, so a document that scores below all of them does not matter. Bounds over
+ranges of parameters leave few pairs (``contenders``); only these are added up for the bases, and they are bounded
+again, by exact scores, before they are spread over the combinations (``top_scores``).
 """
 
 from __future__ import annotations
@@ -16,13 +18,18 @@ from pyspark.sql import functions as F
 from lexispark.config import Space
 from lexispark.operators import metrics
 from lexispark.operators.index import Index, query_terms
-from lexispark.operators.scoring import BROADCAST_TERMS, Params, hinted, idf, matches, ranked, scores
+from lexispark.operators.scoring import BROADCAST_TERMS, Params, hinted, idf, matches, ranked, scores, weighted
+from lexispark.staging import Stage
 
 KINDS = ("rsj", "smoothed")
-#: Bases that one aggregation adds up (a column each; more of them leave generated code behind).
+#: (b, idf) columns that one aggregation adds up (more of them leave generated code behind).
 BASES_AT_ONCE = 44
 #: More than the rounding of ``ranked``, so that equal scores are not told apart by a bound.
 TIES = 1e-8
+#: Ranges of k1 and of b that ``contenders`` bounds a score over: more of them are tighter, and more columns.
+RANGES = (2, 2)
+#: With more than so many times top_k contenders a query, the best documents of each query bound the others too.
+CROWDED = 2
 
 
 COMBO = "combo_id int, k1 double, b double, k3 double, delta double, idf_type string"
@@ -33,89 +40,171 @@ def combos(spark, space: Space) -> DataFrame:
 
 
 def _chunks(space: Space) -> list[list[tuple]]:
-    """The (k1, b, idf_type) bases, in lists that one aggregation takes as its columns."""
-    bases = [(float(k), float(b), i) for k, b, i in product(space.k1, space.b, space.idf_type)]
+    """The (b, idf_type) bases, in lists that one aggregation takes as its columns."""
+    bases = [(float(b), i) for b, i in product(space.b, space.idf_type)]
     return [bases[i : i + BASES_AT_ONCE] for i in range(0, len(bases), BASES_AT_ONCE)]
 
 
+def _relative(index: Index) -> str:
+    """A document's length by the mean one, in SQL; without a mean length the length does not count."""
+    return f"dl / {index.avgdl!r}D" if index.avgdl > 0 else "1D"
+
+
 def _sums(index: Index, query_term: DataFrame, space: Space, bases: list[tuple], only: DataFrame | None = None) -> DataFrame:
-    """(q_idx, doc_idx, k3, a0, a1, ..., i_rsj, i_smoothed): each base's sum for each k3, and the sums of the weights.
+    """(q_idx, doc_idx, k1, k3, a0, a1, ..., i_rsj, i_smoothed): each base's sum for each k1 and k3, and the sums of the weights.
 
-    Postings are read once and added up for all bases of the list, by document and query frequency; k3 comes later.
+    Postings are read once and added up for all bases of the list, by document, k1 and query frequency; k3 comes later.
     ``only`` (q_idx, doc_idx) restricts the pairs.
     """
-    n, relative = F.lit(index.doc_count), f"dl / {index.avgdl!r}D" if index.avgdl > 0 else "1D"  # without a mean length the length does not count
-    rows = matches(index, query_term, "qtf", *[idf(n, F.col("df"), kind).alias(f"w_{kind}") for kind in KINDS])
-    if only is not None:
-        rows = rows.join(only, ["q_idx", "doc_idx"])
-    rows = rows.withColumn("tf", F.col("tf").cast("double")).withColumn("_r", F.expr(relative))
-    # One SQL text for a column: a column built call by call costs more than its query at this width.
-    parts = [F.expr(f"sum(w_{kind} * (tf * {k1 + 1.0!r}D / (tf + {k1!r}D * ({1.0 - b!r}D + {b!r}D * _r)))) as a{j}") for j, (k1, b, kind) in enumerate(bases)]
+    n, bs = F.lit(index.doc_count), sorted({b for b, _ in bases})
+    rows = matches(index, query_term, "qtf", *[idf(n, F.col("df"), kind).alias(f"w_{kind}") for kind in KINDS], among=only)
+    rows = rows.select("q_idx", "doc_idx", "qtf", *[f"w_{kind}" for kind in KINDS], F.col("tf").cast("double").alias("tf"), F.expr(_relative(index)).alias("_r"), F.explode(_doubles(space.k1)).alias("k1"))
+    if only is not None:  # few postings, so they are dealt by what is ranked together, and the many sums and scores stay there
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q_idx", "k1")
+    parts = [f"tf * (k1 + 1D) / (tf + k1 * ({1.0 - b!r}D + {b!r}D * _r)) as _t{n}" for n, b in enumerate(bs)]
+    rows = rows.selectExpr("q_idx", "doc_idx", "k1", "qtf", *[f"w_{kind}" for kind in KINDS], *parts)
     weights = [F.expr(f"sum(i_{kind}) as i_{kind}") for kind in KINDS]
-    by_qtf = rows.groupBy("q_idx", "doc_idx", "qtf").agg(*parts, *[F.expr(f"sum(w_{kind}) as i_{kind}") for kind in KINDS])
+    by_qtf = rows.groupBy("q_idx", "doc_idx", "k1", "qtf").agg(*[F.expr(f"sum(w_{kind} * _t{bs.index(b)}) as a{j}") for j, (b, kind) in enumerate(bases)], *[F.expr(f"sum(w_{kind}) as i_{kind}") for kind in KINDS])
     q, k3 = F.col("qtf").cast("double"), F.col("k3")
-    each = by_qtf.withColumn("k3", F.explode(F.array(*[F.lit(float(x)) for x in space.k3])))
+    each = by_qtf.withColumn("k3", F.explode(_doubles(space.k3)))
     each = each.withColumn("_s", F.when((q > 1) & (k3 > 0), q * (k3 + 1) / (q + k3)).otherwise(1.0))
-    return each.groupBy("q_idx", "doc_idx", "k3").agg(*[F.expr(f"sum(a{j} * _s) as a{j}") for j in range(len(bases))], *weights)
+    return each.groupBy("q_idx", "doc_idx", "k1", "k3").agg(*[F.expr(f"sum(a{j} * _s) as a{j}") for j in range(len(bases))], *weights)
+
+
+def _doubles(values):
+    return F.array(*[F.lit(float(x)) for x in values])
 
 
 def _spread(sums: DataFrame, space: Space, bases: list[tuple], keep=None) -> DataFrame:
-    """(combo_id, q_idx, doc_idx, score) of the rows of ``_sums``; ``keep`` says (in SQL) which bases of a row stay."""
-    one = [f"named_struct('k1', {k1!r}D, 'b', {b!r}D, 'idf_type', '{kind}', 'a', a{j}, 'i', i_{kind})" for j, (k1, b, kind) in enumerate(bases)]
+    """(combo_id, q_idx, k1, doc_idx, score) of the rows of ``_sums``; ``keep`` says (in SQL) which bases of a row stay."""
+    one = [f"named_struct('b', {b!r}D, 'idf_type', '{kind}', 'a', a{j}, 'i', i_{kind})" for j, (b, kind) in enumerate(bases)]
     if keep is not None:
-        one = [f"if({keep(j, kind)}, {x}, null)" for j, ((_, _, kind), x) in enumerate(zip(bases, one))]
-    rows = sums.select("q_idx", "doc_idx", "k3", F.expr(f"inline(filter(array({', '.join(one)}), x -> x is not null))"))
+        one = [f"if({keep(j, kind)}, {x}, null)" for j, ((_, kind), x) in enumerate(zip(bases, one))]
+    rows = sums.select("q_idx", "doc_idx", "k1", "k3", F.expr(f"inline(filter(array({', '.join(one)}), x -> x is not null))"))
     each = rows.join(F.broadcast(combos(sums.sparkSession, space)), ["k1", "b", "k3", "idf_type"])
-    return each.select("combo_id", "q_idx", "doc_idx", (F.col("a") + F.col("delta") * F.col("i")).alias("score")).where("score != 0")
+    return each.select("combo_id", "q_idx", "k1", "doc_idx", (F.col("a") + F.col("delta") * F.col("i")).alias("score")).where("score != 0")
 
 
 def combo_scores(index: Index, query_term: DataFrame, space: Space) -> DataFrame:
-    """(combo_id, q_idx, doc_idx, score) of every combination."""
+    """(combo_id, q_idx, k1, doc_idx, score) of every combination."""
     return reduce(DataFrame.unionByName, [_spread(_sums(index, query_term, space, x), space, x) for x in _chunks(space)])
 
 
-def top_scores(index: Index, query_term: DataFrame, space: Space, top_k: int) -> DataFrame:
+def _parts(values, most: int) -> list[list[float]]:
+    """At most ``most`` lists of neighbours."""
+    v = sorted({float(x) for x in values})
+    step = -(-len(v) // most)
+    return [v[i : i + step] for i in range(0, len(v), step)]
+
+
+def _bar(sums: DataFrame, space: Space, bases: list[tuple], name: str) -> DataFrame:
+    """(q_idx, k1, k3, _n, low and high of each base): the least scores of a query's rows of ``_sums``, at both ends of delta."""
+    least = [F.expr(f"min({_at(j, kind, d)}) as {name}_{end}{j}") for j, (_, kind) in enumerate(bases) for end, d in zip(("low", "high"), _ends(space))]
+    return sums.groupBy("q_idx", "k1", "k3").agg(F.count("*").alias("_n"), *least)
+
+
+def _ends(space: Space) -> tuple[float, float]:
+    return float(min(space.delta)), float(max(space.delta))
+
+
+def _at(j: int, kind: str, delta: float) -> str:
+    return f"a{j} + {delta!r}D * i_{kind}"
+
+
+def contenders(index: Index, query_term: DataFrame, space: Space, bars: list[DataFrame], stage: Stage) -> DataFrame:
+    """(q_idx, doc_idx): the pairs that a bound does not prove to be below ``bars`` in every combination, and few others.
+
+    ``bars`` has a ``_bar`` "r" for each list of ``_chunks``; a query without one has no contender. For a range of k1 and
+    of b, the largest saturated frequency of a posting is at the least length norm and at one end of k1, and the smallest
+    one at the largest norm (it is monotone in k1 and in the norm, the norm in b). So a document's sum over a range is at
+    most the sum of its postings' largest parts (smallest ones for negative weights), and k3 is bounded by its ends.
+    """
+    cells = [(ks, bs, kind) for ks in _parts(space.k1, RANGES[0]) for bs in _parts(space.b, RANGES[1]) for kind in space.idf_type]
+    parts = []
+    for bases, bar in zip(_chunks(space), bars):
+        low = []
+        for c, (ks, bs, kind) in enumerate(cells):
+            own = [j for j, (b, i) in enumerate(bases) if b in bs and i == kind]
+            low += [f"if(k1 between {ks[0]!r}D and {ks[-1]!r}D, array_min(array({', '.join(f'r_{end}{j}' for j in own) or 'cast(null as double)'})), null) as {end}{c}" for end in ("low", "high")]
+        parts.append(bar.selectExpr("q_idx", *low))
+    names = [f"{end}{c}" for c in range(len(cells)) for end in ("low", "high")]
+    least = reduce(DataFrame.unionByName, parts).groupBy("q_idx").agg(*[F.min(x).alias(x) for x in names])
+    n, q = F.lit(index.doc_count), F.col("qtf").cast("double")
+    repeats = [F.when((q > 1) & F.lit(k3 > 0), q * (k3 + 1) / (q + k3)).otherwise(1.0) for k3 in (float(min(space.k3)), float(max(space.k3)))]
+    weight = {kind: idf(n, F.col("df"), kind) for kind in KINDS}
+    columns = [w.alias(f"w_{kind}") for kind, w in weight.items()] + [(w * F.when(w < 0, repeats[0]).otherwise(repeats[1])).alias(f"u_{kind}") for kind, w in weight.items()]
+    rows = matches(index, query_term, *columns).withColumn("tf", F.col("tf").cast("double")).withColumn("_r", F.expr(_relative(index)))
+
+    def bound(ks, bs, kind):
+        norms = ", ".join(f"{1.0 - b!r}D + {b!r}D * _r" for b in (bs[0], bs[-1]))
+        ends = lambda pick: ", ".join(f"tf * {k + 1.0!r}D / (tf + {k!r}D * {pick}({norms}))" for k in (ks[0], ks[-1]))
+        return f"u_{kind} * if(u_{kind} >= 0, greatest({ends('least')}), least({ends('greatest')}))"
+
+    sums = rows.groupBy("q_idx", "doc_idx").agg(*[F.expr(f"sum({bound(*x)}) as a{c}") for c, x in enumerate(cells)], *[F.expr(f"sum(w_{kind}) as i_{kind}") for kind in KINDS])
+    below = [" and ".join(f"{_at(c, kind, d)} < {end}{c} - {TIES!r}D" for end, d in zip(("low", "high"), _ends(space))) for c, (_, _, kind) in enumerate(cells)]
+    return sums.join(hinted(stage.table(least)), "q_idx").where(f"not ({' and '.join(below)})").select("q_idx", "doc_idx")
+
+
+def top_scores(index: Index, query_term: DataFrame, space: Space, top_k: int, wanted: DataFrame | None = None, stage: Stage | None = None) -> DataFrame:
     """The rows of ``combo_scores`` that can be among the best ``top_k`` of their combination and query: all that are,
-    and few others.
+    and few others. With ``wanted`` (q_idx, doc_idx) only ranks of these count: rows below all of their query's go too.
 
-    The best ``top_k`` documents of one combination in the middle are a yardstick: whoever scores below all of
-    them in another combination is not among its best. A score is linear in delta, and the least score of the
-    yardstick is concave in it, so a base is ruled out if both ends of delta are below. Scores of 0 are no hits, so
-    only a positive least score rules out anything.
+    Any ``top_k`` documents are a yardstick: whoever scores below all of them in a combination is not among its best; the
+    best ones of a combination in the middle are taken. A score is linear in delta, and the least score of a yardstick
+    (or of the wanted documents) is concave in it, so a base is ruled out if both ends of delta are below. Scores of 0 are
+    no hits, so only a positive least score of a yardstick rules out anything; a wanted document of score 0 needs no rank.
+    Each step is staged, so that no plan holds those before it.
     """
-    mid = lambda x: sorted(x)[len(x) // 2]
-    first = ranked(scores(index, query_term, Params(mid(space.k1), mid(space.b), mid(space.k3), mid(space.delta), space.idf_type[0])), top_k)
-    only = hinted(first.select("q_idx", "doc_idx").persist())  # top_k rows of each judged query
-    # A bar is a row for each query and k3: no more than the query terms for each k3, which are counted once.
-    few = F.broadcast if query_term.limit(BROADCAST_TERMS + 1).count() * len(space.k3) <= BROADCAST_TERMS else lambda df: df
-    most = float(max(space.delta))
+    chunks, among, crowded = _chunks(space), None, True
+    stage = stage or Stage(query_term.sparkSession, "grid")
+    # A bar is a row for each query, k1 and k3: no more than the query terms for each of them, which are counted once.
+    few = F.broadcast if query_term.limit(BROADCAST_TERMS + 1).count() * len(space.k1) * len(space.k3) <= BROADCAST_TERMS else lambda df: df
+    if wanted is not None:
+        asked = stage.table(wanted.select("q_idx", "doc_idx").distinct())
+        bars = [stage.table(_bar(_sums(index, query_term, space, x, asked), space, x, "r").drop("_n")) for x in chunks]
+        if min(space.k1) >= 0 and min(space.b) >= 0 and max(space.b) <= 1 and min(space.k3) >= 0:  # else the bounds do not hold
+            among = stage.table(contenders(index, query_term, space, bars, stage))
+            crowded = among.count() > CROWDED * top_k * asked.select("q_idx").distinct().count()
+    if crowded:
+        mid = lambda x: sorted(x)[len(x) // 2]
+        first = ranked(scores(index, query_term, Params(mid(space.k1), mid(space.b), mid(space.k3), mid(space.delta), space.idf_type[0]), among), top_k)
+        only = stage.table(first.select("q_idx", "doc_idx"))  # top_k rows of each judged query
     out = []
-    for bases in _chunks(space):
-        high = lambda j, kind: f"a{j} + {most!r}D * i_{kind}"  # noqa: B023, E731
-        least = [F.expr(x) for j, (_, _, kind) in enumerate(bases) for x in (f"min(a{j}) as low{j}", f"min({high(j, kind)}) as high{j}")]
-        bar = _sums(index, query_term, space, bases, only).groupBy("q_idx", "k3").agg(F.count("*").alias("_n"), *least).where(F.col("_n") >= top_k).drop("_n")
-        keep = lambda j, kind, high=high: f"not coalesce(low{j} > 0 and a{j} < low{j} - {TIES!r}D and high{j} > 0 and {high(j, kind)} < high{j} - {TIES!r}D, false)"
-        pairs = _sums(index, query_term, space, bases).join(few(bar), ["q_idx", "k3"], "left")
+    for n, bases in enumerate(chunks):
+        pairs, tests = _sums(index, query_term, space, bases, among), []
+        test = lambda j, kind, name, more="": " and ".join(f"{_at(j, kind, d)} < {name}_{end}{j} - {TIES!r}D{more.format(f'{name}_{end}{j}')}" for end, d in zip(("low", "high"), _ends(space)))
+        if wanted is not None:
+            pairs = pairs.join(few(bars[n]), ["q_idx", "k1", "k3"])
+            tests.append(lambda j, kind, test=test: test(j, kind, "r"))
+        if crowded:
+            yard = _bar(_sums(index, query_term, space, bases, only), space, bases, "y").where(F.col("_n") >= top_k).drop("_n")
+            pairs = pairs.join(few(yard), ["q_idx", "k1", "k3"], "left")
+            tests.append(lambda j, kind, test=test: f"coalesce({test(j, kind, 'y', ' and {} > 0')}, false)")
+        keep = lambda j, kind, tests=tests: " and ".join(f"not ({x(j, kind)})" for x in tests)
         out.append(_spread(pairs, space, bases, keep))
     return reduce(DataFrame.unionByName, out)
 
 
 def grid_search(index: Index, queries: DataFrame, qrels: DataFrame, space: Space = Space(), top_k: int = 100, limit_queries: int | None = None) -> DataFrame:
     """Each combination with its metrics; only judged queries are scored. ``queries`` has q_idx, qid, query."""
+    stage = Stage(queries.sparkSession, "grid")
     if limit_queries is not None:
         queries = queries.where(F.col("q_idx") < limit_queries)
     rel = metrics.relevance(qrels).join(queries.select("q_idx", "qid"), "qid")
     ideal = metrics.ideal(rel.select("qid", "doc_id", "relevance")).join(queries.select("q_idx", "qid"), "qid")
     judged = queries.join(hinted(rel.select("qid").distinct()), "qid", "left_semi")
-    wanted = index.ids(rel.select("q_idx", "doc_id", "relevance")).drop("doc_id")
-    top = ranked(top_scores(index, query_terms(judged), space, top_k), top_k, ("combo_id", "q_idx"))
-    seen = top.join(hinted(wanted), ["q_idx", "doc_idx"]).groupBy("combo_id", "q_idx").agg(*metrics.gains())
-    each = seen.join(hinted(ideal.select("q_idx", "idcg", "n_rel")), "q_idx").select("combo_id", *metrics.shares())
+    wanted = stage.table(index.ids(rel.select("q_idx", "doc_id", "relevance")).drop("doc_id"))
+    ideal = stage.table(ideal.select("q_idx", "idcg", "n_rel"))
+    terms = stage.table(weighted(index, query_terms(judged)).select("q_idx", "term", "qtf", "df"))
+    top = ranked(top_scores(index, terms, space, top_k, wanted, stage), top_k, ("q_idx", "k1", "combo_id"))
+    seen = top.join(hinted(wanted), ["q_idx", "doc_idx"]).groupBy("q_idx", "k1", "combo_id").agg(*metrics.gains())
+    each = seen.join(hinted(ideal), "q_idx").select("combo_id", *metrics.shares())
     n = judged.count()
-    sums = each.groupBy("combo_id").agg(*[F.sum(c).alias(c) for c in ("mrr", "ndcg", "recall")])
+    sums = stage.table(each.groupBy("combo_id").agg(*[F.sum(c).alias(c) for c in ("mrr", "ndcg", "recall")]))
     out = combos(queries.sparkSession, space).join(sums, "combo_id", "left")
     share = lambda c: (F.coalesce(F.col(c), F.lit(0.0)) / max(1, n))
-    return out.select("combo_id", "k1", "b", "k3", "delta", "idf_type", share("mrr").alias("mrr@10"), share("ndcg").alias("ndcg@10"), share("recall").alias("recall@100"), F.lit(n).cast("long").alias("num_queries"))
+    out = out.select("combo_id", "k1", "b", "k3", "delta", "idf_type", share("mrr").alias("mrr@10"), share("ndcg").alias("ndcg@10"), share("recall").alias("recall@100"), F.lit(n).cast("long").alias("num_queries"))
+    return stage.result(out, sums)
 
 
 def best(results: DataFrame, metric: str = "ndcg") -> DataFrame:

@@ -48,22 +48,29 @@ def hinted(side: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
 
 
 def weighted(index: Index, query_term: DataFrame) -> DataFrame:
-    """``query_term`` (q_idx, term, qtf, ...) with the document frequency ``df``; unknown terms fall away."""
+    """``query_term`` (q_idx, term, qtf, ...) with the document frequency ``df``, if it has none yet; unknown terms fall away."""
+    if "df" in query_term.columns:
+        return query_term
     return query_term.join(index.terms.select("term", "df"), "term")  # no more rows than the query terms
 
 
-def matches(index: Index, query_term: DataFrame, *columns: str | Column) -> DataFrame:
+def matches(index: Index, query_term: DataFrame, *columns: str | Column, among: DataFrame | None = None) -> DataFrame:
     """(q_idx, doc_idx, tf, dl, columns): postings of the queries' terms; ``columns`` are made from a query term's row
-    (q_idx, term, qtf, df) before it meets the postings."""
+    (q_idx, term, qtf, df) before it meets the postings. ``among`` (q_idx, doc_idx; kept) restricts the pairs: it meets
+    the documents by doc_idx alone, so that no posting is shuffled."""
     wanted = weighted(index, hinted(query_term)).select("q_idx", "term", *columns)
     wanted = F.broadcast(wanted) if query_term.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
-    return index.postings.join(wanted, "term").drop("term")
+    if among is None:
+        return index.postings.join(wanted, "term").drop("term")
+    asked = among.groupBy("doc_idx").agg(F.collect_set("q_idx").alias("_asked"))
+    rows = index.postings_of(F.broadcast(asked) if among.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else asked).join(wanted, "term")
+    return rows.where(F.array_contains("_asked", F.col("q_idx"))).drop("term", "_asked")
 
 
-def scores(index: Index, query_term: DataFrame, params: Params) -> DataFrame:
-    """(q_idx, doc_idx, score), scores of exactly 0 dropped and negative ones kept."""
+def scores(index: Index, query_term: DataFrame, params: Params, among: DataFrame | None = None) -> DataFrame:
+    """(q_idx, doc_idx, score), scores of exactly 0 dropped and negative ones kept; ``among`` restricts the pairs."""
     weight = idf(F.lit(index.doc_count), F.col("df"), params.idf_type)
-    rows = matches(index, query_term, (weight * qtf_part(F.col("qtf"), params.k3)).alias("w"), (weight * float(params.delta)).alias("more"))
+    rows = matches(index, query_term, (weight * qtf_part(F.col("qtf"), params.k3)).alias("w"), (weight * float(params.delta)).alias("more"), among=among)
     part = F.col("w") * tf_part(F.col("tf"), F.col("dl"), F.lit(index.avgdl), params.k1, params.b)
     if params.delta:
         part = part + F.col("more")
