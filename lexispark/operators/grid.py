@@ -59,8 +59,6 @@ def _sums(index: Index, query_term: DataFrame, space: Space, bases: list[tuple],
     n, bs = F.lit(index.doc_count), sorted({b for b, _ in bases})
     rows = matches(index, query_term, "qtf", *[idf(n, F.col("df"), kind).alias(f"w_{kind}") for kind in KINDS], among=only)
     rows = rows.select("q_idx", "doc_idx", "qtf", *[f"w_{kind}" for kind in KINDS], F.col("tf").cast("double").alias("tf"), F.expr(_relative(index)).alias("_r"), F.explode(_doubles(space.k1)).alias("k1"))
-    if only is not None:  # few postings, so they are dealt by what is ranked together, and the many sums and scores stay there
-        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q_idx", "k1")
     parts = [f"tf * (k1 + 1D) / (tf + k1 * ({1.0 - b!r}D + {b!r}D * _r)) as _t{n}" for n, b in enumerate(bs)]
     rows = rows.selectExpr("q_idx", "doc_idx", "k1", "qtf", *[f"w_{kind}" for kind in KINDS], *parts)
     weights = [F.expr(f"sum(i_{kind}) as i_{kind}") for kind in KINDS]
@@ -80,7 +78,10 @@ def _spread(sums: DataFrame, space: Space, bases: list[tuple], keep=None) -> Dat
     one = [f"named_struct('b', {b!r}D, 'idf_type', '{kind}', 'a', a{j}, 'i', i_{kind})" for j, (b, kind) in enumerate(bases)]
     if keep is not None:
         one = [f"if({keep(j, kind)}, {x}, null)" for j, ((_, kind), x) in enumerate(zip(bases, one))]
-    rows = sums.select("q_idx", "doc_idx", "k1", "k3", F.expr(f"inline(filter(array({', '.join(one)}), x -> x is not null))"))
+    rows = sums.select("q_idx", "doc_idx", "k1", "k3", F.expr(f"filter(array({', '.join(one)}), x -> x is not null)").alias("_kept"))
+    if keep is not None:  # what stays is dealt by what is ranked together, so that the scores of the combinations are not shuffled
+        rows = rows.where("size(_kept) > 0").repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q_idx", "k1")
+    rows = rows.selectExpr("q_idx", "doc_idx", "k1", "k3", "inline(_kept)")
     each = rows.join(F.broadcast(combos(sums.sparkSession, space)), ["k1", "b", "k3", "idf_type"])
     return each.select("combo_id", "q_idx", "k1", "doc_idx", (F.col("a") + F.col("delta") * F.col("i")).alias("score")).where("score != 0")
 
