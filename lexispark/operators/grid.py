@@ -12,11 +12,12 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.config import Space
-from lexispark.operators import metrics
+from lexispark.operators import metrics, ranks
 from lexispark.operators.index import Index, query_terms
 from lexispark.operators.scoring import BROADCAST_TERMS, Params, hinted, idf, matches, ranked, scores, weighted
 from lexispark.staging import Stage
@@ -30,6 +31,8 @@ TIES = 1e-8
 RANGES = (2, 2)
 #: With more than so many times top_k contenders a query, the best documents of each query bound the others too.
 CROWDED = 2
+#: Queries that ``query_gains`` takes at once: each document is held against all of them.
+QUERIES_AT_ONCE = 1000
 
 
 COMBO = "combo_id int, k1 double, b double, k3 double, delta double, idf_type string"
@@ -186,6 +189,42 @@ def top_scores(index: Index, query_term: DataFrame, space: Space, top_k: int, wa
     return reduce(DataFrame.unionByName, out)
 
 
+def query_gains(index: Index, terms: DataFrame, wanted: DataFrame, ideal: DataFrame, space: Space, top_k: int, stage: Stage) -> DataFrame:
+    """(combo_id, mrr, ndcg, recall) of each query of ``terms``, in three readings of its documents' postings.
+
+    The first finds good documents at ``_points``, the second has their scores and those of the relevant ones in every
+    combination; so it is known which relevant documents can be among the best ``top_k``, and what score a document needs
+    to stand above one of them. The third leaves the documents that a bound does not prove to be below; these are ranked.
+    """
+    spark, parts = terms.sparkSession, int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = terms.toArrow()  # of QUERIES_AT_ONCE queries
+    numbers = {t: i for i, t in enumerate(sorted(set(rows["term"].to_pylist())))}
+    side = ranks.Side(rows["q_idx"].to_numpy(), np.array([numbers[t] for t in rows["term"].to_pylist()]), rows["qtf"].to_numpy(), rows["df"].to_numpy(), len(numbers), index.doc_count, index.avgdl)
+    ids = hinted(spark.createDataFrame(list(numbers.items()), "term string, id int"))
+    slim = index.postings.join(ids, "term").groupBy("doc_idx", "dl").agg(F.collect_list(F.struct("id", "tf")).alias("hits"))
+    slim = stage.table(slim)
+    judged = lambda matches: matches.join(hinted(wanted), ["q_idx", "doc_idx"], "left").join(hinted(ideal), "q_idx").repartition(parts, "q_idx").groupBy("q_idx")
+    parts_of = _parts(space.k1, RANGES[0]), _parts(space.b, RANGES[1])
+    cells, deltas = list(product(*parts_of, space.idf_type)), [float(x) for x in space.delta]
+    bars = np.full((len(side.ids), len(cells), len(deltas)), -np.inf)
+    if min(space.k1) >= 0 and min(space.b) >= 0 and max(space.b) <= 1 and min(space.k3) >= 0:  # else the bounds do not hold
+        good = slim.mapInArrow(ranks.leaders(side, _points(space), top_k), "q_idx long, point int, doc_idx long, score double")
+        known = ranked(stage.table(good), top_k, ("q_idx", "point")).select("q_idx", "doc_idx").union(wanted.select("q_idx", "doc_idx"))
+        known = stage.table(known.groupBy("doc_idx").agg(F.collect_set("q_idx").alias("asked")))
+        near = slim.join(hinted(known), "doc_idx").mapInArrow(ranks.asked(side), ranks.MATCH)
+        found = stage.table(judged(near).applyInArrow(ranks.bars_of(space, index.doc_count, top_k, parts_of), "q_idx long, bars array<double>"))
+        for r in found.collect():  # a row for each of these queries
+            bars[np.searchsorted(side.ids, r["q_idx"])] = np.reshape(r["bars"], bars.shape[1:])
+    few = stage.table(slim.mapInArrow(ranks.contenders(side, cells, deltas, (float(min(space.k3)), float(max(space.k3))), bars), ranks.MATCH))
+    return stage.table(judged(few).applyInArrow(ranks.gains_of(space, index.doc_count, top_k), "combo_id int, mrr double, ndcg double, recall double"))
+
+
+def _points(space: Space) -> list[tuple]:
+    """The ends and the middle of b, with the middle of the other parameters."""
+    mid = lambda x: float(sorted(x)[len(x) // 2])
+    return [(mid(space.k1), b, mid(space.k3), mid(space.delta), space.idf_type[0]) for b in sorted({float(min(space.b)), mid(space.b), float(max(space.b))})]
+
+
 def grid_search(index: Index, queries: DataFrame, qrels: DataFrame, space: Space = Space(), top_k: int = 100, limit_queries: int | None = None) -> DataFrame:
     """Each combination with its metrics; only judged queries are scored. ``queries`` has q_idx, qid, query."""
     stage = Stage(queries.sparkSession, "grid")
@@ -197,11 +236,14 @@ def grid_search(index: Index, queries: DataFrame, qrels: DataFrame, space: Space
     wanted = stage.table(index.ids(rel.select("q_idx", "doc_id", "relevance")).drop("doc_id"))
     ideal = stage.table(ideal.select("q_idx", "idcg", "n_rel"))
     terms = stage.table(weighted(index, query_terms(judged)).select("q_idx", "term", "qtf", "df"))
-    top = ranked(top_scores(index, terms, space, top_k, wanted, stage), top_k, ("q_idx", "k1", "combo_id"))
-    seen = top.join(hinted(wanted), ["q_idx", "doc_idx"]).groupBy("q_idx", "k1", "combo_id").agg(*metrics.gains())
-    each = seen.join(hinted(ideal), "q_idx").select("combo_id", *metrics.shares())
+    asked = sorted(r[0] for r in terms.select("q_idx").distinct().collect())
+    each = []
+    for i in range(0, len(asked), QUERIES_AT_ONCE):
+        some = f"q_idx between {asked[i]} and {asked[min(i + QUERIES_AT_ONCE, len(asked)) - 1]}"
+        each.append(query_gains(index, terms.where(some), wanted.where(some), ideal, space, top_k, stage))
     n = judged.count()
-    sums = stage.table(each.groupBy("combo_id").agg(*[F.sum(c).alias(c) for c in ("mrr", "ndcg", "recall")]))
+    none = queries.sparkSession.createDataFrame([], "combo_id int, mrr double, ndcg double, recall double")
+    sums = stage.table(reduce(DataFrame.unionByName, each or [none]).groupBy("combo_id").agg(*[F.sum(c).alias(c) for c in ("mrr", "ndcg", "recall")]))
     out = combos(queries.sparkSession, space).join(sums, "combo_id", "left")
     share = lambda c: (F.coalesce(F.col(c), F.lit(0.0)) / max(1, n))
     out = out.select("combo_id", "k1", "b", "k3", "delta", "idf_type", share("mrr").alias("mrr@10"), share("ndcg").alias("ndcg@10"), share("recall").alias("recall@100"), F.lit(n).cast("long").alias("num_queries"))

@@ -13,7 +13,7 @@ from lexispark import staging
 from lexispark.__main__ import main
 from lexispark.config import Coefficients, from_dict, load_config
 from lexispark.functions.text import read_stop_words, stop_words, tokens, truncated, windows
-from lexispark.operators import containment, grid, index, metrics, predict, sampling, scoring
+from lexispark.operators import containment, grid, index, metrics, predict, ranks, sampling, scoring
 from lexispark.operators import features as feat
 from lexispark.sources import readers, sinks
 from lexispark.streaming import ingest
@@ -151,6 +151,41 @@ def test_contenders_of_the_grid_lose_no_rank(spark, monkeypatch, crowded):
     ix.unpersist()
 
 
+@pytest.mark.parametrize("bounded", [True, False])
+def test_grid_ranks_equal_lists_of_all_scores(spark, monkeypatch, bounded):
+    monkeypatch.setattr(ranks, "CELLS", 40)  # blocks of few documents
+    monkeypatch.setattr(grid, "QUERIES_AT_ONCE", 3)
+    rng = random.Random(5)
+    docs = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(1, 40))) for _ in range(300)] + ["w2 w3 w4"] * 9 + ["", "w1"]
+    ix = index.build(corpus(spark, docs)).persist()
+    q = readers.query_set(spark, ["w2 w3 w4 w2 w2", "w9 w9 w30", "w1 w2 w5 w6 w7 w8 w11", "zz zz", "w1", "w2 w4", "w3"])
+    hits = rows(scoring.ranked(scoring.scores(ix, index.query_terms(q.select("q_idx", "query")), scoring.Params()), 9), "q_idx", "doc_idx")
+    rel = {*rng.sample(hits, 14), (0, 300), (0, 305), (2, 7), (4, 310), (5, 309), (3, 1)}  # copies, bad ones, no hit; nothing for the last query
+    rel = spark.createDataFrame([(str(a), f"d{b}", 1 + (a + b) % 2) for a, b in sorted(rel) if a < 6], "qid string, doc_id string, relevance int")
+    space = grid.Space((3.0, 0.5), (-0.5 if not bounded else 0.0, 0.5, 1.0), (0.0, 4.0), (0.0, 1.5), ("rsj", "smoothed"))
+
+    def no_list(*_):
+        raise AssertionError("a row was made for each combination and document")
+
+    everything = scoring.ranked(grid.combo_scores(ix, index.query_terms(q.select("q_idx", "query")), space), 7, ("combo_id", "q_idx"))
+    ids = everything.join(ix.documents.select("doc_idx", "doc_id"), "doc_idx").collect()
+    monkeypatch.setattr(grid, "_spread", no_list)
+    got = {r["combo_id"]: r for r in grid.grid_search(ix, q, rel, space, top_k=7).collect()}
+    grades = {(int(r["qid"]), r["doc_id"]): r["relevance"] for r in rel.collect()}
+    judged = sorted({a for a, _ in grades})
+    for i in got:
+        mrr = ndcg = recall = 0.0
+        for a in judged:
+            own = {r["rank"]: grades.get((a, r["doc_id"]), 0) for r in ids if r["combo_id"] == i and r["q_idx"] == a}
+            good = sorted((g for (x, _), g in grades.items() if x == a), reverse=True)
+            mrr += max([1 / k for k, g in own.items() if g], default=0)
+            ndcg += sum(g / math.log2(k + 1) for k, g in own.items()) / sum(g / math.log2(k + 2) for k, g in enumerate(good[:10]))
+            recall += sum(g > 0 for g in own.values()) / len(good)
+        assert (got[i]["mrr@10"], got[i]["ndcg@10"], got[i]["recall@100"]) == pytest.approx((mrr / len(judged), ndcg / len(judged), recall / len(judged)), abs=1e-9)
+    assert len(got) == len(space.combos()) and {r["num_queries"] for r in got.values()} == {len(judged)}
+    ix.unpersist()
+
+
 def test_limit_of_queries_and_table_entry(spark):
     docs = corpus(spark, TEXTS)
     ix = index.build(docs).persist()
