@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Documents times queries of a block.
-CELLS = 1 << 19
+CELLS = 1 << 17
 #: More than the rounding of scores, so that equal ones are not told apart by a bound.
 TIES = 1e-8
 
@@ -154,11 +154,13 @@ def contenders(side: Side, cells: list[tuple], deltas: list[float], k3: tuple[fl
     return run
 
 
-def _scores(t: pa.Table, space, n: int):
-    """The documents of a query's matches, in order, and an iterator of (place of k1, place of b, their scores).
+def _sums(t: pa.Table, space, n: int):
+    """The documents of a query's matches, in order, their sums of weights (idf, document), what k3 makes of a score, and an
+    iterator of (place of k1, place of b, sums).
 
-    Scores are (k3, delta, idf, document), without rounding. Matches are put in one order, so that equal documents have
-    equal sums."""
+    Sums are (k3, idf, document), a score is a sum and delta times the weights. Values of k3 that come to the same, as where
+    no term is repeated, have one row: the third result has the row of each. Matches are put in one order, so that equal
+    documents have equal sums."""
     doc, r, tf, qtf, df = (t.column(c).to_numpy() for c in ("doc_idx", "r", "tf", "qtf", "df"))
     order = np.lexsort((tf, qtf, df, doc))
     doc, r, tf, qtf, df = doc[order], r[order], tf[order].astype(float), qtf[order], df[order]
@@ -167,22 +169,35 @@ def _scores(t: pa.Table, space, n: int):
     key, size = which * len(docs) + place, (len(classes), len(docs))
     w = [weight(n, df, kind) for kind in space.idf_type]
     more = np.stack([np.bincount(place, x, len(docs)) for x in w])
-    repeats, delta = [repeated(classes, float(k3)) for k3 in space.k3], np.array(space.delta, dtype=float)
+    repeats, row_of = np.unique([repeated(classes, float(k3)) for k3 in space.k3], axis=0, return_inverse=True)
 
     def each():
         for i, k1 in enumerate(space.k1):
             for j, b in enumerate(space.b):
                 part = saturated(tf, float(k1), 1.0 - b + b * r)
                 by_class = np.stack([np.bincount(key, x * part, size[0] * size[1]).reshape(size) for x in w], 1)
-                sums = np.stack([sum(f * a for f, a in zip(s, by_class)) for s in repeats])
-                yield i, j, sums[:, None] + delta[None, :, None, None] * more
-
-    return docs, order, each()
+                yield i, j, np.stack([sum(f * a for f, a in zip(s, by_class)) for s in repeats])
+
+    return docs, more, row_of.ravel(), each()
+
+
+def _near_best(sums, more, delta, k: int):
+    """Which documents can be among the best k at some delta. Those at its middle are the yardstick: their least score is
+    concave in delta and a score is linear, so both ends tell. It counts only where it is positive: 0 is no hit."""
+    n = sums.shape[-1]
+    first = np.argpartition(sums + np.median(delta) * more, n - k, axis=-1)[..., n - k :]
+    own, weights = np.take_along_axis(sums, first, -1), np.take_along_axis(np.broadcast_to(more, sums.shape), first, -1)
+    least = [(own + d * weights).min(-1, keepdims=True) for d in (delta.min(), delta.max())]
+    valid = (least[0] > TIES) & (least[1] > TIES)
+    out = np.zeros(n, dtype=bool)
+    for d, bar in zip((delta.min(), delta.max()), least):
+        out |= (sums + d * more >= np.where(valid, bar - TIES, -np.inf)).any((0, 1))
+    return out
 
 
-def _hits(scores):
-    """Rounded as in every ranking; a document of score 0 is no hit."""
-    out = np.round(scores, 9)
+def _hits(sums, more, delta):
+    """Scores (k3, delta, idf, document), rounded as in every ranking; a document of score 0 is no hit."""
+    out = np.round(sums[:, None] + delta[None, :, None, None] * more, 9)
     out[out == 0] = -np.inf
     return out
 
@@ -194,12 +209,12 @@ def bars_of(space, n: int, k: int, ranges: tuple[list, list]):
     space = SimpleNamespace(**vars(space))  # of no module that an executor lacks
 
     def run(t):
-        docs, order, each = _scores(t, space, n)
+        (docs, more, _, each), delta = _sums(t, space, n), np.array(space.delta, dtype=float)
         relevant = np.zeros(len(docs), dtype=bool)
         relevant[np.searchsorted(docs, t.column("doc_idx").filter(t.column("relevance").is_valid()).to_numpy())] = True
         out = np.full((len(ranges[0]), len(ranges[1]), len(space.idf_type), len(space.delta)), np.inf)
-        for i, j, scores in each:
-            hits = _hits(scores)
+        for i, j, sums in each:
+            hits = _hits(sums, more, delta)
             own = hits[..., relevant]
             if not own.size:
                 break
@@ -217,25 +232,25 @@ def gains_of(space, n: int, k: int):
     space = SimpleNamespace(**vars(space))  # of no module that an executor lacks
 
     def run(t):
-        docs, order, each = _scores(t, space, n)
+        (docs, more, row_of, each), delta = _sums(t, space, n), np.array(space.delta, dtype=float)
         graded = t.filter(t.column("relevance").is_valid())
         grade = np.zeros(len(docs))
         grade[np.searchsorted(docs, graded.column("doc_idx").to_numpy())] = graded.column("relevance").to_numpy()
         idcg, n_rel = (t.column(c)[0].as_py() for c in ("idcg", "n_rel"))
-        size = len(space.k3) * len(space.delta) * len(space.idf_type)
-        out = np.zeros((3, len(space.k1) * len(space.b), size))
-        for i, j, scores in each:
-            hits, own = _hits(scores).reshape(size, -1), grade
-            if len(docs) > k:
-                least = np.partition(hits, len(docs) - k, axis=1)[:, len(docs) - k, None]
-                some = ((hits >= least) & (hits > -np.inf)).any(0)
-                hits, own = hits[:, some], grade[some]
+        out = np.zeros((3, len(space.k1), len(space.b), len(space.k3), len(delta) * len(space.idf_type)))
+        for i, j, sums in each:
+            some = _near_best(sums, more, delta, k) if len(docs) > k else slice(None)
+            hits, own = _hits(sums[..., some], more[:, some], delta), grade[some]
+            hits = hits.reshape(-1, hits.shape[-1])
+            if hits.shape[1] > 2 * k:  # an exact bar, where the yardstick's was none
+                some = ((hits >= np.partition(hits, -k, axis=1)[:, -k, None]) & (hits > -np.inf)).any(0)
+                hits, own = hits[:, some], own[some]
             first = np.argsort(-hits, axis=1, kind="stable")[:, :k]  # equal ones by doc_idx
             got = np.where(np.take_along_axis(hits, first, 1) > -np.inf, own[first], 0.0)
             ten, rank = got[:, :10], np.arange(1, min(10, got.shape[1]) + 1)
-            out[0, i * len(space.b) + j] = np.where(ten > 0, 1.0 / rank, 0.0).max(1, initial=0.0)
-            out[1, i * len(space.b) + j] = (ten / np.log2(rank + 1.0)).sum(1) / idcg if idcg else 0.0
-            out[2, i * len(space.b) + j] = (got[:, :100] > 0).sum(1) / n_rel
+            values = np.where(ten > 0, 1.0 / rank, 0.0).max(1, initial=0.0), (ten / np.log2(rank + 1.0)).sum(1) / (idcg or 1.0), (got[:, :100] > 0).sum(1) / n_rel
+            for m, x in enumerate(values):
+                out[m, i, j] = x.reshape(len(sums), -1)[row_of]
         mrr, ndcg, recall = out.reshape(3, -1)
         return pa.table({"combo_id": pa.array(np.arange(len(mrr)), pa.int32()), "mrr": mrr, "ndcg": ndcg, "recall": recall})
 
