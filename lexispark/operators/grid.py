@@ -33,6 +33,8 @@ RANGES = (2, 2)
 CROWDED = 2
 #: Queries that ``query_gains`` takes at once: each document is held against all of them.
 QUERIES_AT_ONCE = 1000
+#: Ranges of k1 and of b that ``query_gains`` bounds scores over, one level after the other; the last has each value alone.
+LEVELS = ((2, 2), (4, 4), (1 << 30, 1 << 30))
 
 
 COMBO = "combo_id int, k1 double, b double, k3 double, delta double, idf_type string"
@@ -204,18 +206,22 @@ def query_gains(index: Index, terms: DataFrame, wanted: DataFrame, ideal: DataFr
     slim = index.postings.join(ids, "term").groupBy("doc_idx", "dl").agg(F.collect_list(F.struct("id", "tf")).alias("hits"))
     slim = stage.table(slim)
     judged = lambda matches: matches.join(hinted(wanted), ["q_idx", "doc_idx"], "left").join(hinted(ideal), "q_idx").repartition(parts, "q_idx").groupBy("q_idx")
-    parts_of = _parts(space.k1, RANGES[0]), _parts(space.b, RANGES[1])
-    cells, deltas = list(product(*parts_of, space.idf_type)), [float(x) for x in space.delta]
-    bars = np.full((len(side.ids), len(cells), len(deltas)), -np.inf)
+    deltas, levels = [float(x) for x in space.delta], []
     if min(space.k1) >= 0 and min(space.b) >= 0 and max(space.b) <= 1 and min(space.k3) >= 0:  # else the bounds do not hold
         good = slim.mapInArrow(ranks.leaders(side, _points(space), top_k), "q_idx long, point int, doc_idx long, score double")
         known = ranked(stage.table(good), top_k, ("q_idx", "point")).select("q_idx", "doc_idx").union(wanted.select("q_idx", "doc_idx"))
         known = stage.table(known.groupBy("doc_idx").agg(F.collect_set("q_idx").alias("asked")))
         near = slim.join(hinted(known), "doc_idx").mapInArrow(ranks.asked(side), ranks.MATCH)
-        found = stage.table(judged(near).applyInArrow(ranks.bars_of(space, index.doc_count, top_k, parts_of), "q_idx long, bars array<double>"))
+        found = stage.table(judged(near).applyInArrow(ranks.bars_of(space, index.doc_count, top_k), "q_idx long, bars array<double>"))
+        bars = np.full((len(side.ids), len(space.k1), len(space.b), len(space.idf_type), len(deltas)), np.inf)  # without relevant documents there is no bar to reach
         for r in found.collect():  # a row for each of these queries
             bars[np.searchsorted(side.ids, r["q_idx"])] = np.reshape(r["bars"], bars.shape[1:])
-    few = stage.table(slim.mapInArrow(ranks.contenders(side, cells, deltas, (float(min(space.k3)), float(max(space.k3))), bars), ranks.MATCH))
+        for most in LEVELS:
+            k1s, bs = _parts(space.k1, most[0]), _parts(space.b, most[1])
+            place = lambda values, x: [i for i, v in enumerate(values) if float(v) in x]
+            lows = [bars[:, place(space.k1, x)][:, :, place(space.b, y)].min((1, 2)) for x, y in product(k1s, bs)]
+            levels.append((list(product(k1s, bs, space.idf_type)), np.concatenate(lows, 1)))
+    few = stage.table(slim.mapInArrow(ranks.contenders(side, levels, deltas, (float(min(space.k3)), float(max(space.k3)))), ranks.MATCH))
     return stage.table(judged(few).applyInArrow(ranks.gains_of(space, index.doc_count, top_k), "combo_id int, mrr double, ndcg double, recall double"))
 
 

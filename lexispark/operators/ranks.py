@@ -68,8 +68,10 @@ class Block:
     def sums(self, values) -> np.ndarray:
         return np.bincount(self.key, values, self.shape[0] * self.shape[1]).reshape(self.shape)
 
-    def matched(self) -> np.ndarray:
-        return np.bincount(self.key, minlength=self.shape[0] * self.shape[1]).reshape(self.shape) > 0
+    def only(self, keep: np.ndarray) -> None:
+        """Leave these matches only."""
+        at = self.at[keep]
+        self.entry, self.key, self.tf, self.row, self.at = self.entry[keep], self.key[keep], self.tf[at], self.row[at], np.arange(len(at))
 
     def matches(self, pairs: np.ndarray) -> pa.RecordBatch:
         keep = pairs.ravel()[self.key]
@@ -125,31 +127,39 @@ def asked(side: Side):
     return run
 
 
-def contenders(side: Side, cells: list[tuple], deltas: list[float], k3: tuple[float, float], bars: np.ndarray):
-    """mapInArrow: the matches of the pairs that a bound does not prove to be below ``bars`` (query, cell, delta).
+def contenders(side: Side, levels: list[tuple[list[tuple], np.ndarray]], deltas: list[float], k3: tuple[float, float]):
+    """mapInArrow: the matches of the pairs that no level's bound proves to be below its bars (query, cell, delta).
 
-    A cell is a range of k1, one of b and an idf. The largest saturated frequency of a posting is at the least length norm
-    and at one end of k1, the smallest one at the largest norm (it is monotone in k1 and in the norm, the norm in b). So a
-    document's sum over a cell is at most that of its postings' largest parts (smallest ones for negative weights).
+    A level has cells: a range of k1, one of b and an idf each. The largest saturated frequency of a posting is at the least
+    length norm and at one end of k1, the smallest one at the largest norm (it is monotone in k1 and in the norm, the norm in
+    b). So a document's sum over a cell is at most that of its postings' largest parts (smallest ones for negative weights).
     """
 
+    def left(block, cells, bars):
+        """Which matches are of pairs that reach a bar."""
+        pairs, place = np.unique(block.key, return_inverse=True)
+        q, some, more = pairs % len(side.ids), np.zeros(len(pairs), dtype=bool), {}
+        for c, (ks, bs, kind) in enumerate(cells):
+            w = weight(side.n_docs, side.df, kind)
+            if kind not in more:
+                more[kind] = np.bincount(place, w[block.entry], len(pairs))
+            own = (w * np.where(w < 0, repeated(side.qtf, k3[0]), repeated(side.qtf, k3[1])))[block.entry]
+            norms = [1.0 - b + b * block.r for b in dict.fromkeys((bs[0], bs[-1]))]
+            ends = lambda pick: [saturated(block.tf, k, pick.reduce(norms)[block.row]) for k in dict.fromkeys((ks[0], ks[-1]))]  # noqa: B023, E731
+            part = np.maximum.reduce(ends(np.minimum))[block.at]
+            if (own < 0).any():
+                part = np.where(own < 0, np.minimum.reduce(ends(np.maximum))[block.at], part)
+            most = np.bincount(place, own * part, len(pairs))
+            for d, delta in enumerate(deltas):
+                some |= most + delta * more[kind] >= bars[q, c, d] - TIES
+        return some[place]
+
     def run(batches):
         for block, _ in _blocks(side, batches):
-            pairs, more = np.zeros(block.shape, dtype=bool), {}
-            for c, (ks, bs, kind) in enumerate(cells):
-                w = weight(side.n_docs, side.df, kind)
-                u = w * np.where(w < 0, repeated(side.qtf, k3[0]), repeated(side.qtf, k3[1]))
-                if kind not in more:
-                    more[kind] = block.sums(w[block.entry])
-                norms = [1.0 - b + b * block.r for b in (bs[0], bs[-1])]
-                ends = lambda pick: [saturated(block.tf, k, pick(*norms)[block.row]) for k in (ks[0], ks[-1])]  # noqa: B023, E731
-                part, own = np.maximum(*ends(np.minimum))[block.at], u[block.entry]
-                if (w < 0).any():
-                    part = np.where(own < 0, np.minimum(*ends(np.maximum))[block.at], part)
-                most = block.sums(own * part)
-                for d, delta in enumerate(deltas):
-                    pairs |= most + delta * more[kind] >= bars[:, c, d] - TIES
-            yield block.matches(pairs & block.matched())
+            for cells, bars in levels:
+                if len(block.key):
+                    block.only(left(block, cells, bars))
+            yield block.matches(np.ones(block.shape, dtype=bool))
 
     return run
 
@@ -202,8 +212,8 @@ def _hits(sums, more, delta):
     return out
 
 
-def bars_of(space, n: int, k: int, ranges: tuple[list, list]):
-    """applyInArrow: (q_idx, bars), the least score of a relevant document that may be among the best k, by cell and delta.
+def bars_of(space, n: int, k: int):
+    """applyInArrow: (q_idx, bars), the least score of a relevant document that may be among the best k, by (k1, b, idf, delta).
 
     The documents that are there are a yardstick: whoever is below k of them is not among the best."""
     space = SimpleNamespace(**vars(space))  # of no module that an executor lacks
@@ -212,16 +222,14 @@ def bars_of(space, n: int, k: int, ranges: tuple[list, list]):
         (docs, more, _, each), delta = _sums(t, space, n), np.array(space.delta, dtype=float)
         relevant = np.zeros(len(docs), dtype=bool)
         relevant[np.searchsorted(docs, t.column("doc_idx").filter(t.column("relevance").is_valid()).to_numpy())] = True
-        out = np.full((len(ranges[0]), len(ranges[1]), len(space.idf_type), len(space.delta)), np.inf)
+        out = np.full((len(space.k1), len(space.b), len(space.idf_type), len(space.delta)), np.inf)
         for i, j, sums in each:
             hits = _hits(sums, more, delta)
             own = hits[..., relevant]
             if not own.size:
                 break
             least = np.partition(hits, len(docs) - k, axis=-1)[..., len(docs) - k, None] if len(docs) >= k else -np.inf
-            bar = np.where((own >= least - TIES) & (own > -np.inf), own, np.inf).min((0, 3)).T
-            a, b = (next(x for x, values in enumerate(r) if float(v) in values) for r, v in zip(ranges, (space.k1[i], space.b[j])))
-            out[a, b] = np.minimum(out[a, b], bar)
+            out[i, j] = np.where((own >= least - TIES) & (own > -np.inf), own, np.inf).min((0, 3)).T
         return pa.table({"q_idx": t.column("q_idx").slice(0, 1).cast(pa.int64()), "bars": pa.array([out.ravel().tolist()], pa.list_(pa.float64()))})
 
     return run
