@@ -4,7 +4,8 @@ A score is ``sum_c w(c, k3) A_c(k1, b, idf) + delta I(idf)`` over the classes c
 aggregated for the (k1, b, idf) bases only, a row for each k1 and a column for each (b, idf), and k3 and delta come later.
 Metrics ask where the relevant documents rank, so a document that scores below all of them does not matter. Bounds over
 ranges of parameters leave few pairs (``contenders``); only these are added up for the bases, and they are bounded
-again, by exact scores, before they are spread over the combinations (``top_scores``).
+again, by exact scores, before they are spread over the combinations (``top_scores``, which gives the lists themselves).
+``grid_search`` asks for ranks only: ``query_gains`` has them from ``ranks``, without a row for a combination's score.
 """
 
 from __future__ import annotations
