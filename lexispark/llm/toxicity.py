@@ -19,6 +19,7 @@ prior share of label 1, 0.49 at most.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -225,8 +226,8 @@ def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, prior: float, factors:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> FactorizationMachine:
     """Fit on a bounded sample of labelled rows whose crc32(doc_id as text) modulo 5 is not 0.
 
-    ``labels`` has doc_id and toxic; the sample takes the lowest hashes of doc_id in each class. What comes to
-    the driver is at most ``2 * rows_per_class`` rows of hashed terms.
+    ``labels`` has doc_id and toxic; the sample takes the lowest hashes of doc_id in each class. One task of an
+    executor gets its at most ``2 * rows_per_class`` rows of hashed terms and fits; only the model comes to the driver.
     """
     bounded_batches(spark)
     known = (
@@ -241,12 +242,28 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows_per_clas
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * rows_per_class rows
     joined = docs.select("doc_id", "text").join(sample, "doc_id")
     joined = joined.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "doc_id", "text")  # once, however often it is there
-    out = joined.mapInArrow(_term_sets, "y int, doc_id long, terms array<int>").toArrow().sort_by("doc_id")
-    terms = out.column("terms").combine_chunks()
-    y = out.column("y").to_numpy().astype(np.float64)
+    prior = n[1] / (n[0] + n[1])
+    sets = joined.mapInArrow(_term_sets, "y int, doc_id long, terms array<int>").repartition(1)
+    found = sets.mapInArrow(partial(_fitted, prior), "terms binary, bias double, weight binary, factor binary, nothing double").first()
+    if found is None:  # no labelled row has a document
+        return fit(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), prior)
+    weight = np.frombuffer(found["weight"])
+    return FactorizationMachine(np.frombuffer(found["terms"], np.int64), found["bias"], weight, np.frombuffer(found["factor"]).reshape(len(weight), -1) if len(weight) else np.zeros((0, FACTORS)), found["nothing"])
+
+
+def _fitted(prior: float, batches):
+    """The model of all rows of ``_term_sets``, as one row."""
+    got = list(batches)
+    if not got:
+        return
+    rows = pa.Table.from_batches(got).sort_by("doc_id")
+    del got
+    terms = rows.column("terms").combine_chunks()
+    y = rows.column("y").to_numpy().astype(np.float64)
     size = np.diff(terms.offsets.to_numpy())
-    del out, joined
-    return fit(y, np.repeat(np.arange(len(y), dtype=np.int32), size), terms.flatten().to_numpy(), n[1] / (n[0] + n[1]))
+    del rows
+    fm = fit(y, np.repeat(np.arange(len(y), dtype=np.int32), size), terms.flatten().to_numpy(), prior)
+    yield pa.RecordBatch.from_pydict({"terms": [fm.terms.tobytes()], "bias": [fm.bias], "weight": [fm.weight.tobytes()], "factor": [fm.factor.tobytes()], "nothing": [fm.nothing]}, pa.schema([("terms", pa.binary()), ("bias", pa.float64()), ("weight", pa.binary()), ("factor", pa.binary()), ("nothing", pa.float64())]))
 
 
 def _term_sets(batches):

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from html.parser import HTMLParser
 
 import numpy as np
@@ -230,6 +231,20 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.toxic_documents(spark, docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the model alone, equal to a fit of the sample in the order of doc_id."""
+    texts = [*[f"a quiet day in the park with friends {i}" for i in range(60)], *[f"you zorbs are vermin and should all leave {i}" for i in range(60)]]
+    docs, labels = table(spark, texts), spark.createDataFrame([(i, int(i >= 60)) for i in range(120)], "doc_id long, toxic int")
+    known = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    sets = [np.unique(toxicity.hashed_terms(*next(toxicity.tv.chunks(pa.array([texts[i]])))[2:])[1]) for i in known]
+    y, size = np.array([float(i >= 60) for i in known]), [len(x) for x in sets]
+    want = toxicity.fit(y, np.repeat(np.arange(len(known)), size), np.concatenate(sets), y.mean())
+    monkeypatch.setattr(toxicity, "fit", lambda *_, **__: pytest.fail("fitted in the driver"))
+    got = toxicity.train(spark, docs, labels)
+    assert len(want.terms) and np.array_equal(got.terms, want.terms) and (got.bias, got.nothing) == pytest.approx((want.bias, want.nothing))
+    assert np.allclose(got.weight, want.weight) and np.allclose(got.factor, want.factor) and got.factor.shape == want.factor.shape
+
+
 def test_toxicity_and_language_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
